@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doctables.functions.urls import let
+
 ANCHORS = T.ArrayType(
     T.StructType([T.StructField("href", T.StringType()), T.StructField("cls", T.StringType())])
 )
@@ -72,11 +74,13 @@ def is_odd(tokens: Column) -> Column:
 
 def _attribute(names: Column, values: Column, name: str) -> Column:
     """Last value given for an attribute, '' without a value, null when absent."""
+
+    def bare(value: Column) -> Column:
+        quoted = value.startswith('"') | value.startswith("'")
+        return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
     back = F.array_position(F.reverse(names), name)
-    value = F.get(values, (F.size(names) - back).cast("int"))
-    quoted = value.startswith('"') | value.startswith("'")
-    bare = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    return F.when(back > 0, bare)
+    return let(back, lambda n: F.when(n > 0, let(F.get(values, (F.size(names) - n).cast("int")), bare)))
 
 
 def strict_anchors(tokens: Column) -> Column:
@@ -86,9 +90,12 @@ def strict_anchors(tokens: Column) -> Column:
         inner = F.substring(token, F.lit(2), F.length(token))
         names = F.transform(F.regexp_extract_all(inner, F.lit(_ATTR), F.lit(1)), F.lower)
         values = F.regexp_extract_all(inner, F.lit(_ATTR), F.lit(2))
-        return F.struct(
-            _attribute(names, values, "href").alias("href"),
-            _attribute(names, values, "class").alias("cls"),
+        return let(
+            F.struct(names.alias("names"), values.alias("values")),
+            lambda a: F.struct(
+                _attribute(a["names"], a["values"], "href").alias("href"),
+                _attribute(a["names"], a["values"], "class").alias("cls"),
+            ),
         )
 
     return F.filter(F.transform(tokens, one), lambda a: a["href"].isNotNull())
