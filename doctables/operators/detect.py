@@ -157,10 +157,8 @@ def run_model(
     )
     infer = predict_batch_udf(make_predict, return_type=outputs, batch_size=batch_size)
     valid = images.filter(F.col(f"{col}.height") > 0)
-    called = valid.withColumn(
-        "_out",
-        infer(*[F.col(f"{col}.{f}") for f in ("data", "height", "width", "nChannels")]),
-    )
+    image = F.struct(*[F.col(f"{col}.{f}") for f in ("data", "height", "width", "nChannels")])
+    called = valid.withColumn("_out", infer(image))
 
     def rows_of(flat: Column, width: int) -> Column:
         n = (F.size(flat) / width).cast("int")
