@@ -118,6 +118,11 @@ def doc_table_counts(results: DataFrame, doc: str = "doc") -> DataFrame:
     )
 
 
+def undecoded(images: DataFrame, col: str = "image") -> DataFrame:
+    """Rows of files that are no readable image, without the empty image."""
+    return images.filter(F.col(f"{col}.height") <= 0).drop(col)
+
+
 def run_model(
     images: DataFrame,
     make_model: Callable[[], Callable],
@@ -125,12 +130,14 @@ def run_model(
     profile: pixels.Profile,
     batch_size: int = 8,
     col: str = "image",
+    keep_image: bool = False,
 ) -> DataFrame:
     """Add ``logits``, ``boxes``, ``img_w`` and ``img_h`` by batched inference over page images.
 
     ``make_model`` runs once per Python worker and returns ``model(list of CHW float arrays) ->
     (logits [n, q, classes], boxes [n, q, 4])``. Preparing the tensors happens in the same Arrow
-    step, so an image crosses to Python once and its tensor never goes back to the JVM.
+    step, so an image crosses to Python once and its tensor never goes back to the JVM. Images that
+    did not decode are left out (see ``undecoded``).
     """
 
     def make_predict():
@@ -165,7 +172,7 @@ def run_model(
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(flat, i * width + 1, F.lit(width)))
 
     return called.select(
-        *[c for c in images.columns if c != col],
+        *[c for c in images.columns if keep_image or c != col],
         rows_of(F.col("_out.logits"), n_classes).alias("logits"),
         rows_of(F.col("_out.boxes"), 4).alias("boxes"),
         F.col(f"{col}.width").alias("img_w"),

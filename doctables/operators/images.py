@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from doctables import schemas
 from doctables.functions import pixels
+from doctables.functions.png import encode_png
 
 # OpenCV type codes of 8-bit images by channel count.
 MODES = {1: 0, 3: 16, 4: 24}
@@ -113,3 +114,19 @@ def normalized(df: DataFrame, mean=pixels.BINARIZED.mean, std=pixels.BINARIZED.s
 def prepared(df: DataFrame, profile: pixels.Profile = pixels.BINARIZED, col: str = "image") -> DataFrame:
     """All steps of a profile in one pass over the pixels."""
     return _tensors(df, lambda img: pixels.prepare(img, profile), col)
+
+
+def encoded_png(df: DataFrame, bgr: bool = True, col: str = "image") -> DataFrame:
+    """PNG bytes in ``content`` in place of the image; images without pixels give null."""
+
+    @F.pandas_udf(T.BinaryType())
+    def encoded(frame: pd.DataFrame) -> pd.Series:
+        found = []
+        for img in _pixels(frame):
+            if img is None or img.size == 0:
+                found.append(None)
+            else:
+                found.append(encode_png(pixels.swap_channels(img) if bgr else img))
+        return pd.Series(found, dtype=object)
+
+    return df.withColumn("content", encoded(F.col(col))).drop(col)
