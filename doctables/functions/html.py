@@ -63,6 +63,10 @@ def _parsed(pages: pd.Series) -> pd.Series:
     return pages.map(parse_anchors, na_action="ignore").astype(object).where(pages.notna(), None)
 
 
+# Marked so that the optimizer never copies the call into a filter and parses twice.
+_parsed = _parsed.asNondeterministic()
+
+
 def anchor_tokens(html: Column) -> Column:
     return F.filter(F.regexp_extract_all(html, F.lit(_TOKENS), F.lit(2)), lambda t: t != "")
 

@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 from doctables import schemas
 from doctables.functions import boxes as B
 from doctables.functions import pixels, scores
+from doctables.functions.rows import explode_list
 
 
 def zip_outputs(raw: DataFrame) -> DataFrame:
     """One row per query, keeping its position; scores and boxes are paired by position."""
     keys = [c for c in raw.columns if c not in ("logits", "boxes")]
-    zipped = raw.select(*keys, F.posexplode(F.arrays_zip("logits", "boxes")).alias("query_idx", "q"))
+    zipped = explode_list(raw, F.arrays_zip("logits", "boxes"), "query_idx", "q", keys)
     return zipped.select(*keys, "query_idx", F.col("q.logits").alias("logits"), F.col("q.boxes").alias("box"))
 
 
@@ -106,7 +107,7 @@ def page_results(
 def flatten_detections(results: DataFrame) -> DataFrame:
     """One row per detection with its index in the page; pages without any give no row."""
     keys = [c for c in results.columns if c != "detections"]
-    rows = results.select(*keys, F.posexplode("detections").alias("table_idx", "d"))
+    rows = explode_list(results, F.col("detections"), "table_idx", "d", keys)
     return rows.select(*keys, "table_idx", "d.label", "d.score", "d.bbox")
 
 
@@ -162,7 +163,8 @@ def run_model(
             T.StructField("boxes", T.ArrayType(T.DoubleType())),
         ]
     )
-    infer = predict_batch_udf(make_predict, return_type=outputs, batch_size=batch_size)
+    # Marked so that the optimizer never copies the call into a filter and infers twice.
+    infer = predict_batch_udf(make_predict, return_type=outputs, batch_size=batch_size).asNondeterministic()
     valid = images.filter(F.col(f"{col}.height") > 0)
     image = F.struct(*[F.col(f"{col}.{f}") for f in ("data", "height", "width", "nChannels")])
     called = valid.withColumn("_out", infer(image))

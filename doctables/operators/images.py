@@ -31,6 +31,16 @@ TENSOR = T.StructType(
 )
 
 
+def image_udf(result: T.DataType):
+    """Arrow function over images, marked so that the optimizer never copies the call into a filter
+    and does the pixel work twice."""
+
+    def wrap(fn: Callable):
+        return F.pandas_udf(fn, result).asNondeterministic()
+
+    return wrap
+
+
 def _pixels(frame: pd.DataFrame):
     for h, w, c, data in zip(frame["height"], frame["width"], frame["nChannels"], frame["data"]):
         yield pixels.as_array(data, h, w, c) if h > 0 else None
@@ -39,7 +49,7 @@ def _pixels(frame: pd.DataFrame):
 def map_images(df: DataFrame, step: Callable[[np.ndarray], np.ndarray], col: str = "image") -> DataFrame:
     """Apply a numpy step to the images of a column."""
 
-    @F.pandas_udf(schemas.IMAGE)
+    @image_udf(schemas.IMAGE)
     def mapped(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for old, img in zip(frame.itertuples(index=False), _pixels(frame)):
@@ -64,7 +74,7 @@ def grayscale(df: DataFrame, col: str = "image") -> DataFrame:
 
 
 def otsu_levels(df: DataFrame, col: str = "image") -> DataFrame:
-    @F.pandas_udf(T.IntegerType())
+    @image_udf(T.IntegerType())
     def level(frame: pd.DataFrame) -> pd.Series:
         found = [None if img is None else pixels.otsu_level(img) for img in _pixels(frame)]
         return pd.Series(found, dtype="Int32")
@@ -95,7 +105,7 @@ def resized_sides(width: Column, height: Column, max_size: int = 800) -> tuple[C
 
 
 def _tensors(df: DataFrame, make: Callable[[np.ndarray], np.ndarray], col: str) -> DataFrame:
-    @F.pandas_udf(TENSOR)
+    @image_udf(TENSOR)
     def made(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for img in _pixels(frame):
@@ -119,7 +129,7 @@ def prepared(df: DataFrame, profile: pixels.Profile = pixels.BINARIZED, col: str
 def encoded_png(df: DataFrame, bgr: bool = True, col: str = "image") -> DataFrame:
     """PNG bytes in ``content`` in place of the image; images without pixels give null."""
 
-    @F.pandas_udf(T.BinaryType())
+    @image_udf(T.BinaryType())
     def encoded(frame: pd.DataFrame) -> pd.Series:
         found = []
         for img in _pixels(frame):

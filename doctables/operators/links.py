@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from doctables.functions import html as H
 from doctables.functions import paths, urls
+from doctables.functions.rows import explode_list
 from doctables.operators.lookup import lookup_join
 
 DOCUMENT_CLASS = "usa-link Document"
@@ -38,7 +39,7 @@ def extract_links(pages: DataFrame, class_name: str | None = None) -> DataFrame:
     """One row per link: the page's keys, ``link_pos`` from 0, ``href`` as written."""
     found = page_hrefs(pages, class_name)
     keys = [c for c in found.columns if c != "hrefs"]
-    return found.select(*keys, F.posexplode("hrefs").alias("link_pos", "href"))
+    return explode_list(found, F.col("hrefs"), "link_pos", "href", keys)
 
 
 def resolve_links(links: DataFrame, page_url: str = "url", href: str = "href") -> DataFrame:
@@ -54,10 +55,8 @@ def catalog_links(catalog: DataFrame, pages: DataFrame, class_name: str | None =
     lists = page_hrefs(pages.select("url", "html"), class_name)
     one_per_page = lists.groupBy("url").agg(F.min("hrefs").alias("hrefs"))
     keys = catalog.columns
-    pairs = lookup_join(catalog, one_per_page, "url", "inner").select(
-        *keys, F.posexplode("hrefs").alias("link_pos", "href")
-    )
-    return resolve_links(pairs)
+    pairs = lookup_join(catalog, one_per_page, "url", "inner")
+    return resolve_links(explode_list(pairs, F.col("hrefs"), "link_pos", "href", keys))
 
 
 def _order(links: DataFrame) -> Column:

@@ -40,6 +40,8 @@ def page_counts(docs: DataFrame, count_pages: Callable[[bytes], int], content: s
         return rows.astype({"n_pages": "Int32", "reason": object})
 
     keys = [c for c in docs.columns if c != content]
+    # Marked so that the optimizer never copies the call into a filter and opens a file twice.
+    counted = counted.asNondeterministic()
     rows = docs.select(*keys, counted(F.col(content)).alias("_r"))
     status = F.when(F.col("_r.reason").isNull(), "ok").otherwise("error")
     return rows.select(*keys, "_r.n_pages", status.alias("status"), "_r.reason")

@@ -5,14 +5,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctables import schemas
 from doctables.functions import boxes as B
-from doctables.functions import paths
-from doctables.operators.images import MODES
+from doctables.functions import paths, pixels
+from doctables.functions.rows import explode_list
+from doctables.operators.images import MODES, image_udf
 
 
 def parse_detections(rows: DataFrame, text: str = "score") -> DataFrame:
@@ -74,7 +76,7 @@ def overlay_styles(spark: SparkSession) -> DataFrame:
 
 def overlay_rects(results: DataFrame) -> DataFrame:
     """Rectangles to draw, three layers per detection; labels without a style are skipped."""
-    rows = results.select("file_path", F.posexplode("detections").alias("table_idx", "d"))
+    rows = explode_list(results, F.col("detections"), "table_idx", "d", ["file_path"])
     x0, y0, x1, y1 = (B.part(F.col("d.bbox"), i) for i in range(4))
     rects = rows.select(
         "file_path", "table_idx", "d.label",
@@ -101,7 +103,7 @@ def crop_spec(results: DataFrame, folder: str, mode: str = "cover") -> DataFrame
     ``page_num``, ``img_w`` and ``img_h``.
     """
     keys = [c for c in results.columns if c != "detections"]
-    rows = results.select(*keys, F.posexplode("detections").alias("table_idx", "d"))
+    rows = explode_list(results, F.col("detections"), "table_idx", "d", keys)
     x0, y0, x1, y1 = (B.part(F.col("d.bbox"), i) for i in range(4))
     if mode == "cover":
         left, top = (_within(F.floor(v), s) for v, s in ((x0, "img_w"), (y0, "img_h")))
@@ -126,11 +128,7 @@ def _within(value: Column, side: str) -> Column:
 
 def crop_pixels(crops: DataFrame, col: str = "image") -> DataFrame:
     """Cut the rectangle of each row out of its image; what lies outside the image is black."""
-    import numpy as np
-
-    from doctables.functions import pixels
-
-    @F.pandas_udf(schemas.IMAGE)
+    @image_udf(schemas.IMAGE)
     def cut(frame: pd.DataFrame, left: pd.Series, top: pd.Series, right: pd.Series, bottom: pd.Series) -> pd.DataFrame:
         rows = []
         for old, x0, y0, x1, y1 in zip(frame.itertuples(index=False), left, top, right, bottom):
