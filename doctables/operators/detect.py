@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +86,8 @@ def page_results(
     labels: dict[int, str] = schemas.DETECTION_LABELS,
     min_score: float | None = None,
 ) -> DataFrame:
-    """One row per image with its list of detections in query order; empty lists are kept.
+    """One row per image with its list of detections in query order; empty lists are kept, and
+    images that were not examined (null ``logits``) have a null list.
 
     Stays within the row: grouping exploded queries back per image would shuffle every
     detection for nothing.
@@ -111,19 +113,19 @@ def flatten_detections(results: DataFrame) -> DataFrame:
     return rows.select(*keys, "table_idx", "d.label", "d.score", "d.bbox")
 
 
+def table_total() -> Column:
+    """Aggregate: detections of all pages; pages that were not examined count as none."""
+    return F.coalesce(F.sum(F.array_size("detections").cast("bigint")), F.lit(0).cast("bigint"))
+
+
 def doc_table_counts(results: DataFrame, doc: str = "doc") -> DataFrame:
     """Pages and tables per document, from rows of one page each (combined map-side)."""
     return results.groupBy(doc).agg(
         F.count(F.lit(1)).alias("n_pages"),
-        F.sum(F.size("detections").cast("bigint")).alias("table_count"),
+        table_total().alias("table_count"),
     )
 
 
-def undecoded(images: DataFrame, col: str = "image") -> DataFrame:
-    """Rows of files that are no readable image, without the empty image."""
-    return images.filter(F.col(f"{col}.height") <= 0).drop(col)
-
-
 def run_model(
     images: DataFrame,
     make_model: Callable[[], Callable],
@@ -138,22 +140,25 @@ def run_model(
     ``make_model`` runs once per Python worker and returns ``model(list of CHW float arrays) ->
     (logits [n, q, classes], boxes [n, q, 4])``. Preparing the tensors happens in the same Arrow
     step, so an image crosses to Python once and its tensor never goes back to the JVM. Images that
-    did not decode are left out (see ``undecoded``).
+    did not decode (height -1) keep their row, with null ``logits`` and ``boxes``.
     """
 
     def make_predict():
         model = make_model()
 
         def predict(data, height, width, channels):
-            tensors = [
-                pixels.prepare(pixels.as_array(d, int(h), int(w), int(c)), profile)
-                for d, h, w, c in zip(data, height, width, channels)
-            ]
-            logits, found = model(tensors)
-            return {
-                "logits": logits.reshape(len(tensors), -1).astype("float64"),
-                "boxes": found.reshape(len(tensors), -1).astype("float64"),
-            }
+            good = [i for i, h in enumerate(height) if h > 0]
+            out = {"logits": np.zeros((len(height), 0)), "boxes": np.zeros((len(height), 0))}
+            if good:
+                tensors = [
+                    pixels.prepare(pixels.as_array(data[i], int(height[i]), int(width[i]), int(channels[i])), profile)
+                    for i in good
+                ]
+                for name, values in zip(("logits", "boxes"), model(tensors)):
+                    flat = np.asarray(values, np.float64).reshape(len(good), -1)
+                    out[name] = np.zeros((len(height), flat.shape[1]))
+                    out[name][good] = flat
+            return out
 
         return predict
 
@@ -165,9 +170,9 @@ def run_model(
     )
     # Marked so that the optimizer never copies the call into a filter and infers twice.
     infer = predict_batch_udf(make_predict, return_type=outputs, batch_size=batch_size).asNondeterministic()
-    valid = images.filter(F.col(f"{col}.height") > 0)
     image = F.struct(*[F.col(f"{col}.{f}") for f in ("data", "height", "width", "nChannels")])
-    called = valid.withColumn("_out", infer(image))
+    called = images.withColumn("_out", infer(image))
+    decoded = F.col(f"{col}.height") > 0
 
     def rows_of(flat: Column, width: int) -> Column:
         n = (F.size(flat) / width).cast("int")
@@ -175,8 +180,8 @@ def run_model(
 
     return called.select(
         *[c for c in images.columns if keep_image or c != col],
-        rows_of(F.col("_out.logits"), n_classes).alias("logits"),
-        rows_of(F.col("_out.boxes"), 4).alias("boxes"),
+        F.when(decoded, rows_of(F.col("_out.logits"), n_classes)).alias("logits"),
+        F.when(decoded, rows_of(F.col("_out.boxes"), 4)).alias("boxes"),
         F.col(f"{col}.width").alias("img_w"),
         F.col(f"{col}.height").alias("img_h"),
     )

@@ -14,6 +14,7 @@ from doctables import schemas
 from doctables.functions import boxes as B
 from doctables.functions import paths, pixels
 from doctables.functions.rows import explode_list
+from doctables.operators.detect import table_total
 from doctables.operators.images import MODES, image_udf
 
 
@@ -24,6 +25,7 @@ def parse_detections(rows: DataFrame, text: str = "score") -> DataFrame:
 
 
 def unreadable(results: DataFrame) -> DataFrame:
+    """Pages without a list: text that did not parse, or images that did not decode."""
     return results.filter(F.col("detections").isNull())
 
 
@@ -38,12 +40,14 @@ def lookup_by_index(results: DataFrame, index: int) -> DataFrame:
 
 
 def first_per_path(results: DataFrame) -> DataFrame:
-    """The first row of every path. Repeated paths combine map-side."""
-    rest = [c for c in results.columns if c not in ("file_path", "row_idx")]
-    first = F.min_by(F.struct(*rest), "row_idx").alias("_first")
-    return results.groupBy("file_path").agg(F.min("row_idx").alias("row_idx"), first).select(
-        "file_path", "row_idx", "_first.*"
-    )
+    """The first row of every path, with the canonical path in ``_path``.
+
+    Grouped on the key of the join that follows, so one shuffle serves both. Repeated paths
+    combine map-side.
+    """
+    keyed = results.withColumn("_path", paths.canonical_path(F.col("file_path"), False))
+    first = F.min_by(F.struct(*results.columns), "row_idx").alias("_first")
+    return keyed.groupBy("_path").agg(first).select("_path", "_first.*")
 
 
 def pair_with_images(results: DataFrame, images: DataFrame, escaped: bool = False) -> DataFrame:
@@ -52,9 +56,8 @@ def pair_with_images(results: DataFrame, images: DataFrame, escaped: bool = Fals
     ``images`` is a listing (``image_path`` and sizes), unique per path; pixels have no place in
     this join.
     """
-    left = first_per_path(results).withColumn("_path", paths.canonical_path(F.col("file_path"), False))
     right = images.withColumn("_path", paths.canonical_path(F.col("image_path"), escaped))
-    return left.join(right, "_path", "left").drop("_path")
+    return first_per_path(results).join(right, "_path", "left").drop("_path")
 
 
 def overlay_styles(spark: SparkSession) -> DataFrame:
@@ -148,7 +151,7 @@ def documents_table(results: DataFrame) -> DataFrame:
     """(filename, n_pages, table_count) per document; needs ``file_name``."""
     return results.groupBy(F.col("file_name").alias("filename")).agg(
         F.count(F.lit(1)).alias("n_pages"),
-        F.sum(F.size("detections").cast("bigint")).alias("table_count"),
+        table_total().alias("table_count"),
     )
 
 

@@ -1,5 +1,8 @@
-"""The four jobs, end to end. Stages hand over written tables, so a restart repeats no fetch,
-rendering or inference that is already stored, and a lost executor costs only its own tasks."""
+"""The four jobs, end to end.
+
+Stages hand over tables written under a ``work`` folder that all executors share. A lost executor
+costs its own tasks; a job started again with ``resume`` reads the stages that finished before.
+"""
 
 from __future__ import annotations
 
@@ -22,9 +25,17 @@ from doctables.sinks import tables as out_tables
 from doctables.sources import tables as sources
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _complete(spark: SparkSession, path: str) -> bool:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def _stored(df: DataFrame, path: str, resume: bool = False) -> DataFrame:
+    """Write a stage's table and read it back; with ``resume`` a finished one is only read."""
+    spark = df.sparkSession
+    if not (resume and _complete(spark, path)):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def acquire(
@@ -35,12 +46,13 @@ def acquire(
     work: str,
     tasks: int,
     rounds: int = 3,
+    resume: bool = False,
 ) -> DataFrame:
     """Catalog to ``<publication id>.pdf`` files; returns the fetch log of all rounds.
 
     The last link of a publication wins; where it fails, the next round takes the one before.
     """
-    links = _stored(L.catalog_links(catalog, landed_pages), f"{work}/links")
+    links = _stored(L.catalog_links(catalog, landed_pages), f"{work}/links", resume)
     log = None
     failed = None
     for n in range(1, rounds + 1):
@@ -48,9 +60,9 @@ def acquire(
         if log is not None:
             done = log.filter("status = 'ok'").select("publication_id")
             plan = plan.join(done, "publication_id", "left_anti")
-        fetched = _stored(FE.fetch_documents(plan, fetch, tasks), f"{work}/fetched/round={n}")
+        fetched = _stored(FE.fetch_documents(plan, fetch, tasks), f"{work}/fetched/round={n}", resume)
         # Evaluating the manifest is what writes the files.
-        _stored(out_files.write_files(fetched, pdf_folder, "file_path", "content"), f"{work}/files/round={n}")
+        _stored(out_files.write_files(fetched, pdf_folder, "file_path", "content"), f"{work}/files/round={n}", resume)
         this = fetched.drop("content").withColumn("round", F.lit(n))
         log = this if log is None else log.unionByName(this)
         failed = log.filter("status = 'error'").select("publication_id", "link_url")
@@ -79,13 +91,15 @@ def paginate(
     batch_size: int = 10,
     done: DataFrame | None = None,
     overwrite: bool = False,
+    resume: bool = False,
 ) -> DataFrame:
     """Documents to page image files; returns the log of pages with status.
 
     ``done`` (``image_path``) leaves out pages of earlier runs. What remains of each batch is one
     call of the renderer.
     """
-    counted = _stored(P.page_counts(sources.read_documents(spark, pdf_folder), count_pages), f"{work}/documents")
+    docs = sources.read_documents(spark, pdf_folder)
+    counted = _stored(P.page_counts(docs, count_pages), f"{work}/documents", resume)
     pages = P.with_page_path(P.page_range(counted.filter("status = 'ok'")), image_folder)
     if done is not None:
         pages = P.pending_pages(pages, done, overwrite)
@@ -94,9 +108,9 @@ def paginate(
         F.min("page_num").alias("first_page"), F.max("page_num").alias("last_page")
     )
     rendered = P.with_page_path(P.render_batches(batches, render, read, tasks, dpi), image_folder)
-    made = _stored(rendered, f"{work}/pages")
+    made = _stored(rendered, f"{work}/pages", resume)
     whole = P.drop_empty_pages(made).withColumn("name", paths.file_name(F.col("image_path")))
-    _stored(out_files.write_files(whole, image_folder, "name", "image", overwrite), f"{work}/page_files")
+    _stored(out_files.write_files(whole, image_folder, "name", "image", overwrite), f"{work}/page_files", resume)
     bad = P.quarantine(counted).select(
         "doc_path", F.lit(None).cast("int").alias("page_num"), "status", "reason", F.lit(None).cast("string").alias("image_path")
     )
@@ -112,13 +126,12 @@ def detect_tables(
     profile: pixels.Profile = pixels.BINARIZED,
     batch_size: int = 8,
 ) -> None:
-    """Page images (``file_path``, ``image``) to stored results, one partition per run.
+    """Page images (``file_path``, ``image``) to stored results, one partition per run, in one pass.
 
-    Images that do not decode are stored next to the results instead of stopping the run.
+    Images that do not decode are stored with a null list instead of stopping the run.
     """
     raw = D.run_model(images, make_model, len(labels), profile, batch_size)
     out_tables.write_run(D.page_results(raw, labels), f"{out}/results", run_id)
-    out_tables.write_run(D.undecoded(images), f"{out}/undecoded", run_id)
 
 
 def annotate(results: DataFrame, folder: str) -> DataFrame:
@@ -136,6 +149,7 @@ def record_tables(
     labels: dict[int, str] = schemas.DETECTION_LABELS,
     profile: pixels.Profile = pixels.BINARIZED,
     min_score: float | None = 0.8,
+    resume: bool = False,
 ) -> None:
     """Detect, crop, and record documents and tables.
 
@@ -146,9 +160,9 @@ def record_tables(
     raw = D.run_model(parts, make_model, len(labels), profile, keep_image=True)
     found = D.page_results(raw, labels, min_score)
     crops = I.encoded_png(RES.crop_pixels(RES.crop_spec(found, crop_folder)))
-    made = _stored(crops, f"{out}/crops/run_id={run_id}")
+    made = _stored(crops, f"{out}/crops/run_id={run_id}", resume)
     whole = made.withColumn("name", paths.file_name(F.col("image_path")))
-    _stored(out_files.write_files(whole, crop_folder, "name", "content"), f"{out}/crop_files/run_id={run_id}")
+    _stored(out_files.write_files(whole, crop_folder, "name", "content"), f"{out}/crop_files/run_id={run_id}", resume)
     out_tables.write_run(RES.tables_table(made), f"{out}/tables", run_id)
 
     # Tables per document come from the stored crops, pages from the image list: no second inference.

@@ -68,10 +68,13 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") ->
 
 
 def read_images(spark: SparkSession, folder: str, keep_invalid: bool = True, pattern: str = "*.png") -> DataFrame:
-    """Decoded page images with ``file_path``; files that do not decode keep a row of height -1."""
+    """Decoded page images with ``file_path``; files that do not decode keep a row of height -1.
+
+    The path comes from the file listing, so frames that drop ``image`` decode nothing.
+    """
     reader = spark.read.format("image").option("dropInvalid", str(not keep_invalid).lower())
     images = reader.option("pathGlobFilter", pattern).load(folder)
-    return images.select(paths.canonical_path(F.col("image.origin"), True).alias("file_path"), "image")
+    return images.select(paths.canonical_path(F.col("_metadata.file_path"), True).alias("file_path"), "image")
 
 
 def read_landed_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doctables.functions import pixels
 from doctables.functions.png import encode_png
+from doctables.operators import results as RES
 from doctables.plans import jobs
 from doctables.sources import tables as sources
 
@@ -104,7 +105,8 @@ def test_pages_detection_and_tables(spark, folder):
     for _ in range(2):
         jobs.detect_tables(decoded, make_model, out, "r1", profile=profile)
     results = spark.read.parquet(f"{out}/results")
-    assert results.count() == 16 and spark.read.parquet(f"{out}/undecoded").count() == 1
+    assert results.count() == 17
+    assert [r.file_path.split("/")[-1] for r in RES.unreadable(results).collect()] == ["junk_page_1.png"]
     found = results.select(F.explode("detections").alias("d")).collect()
     assert len(found) == 13 and np.allclose(found[0].d.bbox, [5.0, 10.0, 25.0, 20.0])
 
@@ -113,9 +115,9 @@ def test_pages_detection_and_tables(spark, folder):
 
     crops = f"{folder}/crops"
     for _ in range(2):
-        jobs.record_tables(decoded.filter("file_path NOT LIKE '%junk%'"), make_model, crops, out, "r1", profile=profile)
+        jobs.record_tables(decoded, make_model, crops, out, "r1", profile=profile)
     documents = {r.filename: (r.n_pages, r.table_count) for r in spark.read.parquet(f"{out}/documents").collect()}
-    assert documents == {"Doe, 1910.pdf": (3, 3), "long.pdf": (13, 10)}
+    assert documents == {"Doe, 1910.pdf": (3, 3), "long.pdf": (13, 10), "junk.pdf": (1, 0)}
     tables = spark.read.parquet(f"{out}/tables")
     assert tables.count() == 13
     cut = {r.file_path.split("/")[-1]: r.image for r in sources.read_images(spark, crops).collect()}
