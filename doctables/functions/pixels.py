@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 
@@ -73,7 +74,7 @@ def otsu_level(gray: np.ndarray) -> int:
 
 
 def binarize(gray: np.ndarray) -> np.ndarray:
-    return np.where(gray > otsu_level(gray), 255, 0).astype(np.uint8)
+    return (gray > otsu_level(gray)).astype(np.uint8) * np.uint8(255)
 
 
 def three_channels(gray: np.ndarray) -> np.ndarray:
@@ -87,9 +88,9 @@ def dilate(gray: np.ndarray, size: int = 3) -> np.ndarray:
     for axis in (0, 1):
         pad = [(0, 0)] * out.ndim
         pad[axis] = (before, size - 1 - before)
-        padded = np.pad(out, pad, constant_values=0)
+        padded = np.moveaxis(np.pad(out, pad, constant_values=0), axis, 0)
         n = out.shape[axis]
-        out = np.max([np.take(padded, range(k, k + n), axis=axis) for k in range(size)], axis=0)
+        out = np.moveaxis(reduce(np.maximum, (padded[k : k + n] for k in range(size))), 0, axis)
     return out
 
 
@@ -106,25 +107,29 @@ def _cubic(x: np.ndarray) -> np.ndarray:
     return np.where(x < 1, near, np.where(x < 2, far, 0.0))
 
 
-def _weights(n_in: int, n_out: int) -> np.ndarray:
-    """Cubic weights as an n_out x n_in matrix of whole numbers (in 2**-WEIGHT_BITS units)."""
+def _weights(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Input positions and whole-number cubic weights (2**-WEIGHT_BITS units), n_out x taps each."""
     ratio = n_in / n_out
     spread = max(ratio, 1.0)
     center = ((np.arange(n_out) + 0.5) * ratio)[:, None]
-    pos = np.arange(n_in)[None, :]
-    first = np.maximum(np.trunc(center - 2 * spread + 0.5), 0)
-    last = np.minimum(np.trunc(center + 2 * spread + 0.5), n_in)
-    raw = np.where((pos >= first) & (pos < last), _cubic((pos - center + 0.5) / spread), 0.0)
+    first = np.maximum(np.trunc(center - 2 * spread + 0.5), 0).astype(np.int64)
+    last = np.minimum(np.trunc(center + 2 * spread + 0.5), n_in).astype(np.int64)
+    pos = first + np.arange((last - first).max())
+    raw = np.where(pos < last, _cubic((pos - center + 0.5) / spread), 0.0)
     share = raw / raw.sum(axis=1, keepdims=True) * 2**WEIGHT_BITS
-    return np.trunc(share + np.copysign(0.5, share))
+    return np.minimum(pos, n_in - 1), np.trunc(share + np.copysign(0.5, share)).astype(np.int32)
 
 
-def _resample(img: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Apply weights along the first axis. Whole numbers below 2**53, so the sums are exact."""
-    flat = img.reshape(img.shape[0], -1).astype(np.float64)
-    sums = weights @ flat
-    out = np.clip(np.floor((sums + 2 ** (WEIGHT_BITS - 1)) / 2**WEIGHT_BITS), 0, 255)
-    return out.astype(np.uint8).reshape((weights.shape[0],) + img.shape[1:])
+def _resample(img: np.ndarray, n_out: int) -> np.ndarray:
+    """Resize the first axis, one weighted gather per tap.
+
+    Weights add up to 2**22 with small negative lobes, so sums of 8-bit pixels stay in 32 bits.
+    """
+    positions, weights = _weights(img.shape[0], n_out)
+    total = np.full((n_out,) + img.shape[1:], 2 ** (WEIGHT_BITS - 1), np.int32)
+    for at, weight in zip(positions.T, weights.T):
+        total += img[at] * weight.reshape((-1,) + (1,) * (img.ndim - 1))
+    return np.clip(total >> WEIGHT_BITS, 0, 255).astype(np.uint8)
 
 
 def resize(img: np.ndarray, max_size: int = 800) -> np.ndarray:
@@ -133,9 +138,9 @@ def resize(img: np.ndarray, max_size: int = 800) -> np.ndarray:
     new_w, new_h = resized_sides(width, height, max_size)
     out = img
     if new_w != width:
-        out = np.swapaxes(_resample(np.swapaxes(out, 0, 1), _weights(width, new_w)), 0, 1)
+        out = np.swapaxes(_resample(np.ascontiguousarray(np.swapaxes(out, 0, 1)), new_w), 0, 1)
     if new_h != height:
-        out = _resample(out, _weights(height, new_h))
+        out = _resample(np.ascontiguousarray(out), new_h)
     return np.ascontiguousarray(out)
 
 
