@@ -3,8 +3,9 @@
 Ordinary markup is tokenised in the JVM by one regular expression that consumes comments, raw-text
 elements and every other tag, so an anchor inside a script, a comment or an attribute is not seen
 as one. The expression only accepts strictly well-formed markup. Whatever it cannot consume shows
-up as a one-character marker, and a page with a marker (or with a character reference inside an
-anchor) goes to the standard library's parser instead. Both ways give the same list.
+up as a one-character marker, and a page with a marker goes to the standard library's parser
+instead. Where only an anchor holds character references other than ``&amp;``, that parser gets the
+anchors and not the page. All ways give the same list.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ ANCHORS = T.ArrayType(
     T.StructType([T.StructField("href", T.StringType()), T.StructField("cls", T.StringType())])
 )
 
-_NAME = r"[a-z_:@][a-z0-9_:.@-]*"
+_NAME = r"""[!-~&&[^"'<>/=]]+"""
 _VALUE = r"""(?:"[^"]*"|'[^']*'|[!-~&&[^"'=<>`]][!-~&&[^"'<>`]]*)"""
 _ATTRS = rf"(?:[ \t\n\r\f]+{_NAME}(?:[ \t\n\r\f]*=[ \t\n\r\f]*{_VALUE})?+)*+[ \t\n\r\f]*+"
 
@@ -72,8 +73,15 @@ def anchor_tokens(html: Column) -> Column:
 
 
 def is_odd(tokens: Column) -> Column:
-    """True where the page needs the standard parser."""
-    return F.exists(tokens, lambda t: (F.length(t) == 1) | t.contains("&"))
+    """True where the page is not strictly well-formed."""
+    return F.exists(tokens, lambda t: F.length(t) == 1)
+
+
+def for_parser(html: Column, tokens: Column) -> Column:
+    """What the standard parser has to see: the page, only its anchors, or (mostly) nothing."""
+    references = F.exists(tokens, lambda t: F.replace(t, F.lit("&amp;"), F.lit("")).contains("&"))
+    anchors = F.concat(F.lit("<"), F.array_join(tokens, "<"))
+    return F.when(is_odd(tokens), html).when(references, anchors)
 
 
 def _attribute(names: Column, values: Column, name: str) -> Column:
@@ -81,7 +89,8 @@ def _attribute(names: Column, values: Column, name: str) -> Column:
 
     def bare(value: Column) -> Column:
         quoted = value.startswith('"') | value.startswith("'")
-        return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        inner = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.replace(inner, F.lit("&amp;"), F.lit("&"))
 
     back = F.array_position(F.reverse(names), name)
     return let(back, lambda n: F.when(n > 0, let(F.get(values, (F.size(names) - n).cast("int")), bare)))
@@ -105,8 +114,8 @@ def strict_anchors(tokens: Column) -> Column:
     return F.filter(F.transform(tokens, one), lambda a: a["href"].isNotNull())
 
 
-def parsed_anchors(odd_html: Column) -> Column:
-    return _parsed(odd_html)
+def parsed_anchors(markup: Column) -> Column:
+    return _parsed(markup)
 
 
 def class_matches(cls: Column, wanted: str) -> Column:

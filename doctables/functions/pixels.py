@@ -70,7 +70,7 @@ def otsu_level(gray: np.ndarray) -> int:
     gap = float(total_sum) * n0[split] - s0[split].astype(np.float64) * total
     rough = gap * gap / (n0[split].astype(np.float64) * (total - n0[split]))
     close = split[rough >= rough.max() * (1 - 1e-9)]
-    return int(max(close, key=lambda i: (variance(i), -i)))
+    return int(close[0] if close.size == 1 else max(close, key=lambda i: (variance(i), -i)))
 
 
 def binarize(gray: np.ndarray) -> np.ndarray:

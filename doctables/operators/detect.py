@@ -98,11 +98,14 @@ def page_results(
         label, score, corners = _fields(q["logits"], q["boxes"], F.col("img_w"), F.col("img_h"), labels)
         return F.struct(label.alias("label"), score.alias("score"), F.array(*corners).alias("bbox"))
 
-    def keep(d: Column) -> Column:
-        wanted = d["label"] != schemas.NO_OBJECT
-        return wanted if min_score is None else wanted & (d["score"] > min_score)
+    empty = [i for i, name in labels.items() if name == schemas.NO_OBJECT]
 
-    found = F.filter(F.transform(F.arrays_zip("logits", "boxes"), one), keep)
+    def keep(q: Column) -> Column:
+        wanted = ~scores.best_class(q["logits"]).isin(empty)
+        return wanted if min_score is None else wanted & (scores.best_score(q["logits"], len(labels)) > min_score)
+
+    # Most queries of a page are empty, so they go before labels and boxes are worked out.
+    found = F.transform(F.filter(F.arrays_zip("logits", "boxes"), keep), one)
     return raw.select(*keys, found.alias("detections"))
 
 

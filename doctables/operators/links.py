@@ -14,6 +14,7 @@ from doctables.functions import paths, urls
 from doctables.functions.rows import explode_list
 from doctables.operators.lookup import lookup_join
 
+# Fixed value: class of the anchors that lead to a publication's files.
 DOCUMENT_CLASS = "usa-link Document"
 
 
@@ -21,14 +22,10 @@ def page_hrefs(pages: DataFrame, class_name: str | None = None, html: str = "htm
     """Replace the page body by ``hrefs``: the link targets of one class in page order."""
     keys = [c for c in pages.columns if c != html]
     tokens = pages.select(*keys, F.col(html).alias("_html"), H.anchor_tokens(F.col(html)).alias("_tokens"))
-    odd = H.is_odd(F.col("_tokens"))
-    split = tokens.select(
-        *keys,
-        F.when(odd, F.col("_html")).alias("_odd_html"),
-        F.when(~odd, F.col("_tokens")).alias("_tokens"),
-    )
-    anchors = F.coalesce(H.parsed_anchors(F.col("_odd_html")), H.strict_anchors(F.col("_tokens")))
-    found = split.select(*keys, anchors.alias("_anchors"))
+    split = tokens.select(*keys, H.for_parser(F.col("_html"), F.col("_tokens")).alias("_markup"), "_tokens")
+    parsed = split.select(*keys, H.parsed_anchors(F.col("_markup")).alias("_parsed"), "_tokens")
+    anchors = F.coalesce(F.col("_parsed"), H.strict_anchors(F.col("_tokens")))
+    found = parsed.select(*keys, anchors.alias("_anchors"))
     wanted = F.col("_anchors")
     if class_name is not None:
         wanted = F.filter(wanted, lambda a: H.class_matches(a["cls"], class_name))

@@ -26,8 +26,8 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``left`` (any number of rows per key) with ``right`` (at most one row per key).
 
-    Rows of hot keys get a salt from their own content, and only the matching right rows, at most
-    MAX_HOT, are repeated per salt. The salt is a pure function of the row, so a task that is run
+    Rows of hot keys get a salt from their own content (as do rows without a key, which match
+    nothing), and only the matching right rows, at most MAX_HOT, are repeated per salt. The salt is a pure function of the row, so a task that is run
     again puts every row where it was. Joining on (key, salt) also gives both sides a plain
     shuffle, which AQE's skew handling can split further (copies of one and the same row share
     a salt). No side is forced to broadcast; the planner picks by size. The hot key list is
@@ -36,7 +36,7 @@ def lookup_join(
     hot = F.broadcast(hot_keys(left, key, min_rows).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
     salted = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
+        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(0)
     )
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(salts))

@@ -39,13 +39,13 @@ PAGES = [
 
 def _random_page(rng: random.Random) -> str:
     bits = ["<a ", "<a", "href", "=", '"', "'", "/x", ">", "</a>", " ", "<!--", "-->", "<script>", "</script>",
-            "class", "Document", "<b>", "&amp;", "t", "<", "/", "<style", "--", "\n", "é"]
+            "class", "Document", "<b>", "&amp;", "&lt;", "&", "&copy=", "t", "<", "/", "<style", "--", "\n", "é"]
     return "".join(rng.choice(bits) for _ in range(rng.randint(1, 30)))
 
 
 def test_anchors_equal_the_standard_parser(spark):
     rng = random.Random(7)
-    attrs = ['href="/a"', "href='b c'", "href=d", "class='k'", 'id="q>r"', "hidden", 'href="/e&amp;f"', 'title="<a href=1>"']
+    attrs = ['href="/a"', "href='b c'", "href=d", "class='k'", 'id="q>r"', "hidden", 'href="/e&amp;f"', 'href="/g&lt;h&i=&#x41;"', 'title="<a href=1>"', '(click)="x"', '*if', '[y]=\'>\'', 'data-href=/no', '{{z}}=1', '`href=2']
     pages = PAGES + [_random_page(rng) for _ in range(3000)]
     for _ in range(500):
         parts = []
@@ -64,13 +64,22 @@ def test_anchors_equal_the_standard_parser(spark):
 
 def _anchors(html):
     tokens = H.anchor_tokens(html)
-    odd = H.is_odd(tokens)
-    return F.coalesce(H.parsed_anchors(F.when(odd, html)), H.strict_anchors(F.when(~odd, tokens)))
+    return F.coalesce(H.parsed_anchors(H.for_parser(html, tokens)), H.strict_anchors(tokens))
 
 
 def test_well_formed_pages_stay_in_the_jvm(spark):
     df = spark.createDataFrame([(p,) for p in (PAGES[0], PAGES[3], PAGES[4], PAGES[5], PAGES[8], PAGES[17])], "html STRING")
-    assert df.filter(H.is_odd(H.anchor_tokens(F.col("html")))).count() == 0
+    tokens = H.anchor_tokens(F.col("html"))
+    assert df.filter(H.for_parser(F.col("html"), tokens).isNotNull()).count() == 0
+
+
+def test_references_send_only_the_anchors_to_the_parser(spark):
+    page = "<p>long text</p><a href='/x?a=1&amp;amp;b' class=c>t</a><a href=\"/y?a&copy;&#65;&lt=1&b\">u</a>"
+    df = spark.createDataFrame([(page,), (page.split("<a href=\"")[0],)], "html STRING")
+    rows = df.select(H.for_parser(F.col("html"), H.anchor_tokens(F.col("html"))), _anchors(F.col("html")))
+    (both, found), (none, first) = rows.collect()
+    assert "long text" not in both and [a.href for a in found] == ["/x?a=1&amp;b", "/y?a©A<=1&b"]
+    assert none is None and [a.href for a in first] == ["/x?a=1&amp;b"]
 
 
 @pytest.mark.parametrize("wanted,expected", [
