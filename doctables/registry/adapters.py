@@ -24,20 +24,14 @@ def raw_outputs(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("v")
     )
-
-    def v(i: int) -> Column:
-        return F.get(F.col("v"), F.lit(i))
-
-    logits, boxes = [], []
-    for q in range(N_QUERIES):
-        at = 7 * q
-        logits.append(F.array(*[v(at + k) * 10 for k in range(3)]))
-        boxes.append(F.array(v(at + 3) + 0.5, v(at + 4) + 0.5, F.abs(v(at + 5)), F.abs(v(at + 6))))
+    starts = [7 * q for q in range(N_QUERIES)]
+    logits = ", ".join(f"array(v[{s}] * 10, v[{s + 1}] * 10, v[{s + 2}] * 10)" for s in starts)
+    boxes = ", ".join(f"array(v[{s + 3}] + 0.5D, v[{s + 4}] + 0.5D, abs(v[{s + 5}]), abs(v[{s + 6}]))" for s in starts)
     return emb.select(
         "vec_id",
         image_path(F.col("vec_id")).alias("file_path"),
-        F.array(*logits).alias("logits"),
-        F.array(*boxes).alias("boxes"),
+        F.expr(f"array({logits})").alias("logits"),
+        F.expr(f"array({boxes})").alias("boxes"),
         F.lit(IMG_W).alias("img_w"),
         F.lit(IMG_H).alias("img_h"),
     )
