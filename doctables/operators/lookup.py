@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 # A key is hot above 1/MAX_HOT of all rows, so there are never more than MAX_HOT of them.
 MAX_HOT = 128
+# Entries of the counting sketch. Its error is below 4/TRACKED of all rows, far under 1/MAX_HOT,
+# so no hot key is missed.
+TRACKED = 4096
 SALTS = 32
 MIN_HOT_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Keys above 1/MAX_HOT of all rows and above ``min_rows``: at most MAX_HOT rows.
+def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
+    """Keys above 1/MAX_HOT of all rows and above ``min_rows``; None stands for rows without a key.
 
-    Counts combine map-side, so the hot key itself costs one row per task here.
+    Runs one job over the key column. Every task sends one sketch of bounded size, so the keys
+    themselves are not shuffled, and at most MAX_HOT + 1 values come back.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.filter((F.col("_n") >= min_rows) & (F.col("_n") * MAX_HOT > total)).select(key)
+    top = F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {TRACKED}) FILTER (WHERE `{key}` IS NOT NULL)")
+    row = df.select(key).agg(F.count(F.lit(1)), F.count(key), top).first()
+    total, with_key, found = row
+    least = max(min_rows, total / MAX_HOT)
+    hot = [item["item"] for item in found or [] if item["count"] >= least]
+    return hot + ([None] if total - with_key >= least else [])
 
 
 def lookup_join(
@@ -26,19 +33,18 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``left`` (any number of rows per key) with ``right`` (at most one row per key).
 
-    Rows of hot keys get a salt from their own content (as do rows without a key, which match
-    nothing), and only the matching right rows, at most MAX_HOT, are repeated per salt. The salt is a pure function of the row, so a task that is run
-    again puts every row where it was. Joining on (key, salt) also gives both sides a plain
-    shuffle, which AQE's skew handling can split further (copies of one and the same row share
-    a salt). No side is forced to broadcast; the planner picks by size. The hot key list is
-    broadcast because its length is bounded.
+    Without hot keys this is the plain join, and the planner picks its kind by the sizes. Otherwise
+    rows of hot keys get a salt from their own content, and the right rows of these few keys are
+    repeated per salt. The salt is a pure function of the row, so a task that runs again puts every
+    row where it was. Copies of one and the same row share a salt; joining on (key, salt) gives both
+    sides a plain shuffle, which AQE's skew handling can split further.
     """
-    hot = F.broadcast(hot_keys(left, key, min_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(left, key, min_rows)
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin([k for k in hot if k is not None])
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
-    salted = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(0)
-    )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(salts))
-    joined = salted.drop("_hot").join(repeated.drop("_hot"), [key, "_salt"], how)
-    return joined.drop("_salt")
+    salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(0))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.withColumn("_salt", F.explode(salts))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
