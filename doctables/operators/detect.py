@@ -8,6 +8,7 @@ inside the row, so nothing here shuffles except the per-document count.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -137,29 +138,48 @@ def run_model(
     batch_size: int = 8,
     col: str = "image",
     keep_image: bool = False,
+    decode: Callable[[bytes], np.ndarray] | None = None,
 ) -> DataFrame:
     """Add ``logits``, ``boxes``, ``img_w`` and ``img_h`` by batched inference over page images.
 
     ``make_model`` runs once per Python worker and returns ``model(list of CHW float arrays) ->
     (logits [n, q, classes], boxes [n, q, 4])``. Preparing the tensors happens in the same Arrow
-    step, so an image crosses to Python once and its tensor never goes back to the JVM. Images that
-    did not decode (height -1) keep their row, with null ``logits`` and ``boxes``.
+    step, so an image crosses to Python once and its tensor never goes back to the JVM.
+
+    The column holds Spark's image struct or, with ``decode(bytes) -> RGB array``, the encoded file:
+    a twentieth of the bytes to move. Images that do not decode keep their row, with height -1 and
+    null ``logits`` and ``boxes``. Model batches do not cross Arrow batches, which are bounded by
+    bytes (see ``session.SETTINGS``).
     """
+    steps = profile if decode is None else replace(profile, bgr=False)
+
+    def pixels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray | None:
+        if decode is None:
+            return pixels.as_array(data, height, width, channels) if height > 0 else None
+        try:
+            return decode(data)
+        except Exception:  # noqa: BLE001 - an unreadable image is a row without detections
+            return None
 
     def make_predict():
         model = make_model()
 
         def predict(data, height, width, channels):
-            good = [i for i, h in enumerate(height) if h > 0]
-            out = {"logits": np.zeros((len(height), 0)), "boxes": np.zeros((len(height), 0))}
+            read = [
+                pixels_of(d, int(h), int(w), int(c)) for d, h, w, c in zip(data, height, width, channels)
+            ]
+            good = [i for i, img in enumerate(read) if img is not None]
+            out = {
+                "logits": np.zeros((len(read), 0)),
+                "boxes": np.zeros((len(read), 0)),
+                "height": np.array([-1 if img is None else img.shape[0] for img in read], np.int32),
+                "width": np.array([-1 if img is None else img.shape[1] for img in read], np.int32),
+            }
             if good:
-                tensors = [
-                    pixels.prepare(pixels.as_array(data[i], int(height[i]), int(width[i]), int(channels[i])), profile)
-                    for i in good
-                ]
+                tensors = [pixels.prepare(read[i], steps) for i in good]
                 for name, values in zip(("logits", "boxes"), model(tensors)):
                     flat = np.asarray(values, np.float64).reshape(len(good), -1)
-                    out[name] = np.zeros((len(height), flat.shape[1]))
+                    out[name] = np.zeros((len(read), flat.shape[1]))
                     out[name][good] = flat
             return out
 
@@ -169,13 +189,19 @@ def run_model(
         [
             T.StructField("logits", T.ArrayType(T.DoubleType())),
             T.StructField("boxes", T.ArrayType(T.DoubleType())),
+            T.StructField("height", T.IntegerType()),
+            T.StructField("width", T.IntegerType()),
         ]
     )
     # Marked so that the optimizer never copies the call into a filter and infers twice.
     infer = predict_batch_udf(make_predict, return_type=outputs, batch_size=batch_size).asNondeterministic()
-    image = F.struct(*[F.col(f"{col}.{f}") for f in ("data", "height", "width", "nChannels")])
+    if decode is None:
+        image = F.struct(*[F.col(f"{col}.{f}") for f in ("data", "height", "width", "nChannels")])
+    else:
+        none = F.lit(0)
+        image = F.struct(F.col(col).alias("data"), none.alias("height"), none.alias("width"), none.alias("nChannels"))
     called = images.withColumn("_out", infer(image))
-    decoded = F.col(f"{col}.height") > 0
+    decoded = F.col("_out.height") > 0
 
     def rows_of(flat: Column, width: int) -> Column:
         n = (F.size(flat) / width).cast("int")
@@ -185,6 +211,6 @@ def run_model(
         *[c for c in images.columns if keep_image or c != col],
         F.when(decoded, rows_of(F.col("_out.logits"), n_classes)).alias("logits"),
         F.when(decoded, rows_of(F.col("_out.boxes"), 4)).alias("boxes"),
-        F.col(f"{col}.width").alias("img_w"),
-        F.col(f"{col}.height").alias("img_h"),
+        F.col("_out.width").alias("img_w"),
+        F.col("_out.height").alias("img_h"),
     )

@@ -91,12 +91,14 @@ def paginate(
     batch_size: int = 10,
     done: DataFrame | None = None,
     overwrite: bool = False,
+    as_files: bool = True,
     resume: bool = False,
 ) -> DataFrame:
-    """Documents to page image files; returns the log of pages with status.
+    """Documents to page images; returns the log of pages with status.
 
     ``done`` (``image_path``) leaves out pages of earlier runs. What remains of each batch is one
-    call of the renderer.
+    call of the renderer. The images are the table ``<work>/pages``; ``as_files`` also writes one
+    file per page, which beyond millions of pages is better left out.
     """
     docs = sources.read_documents(spark, pdf_folder)
     counted = _stored(P.page_counts(docs, count_pages), f"{work}/documents", resume)
@@ -109,8 +111,9 @@ def paginate(
     )
     rendered = P.with_page_path(P.render_batches(batches, render, read, tasks, dpi), image_folder)
     made = _stored(rendered, f"{work}/pages", resume)
-    whole = P.drop_empty_pages(made).withColumn("name", paths.file_name(F.col("image_path")))
-    _stored(out_files.write_files(whole, image_folder, "name", "image", overwrite), f"{work}/page_files", resume)
+    if as_files:
+        whole = P.drop_empty_pages(made).withColumn("name", paths.file_name(F.col("image_path")))
+        _stored(out_files.write_files(whole, image_folder, "name", "image", overwrite), f"{work}/page_files", resume)
     bad = P.quarantine(counted).select(
         "doc_path", F.lit(None).cast("int").alias("page_num"), "status", "reason", F.lit(None).cast("string").alias("image_path")
     )
@@ -125,12 +128,14 @@ def detect_tables(
     labels: dict[int, str] = schemas.DETECTION_LABELS,
     profile: pixels.Profile = pixels.BINARIZED,
     batch_size: int = 8,
+    decode: Callable | None = None,
 ) -> None:
     """Page images (``file_path``, ``image``) to stored results, one partition per run, in one pass.
 
-    Images that do not decode are stored with a null list instead of stopping the run.
+    Images that do not decode are stored with a null list instead of stopping the run. With
+    ``decode`` the column holds encoded files, such as the table that ``paginate`` writes.
     """
-    raw = D.run_model(images, make_model, len(labels), profile, batch_size)
+    raw = D.run_model(images, make_model, len(labels), profile, batch_size, decode=decode)
     out_tables.write_run(D.page_results(raw, labels), f"{out}/results", run_id)
 
 

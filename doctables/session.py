@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # AQE sizes the shuffles and splits skewed join partitions. Image rows are tens of megabytes, so
-# Arrow batches are bounded by bytes; the record bound only matters for narrow rows.
+# Arrow batches are bounded by bytes (about ten decoded pages, a model batch); the record bound
+# only matters for narrow rows.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -15,7 +16,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     # Call sites of column expressions are not recorded: wide plans build faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(256 * 1024 * 1024),
 }
 
 

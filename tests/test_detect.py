@@ -2,9 +2,11 @@
 
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from doctables import schemas
@@ -16,6 +18,9 @@ from doctables.operators import results as RES
 from doctables.sinks import tables as sinks
 from doctables.sources import tables as sources
 
+# The stand-in model and decoder travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RAW = "file_path STRING, logits ARRAY<ARRAY<DOUBLE>>, boxes ARRAY<ARRAY<DOUBLE>>, img_w INT, img_h INT"
 BOX = [0.5, 0.5, 0.2, 0.4]
 
@@ -119,6 +124,36 @@ def test_model_over_decoded_images(spark, folder):
         assert (got[name].img_h, got[name].img_w) == img.shape[:2]
 
 
+def _decode(data: bytes):
+    """Enough of a PNG reader for files this library wrote."""
+    import struct
+    import zlib
+
+    if not data.startswith(b"\x89PNG"):
+        raise ValueError("not an image")
+    width, height = struct.unpack(">II", data[16:24])
+    size = struct.unpack(">I", data[33:37])[0]
+    lines = np.frombuffer(zlib.decompress(data[41 : 41 + size]), np.uint8).reshape(height, -1)[:, 1:]
+    return lines if data[25] == 0 else lines.reshape(height, width, 3)
+
+
+def test_encoded_images_give_the_same_output(spark, folder):
+    images_folder(folder)
+    model = _counting_model(set())
+    for profile in (pixels.Profile(binarize=True, max_size=16), pixels.Profile(binarize=False, max_size=16)):
+        decoded = D.run_model(sources.read_images(spark, folder), model, 3, profile)
+        files = sources.read_documents(spark, folder, "*.png").select(
+            F.regexp_replace("doc_path", "^file:/+", "/").alias("file_path"), F.col("content").alias("image"))
+        encoded = D.run_model(files, model, 3, profile, decode=_decode, batch_size=3)
+        assert sorted(encoded.collect()) == sorted(decoded.collect()) and encoded.count() == 4
+
+
+def test_layout_labels_and_their_threshold(spark):
+    best = lambda i, top: [top if j == i else 0.0 for j in range(5)]
+    rows = D.page_results(raw(spark, best(3, 9.0), best(4, 1.0), best(0, 5.0)), schemas.LAYOUT_LABELS, min_score=0.8)
+    assert [d.label for d in rows.first().detections] == ["Table", "Text"]
+
+
 def test_the_model_runs_once_below_a_filter(spark, folder):
     images_folder(folder)
     raw_rows = D.run_model(sources.read_images(spark, folder), _counting_model(set()), 3, pixels.PLAIN)
