@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 MAX_HOT = 128
 # Entries of the counting sketch. Its error is below 4/TRACKED of all rows, far under 1/MAX_HOT,
 # so no hot key is missed.
-TRACKED = 4096
+TRACKED = 2048
+# First-level merges of the tasks' sketches.
+MERGES = 256
 SALTS = 32
 MIN_HOT_ROWS = 200_000
 
@@ -17,15 +19,26 @@ MIN_HOT_ROWS = 200_000
 def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
     """Keys above 1/MAX_HOT of all rows and above ``min_rows``; None stands for rows without a key.
 
-    Runs one job over the key column. Every task sends one sketch of bounded size, so the keys
-    themselves are not shuffled, and at most MAX_HOT + 1 values come back.
+    Runs one job over the key column. Every task sends one sketch of bounded size, merged in two
+    levels, so the keys themselves are not shuffled, and at most MAX_HOT + 1 values come back.
     """
-    top = F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {TRACKED}) FILTER (WHERE `{key}` IS NOT NULL)")
-    row = df.select(key).agg(F.count(F.lit(1)), F.count(key), top).first()
-    total, with_key, found = row
-    least = max(min_rows, total / MAX_HOT)
-    hot = [item["item"] for item in found or [] if item["count"] >= least]
-    return hot + ([None] if total - with_key >= least else [])
+    merge = F.spark_partition_id() % MERGES
+    sketch = F.expr(f"approx_top_k_accumulate(_key, {TRACKED}) FILTER (WHERE _key IS NOT NULL)")
+    parts = df.select(F.col(f"`{key}`").alias("_key"), merge.alias("_merge")).groupBy("_merge").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("_key").alias("_keys"), sketch.alias("_sketch")
+    )
+    # Grouped by a constant, so that an empty frame gives no row instead of an empty sketch.
+    whole = parts.groupBy(F.lit(1)).agg(
+        F.sum("_rows").alias("_rows"),
+        F.sum("_keys").alias("_keys"),
+        F.expr(f"approx_top_k_combine(_sketch, {TRACKED})").alias("_sketch"),
+    )
+    row = whole.select("_rows", "_keys", F.expr(f"approx_top_k_estimate(_sketch, {MAX_HOT})").alias("_top")).first()
+    if row is None:
+        return []
+    least = max(min_rows, row["_rows"] / MAX_HOT)
+    hot = [item["item"] for item in row["_top"] if item["count"] >= least]
+    return hot + ([None] if row["_rows"] - row["_keys"] >= least else [])
 
 
 def lookup_join(
