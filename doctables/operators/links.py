@@ -18,6 +18,10 @@ from doctables.operators.lookup import lookup_join
 DOCUMENT_CLASS = "usa-link Document"
 
 
+# URLs that are broadcast to prune pages: some 10 MB.
+MAX_BROADCAST_URLS = 100_000
+
+
 def page_hrefs(pages: DataFrame, class_name: str | None = None, html: str = "html") -> DataFrame:
     """Replace the page body by ``hrefs``: the link targets of one class in page order."""
     keys = [c for c in pages.columns if c != html]
@@ -43,13 +47,30 @@ def resolve_links(links: DataFrame, page_url: str = "url", href: str = "href") -
     return links.withColumn("link_url", urls.resolve_link(F.col(page_url), F.col(href)))
 
 
-def catalog_links(catalog: DataFrame, pages: DataFrame, class_name: str | None = DOCUMENT_CLASS) -> DataFrame:
+def _catalogued(pages: DataFrame, catalog: DataFrame, max_urls: int) -> DataFrame:
+    """Drop pages that no catalog row asks for before they are parsed, if the catalog is small.
+
+    The number of URLs is checked before they are broadcast. Beyond it all pages are parsed: a
+    shuffled join here would move the page bodies.
+    """
+    wanted = catalog.select("url").distinct()
+    if wanted.limit(max_urls + 1).count() > max_urls:
+        return pages
+    return pages.join(F.broadcast(wanted), "url", "left_semi")
+
+
+def catalog_links(
+    catalog: DataFrame,
+    pages: DataFrame,
+    class_name: str | None = DOCUMENT_CLASS,
+    max_urls: int = MAX_BROADCAST_URLS,
+) -> DataFrame:
     """(publication, link) rows for every catalog row whose page was fetched.
 
     Several landed copies of one page count once: the smallest link list, so the choice does not
     depend on row order. Copies combine map-side before the shuffle.
     """
-    lists = page_hrefs(pages.select("url", "html"), class_name)
+    lists = page_hrefs(_catalogued(pages.select("url", "html"), catalog, max_urls), class_name)
     one_per_page = lists.groupBy("url").agg(F.min("hrefs").alias("hrefs"))
     keys = catalog.columns
     pairs = lookup_join(catalog, one_per_page, "url", "inner")

@@ -130,6 +130,10 @@ def test_catalog_links_and_plans(spark):
     rows = L.catalog_links(catalog, pages)
     assert sorted((r.publication_id, r.link_pos, r.link_url) for r in rows.collect()) == [
         (1, 0, "http://s/1.pdf"), (1, 1, "http://s/d/2.pdf"), (4, 0, "http://s/1.pdf"), (4, 1, "http://s/d/2.pdf")]
+    unpruned = L.catalog_links(catalog, pages, max_urls=2)
+    assert sorted(unpruned.collect()) == sorted(rows.collect())
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (rows, unpruned)]
+    assert ["LeftSemi" in p for p in plans] == [True, False]
     plan = {r.publication_id: (r.link_url, r.file_path, r.n_links) for r in L.download_plan_by_id(rows).collect()}
     assert plan == {1: ("http://s/d/2.pdf", "1.pdf", 2), 4: ("http://s/d/2.pdf", "4.pdf", 2)}
     assert sorted((r.publication_id, r.link_pos) for r in L.overwritten_links(rows).collect()) == [(1, 0), (4, 0)]
