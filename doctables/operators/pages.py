@@ -159,13 +159,18 @@ def pending_pages(pages: DataFrame, done: DataFrame, overwrite: bool = False) ->
     return pages if overwrite else pages.join(done.select("image_path"), "image_path", "left_anti")
 
 
-def page_preview(pages: DataFrame, num: int = 1, scale: float = 0.25) -> DataFrame:
-    """The n-th page (from 1) of every document with its preview size, truncated to whole pixels."""
+def with_preview_size(images: DataFrame, scale: float = 0.4) -> DataFrame:
+    """Scaled size of images or crops, truncated to whole pixels."""
+
     def side(c: str) -> Column:
         return (F.lit(scale) * F.col(c)).cast("int")
 
-    shown = pages.filter(F.col("page_num") == num)
-    return shown.withColumns({"preview_w": side("width"), "preview_h": side("height")})
+    return images.withColumns({"preview_w": side("width"), "preview_h": side("height")})
+
+
+def page_preview(pages: DataFrame, num: int = 1, scale: float = 0.25) -> DataFrame:
+    """The n-th page (from 1) of every document with its preview size."""
+    return with_preview_size(pages.filter(F.col("page_num") == num), scale)
 
 
 def quarantine(rows: DataFrame) -> DataFrame:

@@ -79,10 +79,11 @@ def overlay_styles(spark: SparkSession) -> DataFrame:
 
 def overlay_rects(results: DataFrame) -> DataFrame:
     """Rectangles to draw, three layers per detection; labels without a style are skipped."""
-    rows = explode_list(results, F.col("detections"), "table_idx", "d", ["file_path"])
+    keys = [c for c in results.columns if c != "detections"]
+    rows = explode_list(results, F.col("detections"), "table_idx", "d", keys)
     x0, y0, x1, y1 = (B.part(F.col("d.bbox"), i) for i in range(4))
     rects = rows.select(
-        "file_path", "table_idx", "d.label",
+        *keys, "table_idx", "d.label",
         x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"),
     )
     # Six fixed rows.

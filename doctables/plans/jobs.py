@@ -141,8 +141,7 @@ def detect_tables(
 
 def annotate(results: DataFrame, folder: str) -> DataFrame:
     """What to draw on which output image."""
-    pages = RES.with_output_path(RES.annotated_pages(results), folder)
-    return RES.overlay_rects(pages).join(pages.select("file_path", "out_path"), "file_path")
+    return RES.overlay_rects(RES.with_output_path(RES.annotated_pages(results), folder))
 
 
 def record_tables(

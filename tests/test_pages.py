@@ -115,6 +115,7 @@ def test_pending_and_preview(spark):
     assert (row.preview_w, row.preview_h) == (83, 25)
     (row,) = P.page_preview(pages, 2, 0.4).collect()
     assert (row.preview_w, row.preview_h) == (2, 3)
+    assert [(r.preview_w, r.preview_h) for r in P.with_preview_size(pages).orderBy("image_path").collect()] == [(133, 40), (2, 3)]
 
 
 def test_kept_pages_are_freed(spark):
