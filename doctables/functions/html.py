@@ -30,8 +30,9 @@ _ATTRS = rf"(?:[ \t\n\r\f]+{_NAME}(?:[ \t\n\r\f]*=[ \t\n\r\f]*{_VALUE})?+)*+[ \t
 _SKIPPED = "|".join(
     [
         r"!--(?!-?>)(?:[^-]++|-(?!-))*+-->",
-        rf"(script|style){_ATTRS}>(?:[^<]++|<(?!/\s*\1))*+</\1\s*>",
-        r"!doctype[^>]*>",
+        # Stops at the next opening of its kind, so unclosed elements are not scanned over and over.
+        rf"(script|style){_ATTRS}>(?:[^<]++|<(?!/?\s*\1))*+</\1\s*>",
+        r"!doctype[^<>]*>",
         r"/[a-z][a-z0-9:._-]*[ \t\n\r\f]*>",
         rf"(?!(?:a|script|style)[ \t\n\r\f/>])[a-z][a-z0-9:-]*{_ATTRS}/?>",
     ]

@@ -82,6 +82,25 @@ def test_references_send_only_the_anchors_to_the_parser(spark):
     assert none is None and [a.href for a in first] == ["/x?a=1&amp;b"]
 
 
+def test_huge_pages(spark):
+    """No deep recursion and no repeated scanning, whatever the page is made of."""
+    n = 200_000
+    pages = [
+        "<script>" + "a<b " * n + "</script><a href='/1'>",
+        "<!--" + "a-b " * n + "--><a href='/1'>",
+        "<p " + " ".join(f"a{i}='{i}'" for i in range(n // 4)) + "><a href='/1'>",
+        '<p title="' + "x" * (4 * n) + '"><a href=\'/1\'>',
+        "<b>" * n + "<a href='/1'>",
+        "text < 1 " * n + "<a href='/1'>",
+    ]
+    df = spark.createDataFrame([(p,) for p in pages], "html STRING")
+    for r in df.select(_anchors(F.col("html")).alias("a")).collect():
+        assert [a.href for a in r.a] == ["/1"]
+    hard = ["<script>a" * 20_000, "<!doctype " * 20_000, "<a href='" * 20_000, "<!-- " * 20_000, "<style" * 20_000]
+    df = spark.createDataFrame([(p,) for p in hard], "html STRING")
+    assert df.filter(H.is_odd(H.anchor_tokens(F.col("html")))).count() == len(hard)
+
+
 @pytest.mark.parametrize("wanted,expected", [
     ("usa-link Document", {"/exact", "/blanks"}),
     ("Document", {"/exact", "/blanks", "/swapped", "/extra"}),
