@@ -8,7 +8,9 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from doctables.registry.entries import QUERIES  # noqa: E402
+from doctables.registry.oracle import ORACLE  # noqa: E402
 from tools.check_queries import connect, differences  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -20,10 +22,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert differences(spark, con, name, SF) is None
 
