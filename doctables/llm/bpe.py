@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-1. Documents are split into words, block by block. A block keeps each of its words once, and its
-   documents as positions in that list.
-2. The words of all blocks, each once, make the distinct-word table; every word is encoded once.
-3. The ids return to the blocks by a join on the word, in list order, and are copied to the
-   documents' positions.
-
-What is shuffled is each block's word list and its positions, not a row per word. Decoding looks
-every id up in the table of pieces, which is as large as the vocabulary and no larger.
+1. Documents are split into words, block by block. A block keeps each of its words once, in lists by
+   a hash of the word, and its documents as positions in these lists.
+2. The lists of one hash, of all blocks, meet in one task: a part of the distinct-word table, where
+   every word is encoded once.
+3. The ids return to their block, in list order, and are copied to the documents' positions.
+
+What is shuffled is each block's word lists and its compressed positions, not a row per word.
+Decoding looks every id up in the table of pieces, which is as large as the vocabulary and no larger.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,9 @@ from doctables.llm.common import stored, whole_text
 # A block ends with the document that takes it over one of these sizes.
 BLOCK_CHARS = 2_000_000
 BLOCK_DOCS = 20_000
+# Parts of the distinct-word table, and the words of a part that are held at once.
+BUCKETS = 512
+TABLE_WORDS = 1_000_000
 # Characters below this are split by one regular expression; its classes are those of all Unicode
 # versions there. Texts with other characters are split by the tokenizer's own splitter.
 _PLAIN_BELOW = 0x250
@@ -83,47 +88,72 @@ class _Positions(dict):
         return at
 
 
-def word_blocks(docs: DataFrame, path: str) -> DataFrame:
-    """Rows (``block``, ``doc_ids``, ``streams``, ``words``): ``streams`` holds each document's
-    positions in ``words`` as 32-bit numbers."""
+def _packed(positions: list[np.ndarray], size: int) -> bytes:
+    """Positions of a block's documents as compressed 16- or 32-bit numbers."""
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    return pa.compress(np.concatenate(positions).astype(kind).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, count: int, size: int) -> np.ndarray:
+    kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+    return np.frombuffer(pa.decompress(data, count * kind.itemsize, "zstd", asbytes=True), dtype=kind)
+
+
+def word_blocks(docs: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rows (``block``, ``doc_ids``, ``n_words``, ``stream``, ``lists``): ``lists`` has the block's
+    words by hash, ``stream`` the documents' positions in their concatenation, one after the other."""
+
+    def block(number: int, ids: list, streams: list[np.ndarray], words: _Positions) -> pa.RecordBatch:
+        order = list(words)
+        bucket = np.array([zlib.crc32(w.encode()) % buckets for w in order], dtype=np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[by_bucket] = np.arange(len(order))
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+        sorted_words = [order[i] for i in by_bucket.tolist()]
+        lists = [sorted_words[a:b] for a, b in zip([0, *ends], ends)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.array([ids], pa.list_(pa.int64())),
+                pa.array([[len(s) for s in streams]], pa.list_(pa.int32())),
+                pa.array([_packed([place[s] for s in streams], len(order))], pa.binary()),
+                pa.array([lists], pa.list_(pa.list_(pa.string()))),
+            ],
+            ["block", "doc_ids", "n_words", "stream", "lists"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         split = word_splitter(path)
-        part, count = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 32
         ids, streams, words, chars = [], [], _Positions(), 0
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f"{part}-{count}"]),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([streams], pa.list_(pa.binary())),
-                    pa.array([list(words)], pa.list_(pa.string())),
-                ],
-                ["block", "doc_ids", "streams", "words"],
-            )
-
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 ids.append(doc_id)
-                streams.append(np.array(list(map(words.__getitem__, split(text))), dtype=np.uint32).tobytes())
+                streams.append(np.array(list(map(words.__getitem__, split(text))), dtype=np.int32))
                 chars += len(text)
                 if chars >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
-                    yield block()
-                    count += 1
+                    yield block(number, ids, streams, words)
+                    number += 1
                     ids, streams, words, chars = [], [], _Positions(), 0
         if ids:
-            yield block()
+            yield block(number, ids, streams, words)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "block string, doc_ids array<long>, streams array<binary>, words array<string>")
+    return rows.mapInArrow(
+        run, "block long, doc_ids array<long>, n_words array<int>, stream binary, lists array<array<string>>"
+    )
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(``word``, ``ids``) for the distinct words."""
+def encode_lists(lists: DataFrame, path: str) -> DataFrame:
+    """Word lists (``block``, ``bucket``, ``words``) to ids: ``sizes`` per word, and ``ids``.
+
+    The rows of a bucket come one after the other, and a word has one bucket, so it is encoded once;
+    the table of a bucket starts again beyond ``TABLE_WORDS`` words, which bounds its memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -134,12 +164,25 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
+        known: dict[str, list[int]] = {}
+        last = None
         for batch in batches:
-            encoded = tok.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            ids = pa.array([e.ids for e in encoded], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["word", "ids"])
+            buckets = batch.column(1).to_pylist()
+            rows = batch.column(2).to_pylist()
+            if last != buckets[0] or len(known) > TABLE_WORDS:
+                known = {}
+            last = buckets[-1]
+            new = list(dict.fromkeys(w for row in rows for w in row if w not in known))
+            known.update(zip(new, (e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False))))
+            sizes = [[len(known[w]) for w in row] for row in rows]
+            ids = [list(chain.from_iterable(map(known.__getitem__, row))) for row in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))],
+                ["block", "bucket", "sizes", "ids"],
+            )
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block long, bucket int, sizes array<int>, ids array<int>")
 
 
 def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,25 +190,23 @@ def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         for row in range(batch.num_rows):
             doc_ids = batch.column("doc_ids")[row].values
-            streams = batch.column("streams")[row].values.to_pylist()
-            listed = batch.column("ids")[row]
-            if listed.is_valid:
-                lists = listed.values
-                sizes = lists.value_lengths().to_numpy().astype(np.int64)
-                flat = lists.flatten().to_numpy()
+            n_words = batch.column("n_words")[row].values.to_numpy()
+            if batch.column("sizes")[row].is_valid:
+                sizes = batch.column("sizes")[row].values.flatten().to_numpy().astype(np.int64)
+                flat = batch.column("ids")[row].values.flatten().to_numpy()
             else:  # a block of empty texts has no words
                 sizes, flat = np.empty(0, np.int64), np.empty(0, np.int32)
+            stream = _unpacked(batch.column("stream")[row].as_py(), int(n_words.sum()), len(sizes))
             begins = np.cumsum(sizes) - sizes
-            for first in range(0, len(streams), 256):
-                some = streams[first : first + 256]
-                at = np.frombuffer(b"".join(some), dtype=np.uint32)
+            edges = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
+            for first in range(0, len(n_words), 256):
+                some = edges[first : first + 257]
+                at = stream[some[0] : some[-1]]
                 n = sizes[at]
-                ends = np.cumsum(n)
-                source = np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
-                words = np.cumsum([0] + [len(s) // 4 for s in some])
-                offsets = np.concatenate([[0], ends])[words].astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[source].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(some)), ids], ["doc_id", "ids"])
+                ends = np.concatenate([[0], np.cumsum(n)])
+                source = np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])
+                ids = pa.ListArray.from_arrays(pa.array(ends[some - some[0]].astype(np.int32)), pa.array(flat[source]))
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(some) - 1), ids], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -176,12 +217,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     each. Other columns are ignored. An empty table gives no rows.
     """
     blocks = stored(word_blocks(docs, path), "blocks")
-    listed = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    table = encode_words(listed.select("word").distinct(), path)
-    back = listed.join(table, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("got"))
-    ids = back.select("block", F.transform("got", lambda g: g["ids"]).alias("ids"))
-    whole = blocks.select("block", "doc_ids", "streams").join(ids, "block", "left")
-    return whole.select("doc_ids", "streams", "ids").mapInArrow(_copy_to_positions, "doc_id long, ids array<int>")
+    lists = blocks.select("block", F.posexplode("lists").alias("bucket", "words")).filter(F.size("words") > 0)
+    coded = encode_lists(lists, path).groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("got")
+    )
+    back = coded.select("block", F.col("got.sizes").alias("sizes"), F.col("got.ids").alias("ids"))
+    whole = blocks.select("block", "doc_ids", "n_words", "stream").join(back, "block", "left")
+    return whole.select("doc_ids", "n_words", "stream", "sizes", "ids").mapInArrow(
+        _copy_to_positions, "doc_id long, ids array<int>"
+    )
 
 
 def pieces(path: str) -> list[bytes]:
