@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +44,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_crc(remainder: int, modulus: int, test: Callable[[Column, Column], Column], key: str = "doc_id") -> Column:
-    """Compare the crc32 of an id's text, modulo ``modulus``, with ``remainder``."""
-    crc = F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8"))
-    return test(F.pmod(crc, F.lit(modulus)), F.lit(remainder))
+def crc_remainder(modulus: int, key: str = "doc_id") -> Column:
+    """crc32 of an id's text (a null id: the empty text), modulo ``modulus``."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))

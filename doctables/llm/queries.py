@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, simhash
-from doctables.llm.common import table
+from doctables.llm import bpe, quality, simhash
+from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,17 @@ def op5_bpe(spark, sf):
     )
 
 
+@query
+def op7_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = crc_remainder(5) == 0
+    model = quality.fit(docs, table(spark, sf, "labels").filter(~held_out))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @query
 def op8_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
