@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, quality, simhash
+from doctables.llm import bpe, decontaminate, quality, simhash
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def op5_bpe(spark, sf):
     )
 
 
+@query
+def op6_decontaminate(spark, sf):
+    found = decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", F.explode("item_ids").alias("item_id"), "doc_start", "doc_end", "n_overlap", "n_equal"
+    )
+
+
 @query
 def op7_quality(spark, sf):
     docs = table(spark, sf, "documents")
