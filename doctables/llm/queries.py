@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, decontaminate, quality, simhash
+from doctables.llm import bpe, decontaminate, pii, quality, simhash
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,23 @@ def _sha(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def _span_list(kinds: tuple[str, ...]) -> Column:
+    of_kinds = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    one = F.transform(of_kinds, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(one, ",")
+
+
+@query
+def op2_pii(spark, sf):
+    found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, _sha(_span_list(pii.BASE_KINDS)).alias("base_sha256"), _span_list(pii.KINDS).alias("spans"))
+
+
 @query
 def op5_bpe(spark, sf):
     path = vocabulary_file()
