@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, decontaminate, pii, quality, simhash
+from doctables.llm import bpe, decontaminate, pii, quality, repeats, simhash
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,18 @@ def op7_quality(spark, sf):
 @query
 def op8_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op10_repeats(spark, sf):
+    docs = table(spark, sf, "documents")
+    texts = repeats.cleaned_texts(docs).select(
+        "same",
+        "n_bytes",
+        "n_removed",
+        F.size("stretches").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    return repeats.per_document(docs, texts).select(
+        "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"
+    )
