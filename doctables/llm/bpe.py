@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from doctables.llm.common import stored, whole_text
 
 # A block ends with the document that takes it over one of these sizes.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
 BLOCK_DOCS = 20_000
 # Parts of the distinct-word table, and the words of a part that are held at once.
-BUCKETS = 512
+BUCKETS = 128
 TABLE_WORDS = 1_000_000
 # Characters below this are split by one regular expression; its classes are those of all Unicode
 # versions there. Texts with other characters are split by the tokenizer's own splitter.
@@ -88,15 +88,34 @@ class _Positions(dict):
         return at
 
 
-def _packed(positions: list[np.ndarray], size: int) -> bytes:
-    """Positions of a block's documents as compressed 16- or 32-bit numbers."""
-    kind = np.uint16 if size <= 1 << 16 else np.uint32
-    return pa.compress(np.concatenate(positions).astype(kind).tobytes(), "zstd", asbytes=True)
+def _packed(*numbers: np.ndarray, text: bytes = b"") -> bytes:
+    """Arrays of non-negative numbers and a text, compressed: rows of lists are mostly padding."""
+    small = all(not len(n) or n.max() < 1 << 16 for n in numbers)
+    kind = np.uint16 if small else np.uint32
+    data = b"".join(n.astype(kind).tobytes() for n in numbers) + text
+    head = np.array([small, len(data), *map(len, numbers)], dtype=np.uint32).tobytes()
+    return bytes([len(numbers)]) + head + pa.compress(data, "zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, count: int, size: int) -> np.ndarray:
-    kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
-    return np.frombuffer(pa.decompress(data, count * kind.itemsize, "zstd", asbytes=True), dtype=kind)
+def _unpacked(row: bytes) -> tuple[list[np.ndarray], bytes]:
+    count = row[0]
+    small, size, *lengths = np.frombuffer(row, dtype=np.uint32, count=count + 2, offset=1).tolist()
+    data = pa.decompress(row[1 + 4 * (count + 2) :], size, "zstd", asbytes=True)
+    kind = np.dtype(np.uint16 if small else np.uint32)
+    ends = np.cumsum([0] + lengths) * kind.itemsize
+    parts = [np.frombuffer(data, dtype=kind, count=n, offset=int(a)) for n, a in zip(lengths, ends)]
+    return parts, data[int(ends[-1]) :]
+
+
+def _packed_words(words: list[str]) -> bytes:
+    encoded = [w.encode() for w in words]
+    return _packed(np.array([len(w) for w in encoded], dtype=np.int64), text=b"".join(encoded))
+
+
+def _unpacked_words(row: bytes) -> list[str]:
+    (sizes,), text = _unpacked(row)
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [text[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
 def word_blocks(docs: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
@@ -111,14 +130,14 @@ def word_blocks(docs: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame
         place[by_bucket] = np.arange(len(order))
         ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
         sorted_words = [order[i] for i in by_bucket.tolist()]
-        lists = [sorted_words[a:b] for a, b in zip([0, *ends], ends)]
+        lists = [_packed_words(sorted_words[a:b]) if a < b else None for a, b in zip([0, *ends], ends)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([[len(s) for s in streams]], pa.list_(pa.int32())),
-                pa.array([_packed([place[s] for s in streams], len(order))], pa.binary()),
-                pa.array([lists], pa.list_(pa.list_(pa.string()))),
+                pa.array([_packed(place[np.concatenate(streams)])], pa.binary()),
+                pa.array([lists], pa.list_(pa.binary())),
             ],
             ["block", "doc_ids", "n_words", "stream", "lists"],
         )
@@ -144,12 +163,12 @@ def word_blocks(docs: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(
-        run, "block long, doc_ids array<long>, n_words array<int>, stream binary, lists array<array<string>>"
+        run, "block long, doc_ids array<long>, n_words array<int>, stream binary, lists array<binary>"
     )
 
 
 def encode_lists(lists: DataFrame, path: str) -> DataFrame:
-    """Word lists (``block``, ``bucket``, ``words``) to ids: ``sizes`` per word, and ``ids``.
+    """Packed word lists (``block``, ``bucket``, ``words``) to packed ``ids``, with their number per word.
 
     The rows of a bucket come one after the other, and a word has one bucket, so it is encoded once;
     the table of a bucket starts again beyond ``TABLE_WORDS`` words, which bounds its memory.
@@ -168,21 +187,24 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
         last = None
         for batch in batches:
             buckets = batch.column(1).to_pylist()
-            rows = batch.column(2).to_pylist()
+            rows = [_unpacked_words(row) for row in batch.column(2).to_pylist()]
             if last != buckets[0] or len(known) > TABLE_WORDS:
                 known = {}
             last = buckets[-1]
             new = list(dict.fromkeys(w for row in rows for w in row if w not in known))
             known.update(zip(new, (e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False))))
-            sizes = [[len(known[w]) for w in row] for row in rows]
-            ids = [list(chain.from_iterable(map(known.__getitem__, row))) for row in rows]
+            out = []
+            for row in rows:
+                ids = [known[w] for w in row]
+                sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(sizes.sum()))
+                out.append(_packed(sizes, flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))],
-                ["block", "bucket", "sizes", "ids"],
+                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "ids"]
             )
 
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block long, bucket int, sizes array<int>, ids array<int>")
+    return dealt.mapInArrow(run, "block long, bucket int, ids binary")
 
 
 def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +213,11 @@ def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for row in range(batch.num_rows):
             doc_ids = batch.column("doc_ids")[row].values
             n_words = batch.column("n_words")[row].values.to_numpy()
-            if batch.column("sizes")[row].is_valid:
-                sizes = batch.column("sizes")[row].values.flatten().to_numpy().astype(np.int64)
-                flat = batch.column("ids")[row].values.flatten().to_numpy()
-            else:  # a block of empty texts has no words
-                sizes, flat = np.empty(0, np.int64), np.empty(0, np.int32)
-            stream = _unpacked(batch.column("stream")[row].as_py(), int(n_words.sum()), len(sizes))
+            # A block of empty texts has no words and no ids.
+            parts = [_unpacked(p)[0] for p in batch.column("ids")[row].as_py() or []]
+            sizes = np.concatenate([np.empty(0, np.int64), *(p[0] for p in parts)]).astype(np.int64)
+            flat = np.concatenate([np.empty(0, np.int32), *(p[1] for p in parts)]).astype(np.int32)
+            (stream,), _ = _unpacked(batch.column("stream")[row].as_py())
             begins = np.cumsum(sizes) - sizes
             edges = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
             for first in range(0, len(n_words), 256):
@@ -217,13 +238,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     each. Other columns are ignored. An empty table gives no rows.
     """
     blocks = stored(word_blocks(docs, path), "blocks")
-    lists = blocks.select("block", F.posexplode("lists").alias("bucket", "words")).filter(F.size("words") > 0)
+    lists = blocks.select("block", F.posexplode("lists").alias("bucket", "words")).filter("words IS NOT NULL")
     coded = encode_lists(lists, path).groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("got")
+        F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("got")
     )
-    back = coded.select("block", F.col("got.sizes").alias("sizes"), F.col("got.ids").alias("ids"))
+    back = coded.select("block", F.col("got.ids").alias("ids"))
     whole = blocks.select("block", "doc_ids", "n_words", "stream").join(back, "block", "left")
-    return whole.select("doc_ids", "n_words", "stream", "sizes", "ids").mapInArrow(
+    return whole.select("doc_ids", "n_words", "stream", "ids").mapInArrow(
         _copy_to_positions, "doc_id long, ids array<int>"
     )
 
