@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, decontaminate, pii, quality, repeats, simhash
+from doctables.llm import bpe, decontaminate, pii, quality, repeats, simhash, toxicity
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,10 +47,10 @@ def op2_pii(spark, sf):
     return found.select("doc_id", *counts, _sha(_span_list(pii.BASE_KINDS)).alias("base_sha256"), _span_list(pii.KINDS).alias("spans"))
 
 
-@query
-def op5_bpe(spark, sf):
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Encode, decode, and reduce both to digests."""
     path = vocabulary_file()
-    encoded = bpe.encode(table(spark, sf, "documents"), path)
+    encoded = bpe.encode(docs, path)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -59,6 +59,11 @@ def op5_bpe(spark, sf):
     )
 
 
+@query
+def op5_bpe(spark, sf):
+    return encoded_digests(table(spark, sf, "documents"))
+
+
 @query
 def op6_decontaminate(spark, sf):
     found = decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -83,6 +88,17 @@ def op8_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op9_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = crc_remainder(4) == 2
+    net = toxicity.fit(docs, table(spark, sf, "labels").filter(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @query
 def op10_repeats(spark, sf):
     docs = table(spark, sf, "documents")
