@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, decontaminate, pii, quality, repeats, simhash, toxicity
+from doctables.llm import bpe, decontaminate, pii, quality, repeats, simhash, toxicity, webpages
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,12 @@ def op2_pii(spark, sf):
     return found.select("doc_id", *counts, _sha(_span_list(pii.BASE_KINDS)).alias("base_sha256"), _span_list(pii.KINDS).alias("spans"))
 
 
+@query
+def op4_webpages(spark, sf):
+    found = webpages.with_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode, and reduce both to digests."""
     path = vocabulary_file()
