@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm.common import stored, whole_text
+from doctables.llm.common import whole_text
 
 # A block ends with the document that takes it over one of these sizes.
-BLOCK_CHARS = 4_000_000
-BLOCK_DOCS = 20_000
+BLOCK_CHARS = 16_000_000
+BLOCK_DOCS = 100_000
 # Parts of the distinct-word table, and the words of a part that are held at once.
 BUCKETS = 128
 TABLE_WORDS = 1_000_000
@@ -89,22 +89,32 @@ class _Positions(dict):
 
 
 def _packed(*numbers: np.ndarray, text: bytes = b"") -> bytes:
-    """Arrays of non-negative numbers and a text, compressed: rows of lists are mostly padding."""
-    small = all(not len(n) or n.max() < 1 << 16 for n in numbers)
-    kind = np.uint16 if small else np.uint32
-    data = b"".join(n.astype(kind).tobytes() for n in numbers) + text
-    head = np.array([small, len(data), *map(len, numbers)], dtype=np.uint32).tobytes()
-    return bytes([len(numbers)]) + head + pa.compress(data, "zstd", asbytes=True)
+    """Arrays of non-negative numbers and a text, compressed.
+
+    All first bytes of an array's numbers come first, then all second ones, and so on: the higher
+    bytes are mostly zero and vanish.
+    """
+    head, parts = [], []
+    for n in numbers:
+        wide = max(1, (int(n.max()).bit_length() + 7) // 8) if len(n) else 1
+        head += [len(n), wide]
+        parts += [(n >> (8 * i)).astype(np.uint8).tobytes() for i in range(wide)]
+    data = b"".join([*parts, text])
+    return bytes([len(numbers)]) + np.array([len(data), *head], dtype="<u4").tobytes() + pa.compress(data, "zstd", asbytes=True)
 
 
 def _unpacked(row: bytes) -> tuple[list[np.ndarray], bytes]:
-    count = row[0]
-    small, size, *lengths = np.frombuffer(row, dtype=np.uint32, count=count + 2, offset=1).tolist()
-    data = pa.decompress(row[1 + 4 * (count + 2) :], size, "zstd", asbytes=True)
-    kind = np.dtype(np.uint16 if small else np.uint32)
-    ends = np.cumsum([0] + lengths) * kind.itemsize
-    parts = [np.frombuffer(data, dtype=kind, count=n, offset=int(a)) for n, a in zip(lengths, ends)]
-    return parts, data[int(ends[-1]) :]
+    fields = 1 + 2 * row[0]
+    size, *head = np.frombuffer(row, dtype="<u4", count=fields, offset=1).tolist()
+    data = pa.decompress(row[1 + 4 * fields :], size, "zstd", asbytes=True)
+    out, at = [], 0
+    for length, wide in zip(head[::2], head[1::2]):
+        n = np.zeros(length, dtype=np.int64)
+        for i in range(wide):
+            n |= np.frombuffer(data, np.uint8, length, at).astype(np.int64) << (8 * i)
+            at += length
+        out.append(n)
+    return out, data[at:]
 
 
 def _packed_words(words: list[str]) -> bytes:
@@ -120,23 +130,27 @@ def _unpacked_words(row: bytes) -> list[str]:
 
 def word_blocks(docs: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     """Rows (``block``, ``doc_ids``, ``n_words``, ``stream``, ``lists``): ``lists`` has the block's
-    words by hash, ``stream`` the documents' positions in their concatenation, one after the other."""
+    words by hash, ``stream`` the words' frequency ranks in the documents, one after the other, and
+    the place of each rank in the concatenated lists."""
 
     def block(number: int, ids: list, streams: list[np.ndarray], words: _Positions) -> pa.RecordBatch:
         order = list(words)
-        bucket = np.array([zlib.crc32(w.encode()) % buckets for w in order], dtype=np.int64)
-        by_bucket = np.argsort(bucket, kind="stable")
+        dealt = [(zlib.crc32(w.encode()) % buckets, w, i) for i, w in enumerate(order)]
+        dealt.sort()
         place = np.empty(len(order), dtype=np.int64)
-        place[by_bucket] = np.arange(len(order))
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
-        sorted_words = [order[i] for i in by_bucket.tolist()]
-        lists = [_packed_words(sorted_words[a:b]) if a < b else None for a, b in zip([0, *ends], ends)]
+        place[[i for _, _, i in dealt]] = np.arange(len(order))
+        ends = np.cumsum(np.bincount([b for b, _, _ in dealt], minlength=buckets)).tolist()
+        lists = [_packed_words([w for _, w, _ in dealt[a:b]]) if a < b else None for a, b in zip([0, *ends], ends)]
+        stream = np.concatenate(streams)
+        by_count = np.argsort(-np.bincount(stream, minlength=len(order)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[by_count] = np.arange(len(order))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([[len(s) for s in streams]], pa.list_(pa.int32())),
-                pa.array([_packed(place[np.concatenate(streams)])], pa.binary()),
+                pa.array([_packed(rank[stream], place[by_count])], pa.binary()),
                 pa.array([lists], pa.list_(pa.binary())),
             ],
             ["block", "doc_ids", "n_words", "stream", "lists"],
@@ -215,14 +229,14 @@ def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             n_words = batch.column("n_words")[row].values.to_numpy()
             # A block of empty texts has no words and no ids.
             parts = [_unpacked(p)[0] for p in batch.column("ids")[row].as_py() or []]
-            sizes = np.concatenate([np.empty(0, np.int64), *(p[0] for p in parts)]).astype(np.int64)
-            flat = np.concatenate([np.empty(0, np.int32), *(p[1] for p in parts)]).astype(np.int32)
-            (stream,), _ = _unpacked(batch.column("stream")[row].as_py())
-            begins = np.cumsum(sizes) - sizes
+            sizes = np.concatenate([np.empty(0, np.int64), *(p[0] for p in parts)])
+            flat = np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)]).astype(np.int32)
+            (ranks, places), _ = _unpacked(batch.column("stream")[row].as_py())
+            sizes, begins = sizes[places], (np.cumsum(sizes) - sizes)[places]
             edges = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
             for first in range(0, len(n_words), 256):
                 some = edges[first : first + 257]
-                at = stream[some[0] : some[-1]]
+                at = ranks[some[0] : some[-1]]
                 n = sizes[at]
                 ends = np.concatenate([[0], np.cumsum(n)])
                 source = np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])
@@ -237,14 +251,19 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     A null or empty text has an empty list. Repeated rows and rows without ``doc_id`` keep a row
     each. Other columns are ignored. An empty table gives no rows.
     """
-    blocks = stored(word_blocks(docs, path), "blocks")
-    lists = blocks.select("block", F.posexplode("lists").alias("bucket", "words")).filter("words IS NOT NULL")
+    # Both uses below read this one exchange: they ask for the same columns, and the second finds its
+    # rows where the join wants them.
+    blocks = word_blocks(docs, path).repartition("block")
+    whole = F.col("doc_ids").isNotNull() & F.col("n_words").isNotNull() & F.col("stream").isNotNull()
+    lists = blocks.select("block", F.posexplode(F.when(whole, F.col("lists"))).alias("bucket", "words")).filter(
+        "words IS NOT NULL"
+    )
     coded = encode_lists(lists, path).groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("got")
     )
     back = coded.select("block", F.col("got.ids").alias("ids"))
-    whole = blocks.select("block", "doc_ids", "n_words", "stream").join(back, "block", "left")
-    return whole.select("doc_ids", "n_words", "stream", "ids").mapInArrow(
+    both = blocks.join(back, "block", "left")
+    return both.select("doc_ids", "n_words", "stream", "lists", "ids").mapInArrow(
         _copy_to_positions, "doc_id long, ids array<int>"
     )
 
