@@ -134,17 +134,25 @@ def voters(rows: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Voters:
 
 
 def term_vectors(text: Column) -> Column:
-    """Term vectors as arrays, for the bounded sample."""
+    """Term vectors for the bounded sample, as bytes: the terms that occur, and their shares."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features = Features()
         for batch in batches:
-            yield pd.Series([features.of(t) for t in batch])
+            rows = [features.of(t) for t in batch]
+            yield pd.Series([np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].tobytes() for r in rows])
 
     return of.asNondeterministic()(text)
 
 
+def _dense(row: bytes) -> np.ndarray:
+    n = len(row) // 6  # two bytes for a term, four for its share
+    out = np.zeros(DIMENSIONS, dtype=np.float32)
+    out[np.frombuffer(row, np.uint16, n)] = np.frombuffer(row, np.float32, n, offset=2 * n)
+    return out
+
+
 def sampled(labelled: DataFrame, label: str, size: int) -> DataFrame:
     """(``doc_id``, ``label``): at most ``size`` rows, half of each label, least hash first."""
     rows = labelled.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
@@ -163,9 +171,11 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", sample: in
     chosen = F.broadcast(sampled(labelled, label, sample))  # ``sample`` rows of two numbers
     texts = docs.select("doc_id", whole_text().alias("text")).join(chosen, "doc_id")
     one = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = one.select("doc_id", "label", term_vectors(F.col("text")).alias("v")).toPandas().sort_values("doc_id")
-    rows = np.stack(got["v"].to_list()) if len(got) else np.zeros((0, DIMENSIONS), np.float32)
-    return voters(rows, got["label"].to_numpy())
+    got = sorted(one.select("doc_id", "label", term_vectors(F.col("text"))).collect())
+    rows = np.zeros((len(got), DIMENSIONS), dtype=np.float32)
+    for row, (_, _, packed) in zip(rows, got):
+        row[:] = _dense(packed)
+    return voters(rows, np.array([side for _, side, _ in got]))
 
 
 def score(docs: DataFrame, model: Voters, column: str = "score") -> DataFrame:
