@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, decontaminate, pii, quality, repeats, simhash, toxicity, webpages
+from doctables.llm import bpe, decontaminate, fertility, pii, quality, repeats, simhash, toxicity, webpages
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def vocabulary_file() -> str:
+def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _sha(text: Column) -> Column:
@@ -47,6 +47,13 @@ def op2_pii(spark, sf):
     return found.select("doc_id", *counts, _sha(_span_list(pii.BASE_KINDS)).alias("base_sha256"), _span_list(pii.KINDS).alias("spans"))
 
 
+@query
+def op3_fertility(spark, sf):
+    found = fertility.judged(table(spark, sf, "documents"), vocabulary_file("piece_bpe_32k.model"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*first, "chars_per_token", "byte_share", F.col("entropy").alias("token_entropy"))
+
+
 @query
 def op4_webpages(spark, sf):
     found = webpages.with_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
