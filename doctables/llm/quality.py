@@ -184,11 +184,11 @@ def score(docs: DataFrame, model: Voters, column: str = "score") -> DataFrame:
     A null text is an empty one, and empty texts get the vote of no similar document: the share of
     label 1 in the sample. Equal texts get equal scores. An empty table stays empty.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.projection, model.vectors, model.labels))
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features, voted = Features(), sent.value
+        features, voted = Features(), Voters(*sent.value)
         for batch in batches:
             scores = [
                 voted.score(np.stack([features.of(t) for t in batch.iloc[i : i + BLOCK]]))

@@ -383,11 +383,11 @@ def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
     A null text is an empty one; a text without words gets the score of a window without words.
     Equal texts get equal scores up to rounding. An empty table stays empty.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    sent = docs.sparkSession.sparkContext.broadcast(net.w)
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(Network(sent.value))
         for batch in batches:
             yield pd.Series(scorer.of(batch.to_list()), dtype="float64")
 
