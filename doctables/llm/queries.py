@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, decontaminate, fertility, pii, quality, repeats, simhash, toxicity, webpages
+from doctables.llm import bpe, decontaminate, fertility, licenses, pii, quality, repeats, simhash, toxicity, webpages
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def _sha(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+@query
+def op1_licenses(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 def _span_list(kinds: tuple[str, ...]) -> Column:
     of_kinds = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     one = F.transform(of_kinds, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
