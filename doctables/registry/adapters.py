@@ -20,13 +20,20 @@ def image_path(vec_id: Column) -> Column:
 
 
 def raw_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Model output of one page image per vector: 9 queries of 3 logits and a box."""
+    """Model output of one page image per vector: 9 queries of 3 logits and a box.
+
+    Every seventh page shows nothing but "no object"; the 64th value makes the last box higher.
+    """
     emb = table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("v")
     )
     starts = [7 * q for q in range(N_QUERIES)]
-    logits = ", ".join(f"array(v[{s}] * 10, v[{s + 1}] * 10, v[{s + 2}] * 10)" for s in starts)
-    boxes = ", ".join(f"array(v[{s + 3}] + 0.5D, v[{s + 4}] + 0.5D, abs(v[{s + 5}]), abs(v[{s + 6}]))" for s in starts)
+    empty = "CASE WHEN vec_id % 7 = 3 THEN 100.0D ELSE 0.0D END"
+    logits = ", ".join(f"array(v[{s}] * 10, v[{s + 1}] * 10, v[{s + 2}] * 10 + {empty})" for s in starts)
+    more = {starts[-1]: " + abs(v[63])"}
+    boxes = ", ".join(
+        f"array(v[{s + 3}] + 0.5D, v[{s + 4}] + 0.5D, abs(v[{s + 5}]), abs(v[{s + 6}]){more.get(s, '')})" for s in starts
+    )
     return emb.select(
         "vec_id",
         image_path(F.col("vec_id")).alias("file_path"),
@@ -63,8 +70,8 @@ def gray_images(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def color_images(spark: SparkSession, sf: str) -> DataFrame:
-    """7 x 3 images of three channels in stored order, one per vector."""
-    return _levels(spark, sf).select("vec_id", _image(3, 7, 3, F.slice("g", 1, 63)).alias("image"))
+    """8 x 8 images of three channels in stored order, one per vector: its values three times over."""
+    return _levels(spark, sf).select("vec_id", _image(8, 8, 3, F.flatten(F.array_repeat("g", 3))).alias("image"))
 
 
 def catalog_csv(spark: SparkSession, sf: str) -> DataFrame:

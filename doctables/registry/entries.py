@@ -31,8 +31,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 LABELS = schemas.DETECTION_LABELS
 N_CLASSES = len(LABELS)
-# Pages beyond this score are kept where a query needs pages without detections.
-HIGH_SCORE = 0.95
 
 
 def query(fn: Query) -> Query:
@@ -390,7 +388,7 @@ def img_resize_pixels(spark, sf):
 
 @query
 def img_resize_down(spark, sf):
-    """7 x 3 in colour down to 5 x 2."""
+    """8 x 8 in colour down to 5 x 5."""
     return _hex(I.resized(A.color_images(spark, sf), 5))
 
 
@@ -523,13 +521,13 @@ def _summary(detections: Column) -> Column:
 
 @query
 def page_results(spark, sf):
-    rows = _results(spark, sf, HIGH_SCORE)
+    rows = _results(spark, sf)
     return rows.select("file_path", F.size("detections").alias("n_detections"), _summary(F.col("detections")).alias("detections"))
 
 
 @query
 def flatten_detections(spark, sf):
-    rows = D.flatten_detections(_results(spark, sf, HIGH_SCORE))
+    rows = D.flatten_detections(_results(spark, sf))
     return rows.select("file_path", "table_idx", "label", _r("score").alias("score"), *_box(F.col("bbox")))
 
 
@@ -539,7 +537,7 @@ def _with_parts(results: DataFrame) -> DataFrame:
 
 @query
 def doc_table_counts(spark, sf):
-    return D.doc_table_counts(_with_parts(_results(spark, sf, HIGH_SCORE)))
+    return D.doc_table_counts(_with_parts(_results(spark, sf)))
 
 
 # ---- results ---------------------------------------------------------------------------------
@@ -572,13 +570,13 @@ def parse_detections(spark, sf):
 @query
 def results_export(spark, sf):
     """Text form of detections whose numbers are whole or thousandths."""
-    parsed = RES.parse_detections(_literal_text(_results(spark, sf, HIGH_SCORE)))
+    parsed = RES.parse_detections(_literal_text(_results(spark, sf)))
     return RES.as_text(parsed)
 
 
 def _stored(spark, sf) -> DataFrame:
     """Results with their position in the file."""
-    return _results(spark, sf, HIGH_SCORE).withColumn("row_idx", F.col("vec_id"))
+    return _results(spark, sf).withColumn("row_idx", F.col("vec_id"))
 
 
 def _short(df: DataFrame) -> DataFrame:
@@ -604,7 +602,7 @@ def results_join_pages(spark, sf):
 
 @query
 def overlay_rects(spark, sf):
-    rects = RES.overlay_rects(_results(spark, sf, HIGH_SCORE))
+    rects = RES.overlay_rects(_results(spark, sf))
     return rects.select(
         "file_path", "table_idx", "label", "layer", "layer_no", "color", "line_width", "hatch", "alpha",
         *[_r(c, 4).alias(c) for c in ("x", "y", "w", "h")],
@@ -613,7 +611,7 @@ def overlay_rects(spark, sf):
 
 @query
 def annotated_pages(spark, sf):
-    return RES.annotated_pages(_results(spark, sf, HIGH_SCORE)).select("file_path")
+    return RES.annotated_pages(_results(spark, sf)).select("file_path")
 
 
 @query
@@ -623,7 +621,7 @@ def annotated_paths(spark, sf):
 
 
 def _crops(spark, sf, mode: str) -> DataFrame:
-    found = _with_parts(_results(spark, sf, HIGH_SCORE))
+    found = _with_parts(_results(spark, sf))
     return RES.crop_spec(found.withColumn("file_name", F.concat("doc", F.lit(".pdf"))), "crops", mode)
 
 
@@ -654,7 +652,7 @@ def crop_pixels(spark, sf):
 
 @query
 def documents_table(spark, sf):
-    found = _with_parts(_results(spark, sf, HIGH_SCORE))
+    found = _with_parts(_results(spark, sf))
     return RES.documents_table(found.withColumn("file_name", F.concat("doc", F.lit(".pdf"))))
 
 

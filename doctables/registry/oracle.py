@@ -15,9 +15,10 @@ RAW = """raw AS (
   SELECT vec_id, q::INTEGER AS query_idx,
     'out/Doc, ' || (vec_id // 10) || '_page_' || (vec_id % 10 + 1) || '.png' AS file_path,
     'Doc, ' || (vec_id // 10) AS doc, (vec_id % 10 + 1)::INTEGER AS page_num,
-    embedding[7*q+1]::DOUBLE * 10 AS l0, embedding[7*q+2]::DOUBLE * 10 AS l1, embedding[7*q+3]::DOUBLE * 10 AS l2,
+    embedding[7*q+1]::DOUBLE * 10 AS l0, embedding[7*q+2]::DOUBLE * 10 AS l1,
+    embedding[7*q+3]::DOUBLE * 10 + CASE WHEN vec_id % 7 = 3 THEN 100.0 ELSE 0.0 END::DOUBLE AS l2,
     embedding[7*q+4]::DOUBLE + 0.5 AS cx, embedding[7*q+5]::DOUBLE + 0.5 AS cy,
-    abs(embedding[7*q+6]::DOUBLE) AS w, abs(embedding[7*q+7]::DOUBLE) AS h
+    abs(embedding[7*q+6]::DOUBLE) AS w, abs(embedding[7*q+7]::DOUBLE) + CASE WHEN q = 8 THEN abs(embedding[64]::DOUBLE) ELSE 0.0::DOUBLE END AS h
   FROM embeddings CROSS JOIN (SELECT unnest(range(0, 9)) AS q))"""
 CLASSED = """topped AS (SELECT *, greatest(l0, l1, l2) AS m FROM raw),
 classed AS (
@@ -32,9 +33,6 @@ named AS (
 KEPT = """kept AS (
   SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY query_idx) - 1)::INTEGER AS table_idx
   FROM named WHERE label <> 'no object')"""
-HIGH = """high AS (
-  SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY query_idx) - 1)::INTEGER AS table_idx
-  FROM named WHERE label <> 'no object' AND score > 0.95)"""
 IMAGES = "images AS (SELECT DISTINCT vec_id, file_path, doc, page_num FROM raw)"
 BOX4 = "round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1"
 
@@ -65,11 +63,11 @@ resolved AS (SELECT page_id AS publication_id, link_pos, root || href AS link_ur
 PX = """px AS (
   SELECT vec_id, (k - 1)::INTEGER AS i, least(greatest(floor((embedding[k]::DOUBLE + 0.5) * 255), 0), 255)::INTEGER AS g
   FROM embeddings CROSS JOIN (SELECT unnest(range(1, 65)) AS k))"""
-# Three channels of a 7 x 3 image, in stored order.
+# Three channels of an 8 x 8 image, in stored order: the 64 values three times over.
 RGB = """rgb AS (
-  SELECT a.vec_id, a.i // 3 AS i, a.g AS c0, b.g AS c1, c.g AS c2
-  FROM px a JOIN px b ON a.vec_id = b.vec_id AND b.i = a.i + 1 JOIN px c ON a.vec_id = c.vec_id AND c.i = a.i + 2
-  WHERE a.i % 3 = 0 AND a.i < 63)"""
+  SELECT o.vec_id, o.i, a.g AS c0, b.g AS c1, c.g AS c2
+  FROM px o JOIN px a ON o.vec_id = a.vec_id AND a.i = 3 * o.i % 64 JOIN px b ON o.vec_id = b.vec_id AND b.i = (3 * o.i + 1) % 64
+    JOIN px c ON o.vec_id = c.vec_id AND c.i = (3 * o.i + 2) % 64)"""
 
 
 def _hex(source: str, height: int, width: int, channels: int, value: str = "g", order: str = "i") -> str:
@@ -206,8 +204,8 @@ WHERE page <> ''"""
 
 # ---- images ----------------------------------------------------------------------------------
 
-ORACLE["img_gray"] = _with(PX, RGB) + _hex("rgb", 3, 7, 1, "((c0 * 19595 + c1 * 38470 + c2 * 7471 + 32768) // 65536)")
-ORACLE["img_bgr_to_rgb"] = _with(PX) + _hex("px", 3, 7, 3, "g", "i // 3, -(i % 3)").replace("FROM px", "FROM px WHERE i < 63")
+ORACLE["img_gray"] = _with(PX, RGB) + _hex("rgb", 8, 8, 1, "((c0 * 19595 + c1 * 38470 + c2 * 7471 + 32768) // 65536)")
+ORACLE["img_bgr_to_rgb"] = _with(PX, RGB) + _hex("rgb", 8, 8, 3).replace("printf('%02X', g::INTEGER)", "printf('%02X%02X%02X', c2, c1, c0)")
 ORACLE["img_otsu_level"] = _with(PX, _otsu("px", 64)) + "SELECT vec_id, level FROM levels"
 ORACLE["img_binarize"] = _with(
     PX, _otsu("px", 64), "bin AS (SELECT vec_id, i, CASE WHEN g > level THEN 255 ELSE 0 END AS g FROM px JOIN levels USING (vec_id))"
@@ -227,8 +225,10 @@ FROM docpages"""
 ORACLE["img_resize_pixels"] = _with(
     PX, "src AS (SELECT vec_id, 0 AS ch, i % 8 AS x, i // 8 AS y, g FROM px)", _resize("src", 8, 8, 12, 12)
 ) + _hex("resized", 12, 12, 1, "g", "y, x")
-_COLOR = "src AS (SELECT vec_id, i % 3 AS ch, (i // 3) % 7 AS x, i // 21 AS y, g FROM px WHERE i < 63)"
-ORACLE["img_resize_down"] = _with(PX, _COLOR, _resize("src", 7, 3, 5, 2)) + _hex("resized", 2, 5, 3, "g", "y, x, ch")
+_COLOR = """src AS (
+  SELECT vec_id, ch, i % 8 AS x, i // 8 AS y, CASE ch WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END AS g
+  FROM rgb CROSS JOIN (SELECT unnest(range(0, 3)) AS ch))"""
+ORACLE["img_resize_down"] = _with(PX, RGB, _COLOR, _resize("src", 8, 8, 5, 5)) + _hex("resized", 5, 5, 3, "g", "y, x, ch")
 ORACLE["img_normalize"] = _with(PX) + f"""SELECT vec_id, (c * 64 + i)::INTEGER AS i, {_normal("g", "0.485", "0.229")} AS v
 FROM px CROSS JOIN (SELECT unnest(range(0, 3)) AS c)"""
 ORACLE["img_profile_binarized"] = _with(
@@ -236,14 +236,14 @@ ORACLE["img_profile_binarized"] = _with(
     RGB,
     # Stored order is BGR here.
     "gray AS (SELECT vec_id, i, (c2 * 19595 + c1 * 38470 + c0 * 7471 + 32768) // 65536 AS g FROM rgb)",
-    _otsu("gray", 21),
-    "src AS (SELECT vec_id, 0 AS ch, i % 7 AS x, i // 7 AS y, CASE WHEN g > level THEN 255 ELSE 0 END AS g FROM gray JOIN levels USING (vec_id))",
-    _resize("src", 7, 3, 14, 6),
-) + f"""SELECT vec_id, (c * 84 + y * 14 + x)::INTEGER AS i, {_normal("g", "0.485", "0.229")} AS v
+    _otsu("gray", 64),
+    "src AS (SELECT vec_id, 0 AS ch, i % 8 AS x, i // 8 AS y, CASE WHEN g > level THEN 255 ELSE 0 END AS g FROM gray JOIN levels USING (vec_id))",
+    _resize("src", 8, 8, 14, 14),
+) + f"""SELECT vec_id, (c * 196 + y * 14 + x)::INTEGER AS i, {_normal("g", "0.485", "0.229")} AS v
 FROM resized CROSS JOIN (SELECT unnest(range(0, 3)) AS c)"""
 ORACLE["img_profile_plain"] = _with(
-    PX, _COLOR, _resize("src", 7, 3, 14, 6), "stats(ch, mean, std) AS (VALUES (2, 0.485, 0.229), (1, 0.456, 0.224), (0, 0.406, 0.225))"
-) + f"""SELECT vec_id, ((2 - ch) * 84 + y * 14 + x)::INTEGER AS i, {_normal("g", "mean", "std")} AS v
+    PX, RGB, _COLOR, _resize("src", 8, 8, 14, 14), "stats(ch, mean, std) AS (VALUES (2, 0.485, 0.229), (1, 0.456, 0.224), (0, 0.406, 0.225))"
+) + f"""SELECT vec_id, ((2 - ch) * 196 + y * 14 + x)::INTEGER AS i, {_normal("g", "mean", "std")} AS v
 FROM resized JOIN stats USING (ch)"""
 
 # ---- detection -------------------------------------------------------------------------------
@@ -274,53 +274,53 @@ ORACLE["box_rescale"] = _with(RAW, CLASSED) + f"SELECT vec_id, query_idx, {BOX4}
 ORACLE["drop_no_object"] = _with(RAW, CLASSED, KEPT) + "SELECT vec_id, query_idx, label FROM kept"
 ORACLE["detect_objects"] = _with(RAW, CLASSED, KEPT) + f"SELECT file_path, query_idx, label, round(score, 6) AS score, {BOX4} FROM kept"
 ORACLE["score_threshold"] = _with(RAW, CLASSED, KEPT) + "SELECT vec_id, query_idx, label, round(score, 6) AS score FROM kept WHERE score > 0.8"
-ORACLE["page_results"] = _with(RAW, CLASSED, HIGH, IMAGES) + """SELECT i.file_path, count(h.vec_id)::INTEGER AS n_detections,
+ORACLE["page_results"] = _with(RAW, CLASSED, KEPT, IMAGES) + """SELECT i.file_path, count(h.vec_id)::INTEGER AS n_detections,
   coalesce(string_agg(label || ':' || floor(score * 1000)::BIGINT || ':' || floor(x0)::BIGINT || ':' || floor(y0)::BIGINT, ';'
     ORDER BY query_idx) FILTER (h.vec_id IS NOT NULL), '') AS detections
-FROM images i LEFT JOIN high h ON h.vec_id = i.vec_id GROUP BY i.file_path"""
-ORACLE["flatten_detections"] = _with(RAW, CLASSED, HIGH) + f"SELECT file_path, table_idx, label, round(score, 6) AS score, {BOX4} FROM high"
-ORACLE["doc_table_counts"] = _with(RAW, CLASSED, HIGH, IMAGES) + """SELECT i.doc, count(DISTINCT i.vec_id) AS n_pages, count(h.vec_id) AS table_count
-FROM images i LEFT JOIN high h ON h.vec_id = i.vec_id GROUP BY i.doc"""
+FROM images i LEFT JOIN kept h ON h.vec_id = i.vec_id GROUP BY i.file_path"""
+ORACLE["flatten_detections"] = _with(RAW, CLASSED, KEPT) + f"SELECT file_path, table_idx, label, round(score, 6) AS score, {BOX4} FROM kept"
+ORACLE["doc_table_counts"] = _with(RAW, CLASSED, KEPT, IMAGES) + """SELECT i.doc, count(DISTINCT i.vec_id) AS n_pages, count(h.vec_id) AS table_count
+FROM images i LEFT JOIN kept h ON h.vec_id = i.vec_id GROUP BY i.doc"""
 
 # ---- results ---------------------------------------------------------------------------------
 
 ORACLE["parse_detections"] = _with(RAW, CLASSED, KEPT) + """SELECT file_path, table_idx, label,
   round(floor(score * 1000) / 1000, 6) AS score, floor(x0) AS x0, floor(y0) AS y0, floor(x1) AS x1, floor(y1) AS y1
 FROM kept"""
-ORACLE["results_export"] = _with(RAW, CLASSED, HIGH, IMAGES) + """SELECT i.file_path,
+ORACLE["results_export"] = _with(RAW, CLASSED, KEPT, IMAGES) + """SELECT i.file_path,
   '[' || coalesce(string_agg('{"label":"' || label || '","score":' || floor(score * 1000) / 1000 || ',"bbox":['
     || floor(x0) || ',' || floor(y0) || ',' || floor(x1) || ',' || floor(y1) || ']}', ',' ORDER BY query_idx)
     FILTER (h.vec_id IS NOT NULL), '') || ']' AS score
-FROM images i LEFT JOIN high h ON h.vec_id = i.vec_id GROUP BY i.file_path"""
+FROM images i LEFT JOIN kept h ON h.vec_id = i.vec_id GROUP BY i.file_path"""
 _COUNTED = """counted AS (
   SELECT i.vec_id AS row_idx, i.file_path, count(h.vec_id)::INTEGER AS n_detections
-  FROM images i LEFT JOIN high h ON h.vec_id = i.vec_id GROUP BY i.vec_id, i.file_path)"""
-ORACLE["lookup_by_path"] = _with(RAW, CLASSED, HIGH, IMAGES, _COUNTED) + "SELECT * FROM counted WHERE file_path = 'out/Doc, 3_page_5.png'"
-ORACLE["lookup_by_index"] = _with(RAW, CLASSED, HIGH, IMAGES, _COUNTED) + "SELECT * FROM counted WHERE row_idx = 85"
-ORACLE["results_join_pages"] = _with(RAW, CLASSED, HIGH, IMAGES, _COUNTED, DOCPAGES, PAGEROWS) + """SELECT file_path, row_idx, n_detections, width, height
+  FROM images i LEFT JOIN kept h ON h.vec_id = i.vec_id GROUP BY i.vec_id, i.file_path)"""
+ORACLE["lookup_by_path"] = _with(RAW, CLASSED, KEPT, IMAGES, _COUNTED) + "SELECT * FROM counted WHERE file_path = 'out/Doc, 3_page_5.png'"
+ORACLE["lookup_by_index"] = _with(RAW, CLASSED, KEPT, IMAGES, _COUNTED) + "SELECT * FROM counted WHERE row_idx = 85"
+ORACLE["results_join_pages"] = _with(RAW, CLASSED, KEPT, IMAGES, _COUNTED, DOCPAGES, PAGEROWS) + """SELECT file_path, row_idx, n_detections, width, height
 FROM counted LEFT JOIN pagerows ON file_path = image_path"""
 ORACLE["overlay_rects"] = _with(
     RAW,
     CLASSED,
-    HIGH,
+    KEPT,
     """styles(label, layer, layer_no, color, line_width, hatch, alpha) AS (VALUES
   ('table', 'fill', 1, '1,0,0.45', 2, NULL, 0.1), ('table', 'edge', 2, '1,0,0.45', 2, NULL, 0.3),
   ('table', 'hatch', 3, '1,0,0.45', 0, '//////', 0.2), ('table rotated', 'fill', 1, '0.95,0.6,0.1', 2, NULL, 0.1),
   ('table rotated', 'edge', 2, '0.95,0.6,0.1', 2, NULL, 0.3), ('table rotated', 'hatch', 3, '0.95,0.6,0.1', 0, '//////', 0.2))""",
 ) + """SELECT file_path, table_idx, label, layer, layer_no, color, line_width, hatch, alpha::DOUBLE AS alpha,
   round(x0, 4) AS x, round(y0, 4) AS y, round(x1 - x0, 4) AS w, round(y1 - y0, 4) AS h
-FROM high JOIN styles USING (label)"""
-ORACLE["annotated_pages"] = _with(RAW, CLASSED, HIGH) + "SELECT DISTINCT file_path FROM high"
+FROM kept JOIN styles USING (label)"""
+ORACLE["annotated_pages"] = _with(RAW, CLASSED, KEPT) + "SELECT DISTINCT file_path FROM kept"
 ORACLE["annotated_paths"] = _with(DOCPAGES, PAGEROWS) + "SELECT image_path AS file_path, 'tables/' || substr(image_path, 5) AS out_path FROM pagerows"
 _CROP_PATH = "'crops/' || doc || '.pdf_page_' || page_num || '_table_' || table_idx || '.png' AS image_path"
-ORACLE["crop_spec"] = _with(RAW, CLASSED, HIGH) + f"""SELECT page_num, table_idx, label,
+ORACLE["crop_spec"] = _with(RAW, CLASSED, KEPT) + f"""SELECT page_num, table_idx, label,
   least(greatest(floor(x0), 0), 1700)::INTEGER AS left, least(greatest(floor(y0), 0), 2600)::INTEGER AS top,
   least(greatest(ceil(x1), 0), 1700)::INTEGER AS right, least(greatest(ceil(y1), 0), 2600)::INTEGER AS bottom, {_CROP_PATH}
-FROM high""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"')
-ORACLE["crop_spec_nearest"] = _with(RAW, CLASSED, HIGH) + f"""SELECT page_num, table_idx, label,
+FROM kept""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"')
+ORACLE["crop_spec_nearest"] = _with(RAW, CLASSED, KEPT) + f"""SELECT page_num, table_idx, label,
   round_even(x0, 0)::INTEGER AS "left", round_even(y0, 0)::INTEGER AS top,
   round_even(x1, 0)::INTEGER AS "right", round_even(y1, 0)::INTEGER AS bottom, {_CROP_PATH}
-FROM high"""
+FROM kept"""
 ORACLE["crop_pixels"] = _with(
     PX,
     """cells AS (
@@ -333,6 +333,6 @@ ORACLE["crop_pixels"] = _with(
 
 # ---- tables ----------------------------------------------------------------------------------
 
-ORACLE["documents_table"] = _with(RAW, CLASSED, HIGH, IMAGES) + """SELECT i.doc || '.pdf' AS filename, count(DISTINCT i.vec_id) AS n_pages, count(h.vec_id) AS table_count
-FROM images i LEFT JOIN high h ON h.vec_id = i.vec_id GROUP BY i.doc"""
-ORACLE["tables_table"] = _with(RAW, CLASSED, HIGH) + f"SELECT doc || '.pdf' AS filename, page_num, table_idx, {BOX4}, {_CROP_PATH} FROM high"
+ORACLE["documents_table"] = _with(RAW, CLASSED, KEPT, IMAGES) + """SELECT i.doc || '.pdf' AS filename, count(DISTINCT i.vec_id) AS n_pages, count(h.vec_id) AS table_count
+FROM images i LEFT JOIN kept h ON h.vec_id = i.vec_id GROUP BY i.doc"""
+ORACLE["tables_table"] = _with(RAW, CLASSED, KEPT) + f"SELECT doc || '.pdf' AS filename, page_num, table_idx, {BOX4}, {_CROP_PATH} FROM kept"
