@@ -50,3 +50,43 @@ def fetch_documents(
             yield out.astype({"n_bytes": "Int64", "content": object, "reason": object})
 
     return spread.mapInPandas(run, schema)
+
+
+def fetch_with_fallback(
+    candidates: DataFrame, fetch: Callable[[str], bytes], tasks: int, tasks_per_host: int = 4
+) -> DataFrame:
+    """Fetch each publication's ``links`` in their order until one succeeds or none is left.
+
+    One row per attempt with ``attempt`` from 1; the last one of a publication is ``ok`` unless all
+    its links failed. A publication is one row of one task, so no round of jobs limits how many links
+    are tried. Publications are spread like links in ``fetch_documents``, by the host of the first.
+    """
+    first = F.col("links")[0]["link_url"]
+    slice_of_host = F.pmod(F.xxhash64("publication_id"), F.lit(tasks_per_host))
+    spread = candidates.select("publication_id", "file_path", "links").repartition(tasks, urls.authority(first), slice_of_host)
+    keys = [candidates.schema["publication_id"], candidates.schema["file_path"]]
+    own = [
+        T.StructField("attempt", T.IntegerType()),
+        T.StructField("link_pos", T.IntegerType()),
+        T.StructField("link_url", T.StringType()),
+    ]
+    schema = T.StructType(keys + own + _FETCHED)
+
+    def attempts(row: tuple) -> Iterator[tuple]:
+        publication, path, links = row
+        for n, link in enumerate(links, 1):
+            head = (publication, path, n, link["link_pos"], link["link_url"])
+            try:
+                data = fetch(link["link_url"])
+            except Exception as e:  # noqa: BLE001 - recorded, the next link is tried
+                yield *head, None, None, "error", f"{type(e).__name__}: {e}"
+            else:
+                yield *head, data, len(data), "ok", None
+                return
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (out for frame in frames for row in frame.itertuples(index=False, name=None) for out in attempts(row))
+        for out in batched(rows, schema.names, lambda row: row[6] or 0):
+            yield out.astype({"n_bytes": "Int64", "content": object, "reason": object})
+
+    return spread.mapInPandas(run, schema)

@@ -18,10 +18,6 @@ from doctables.operators.lookup import lookup_join
 DOCUMENT_CLASS = "usa-link Document"
 
 
-# URLs that are broadcast to prune pages: some 10 MB.
-MAX_BROADCAST_URLS = 100_000
-
-
 def page_hrefs(pages: DataFrame, class_name: str | None = None, html: str = "html") -> DataFrame:
     """Replace the page body by ``hrefs``: the link targets of one class in page order."""
     keys = [c for c in pages.columns if c != html]
@@ -47,51 +43,49 @@ def resolve_links(links: DataFrame, page_url: str = "url", href: str = "href") -
     return links.withColumn("link_url", urls.resolve_link(F.col(page_url), F.col(href)))
 
 
-def _catalogued(pages: DataFrame, catalog: DataFrame, max_urls: int) -> DataFrame:
-    """Drop pages that no catalog row asks for before they are parsed, if the catalog is small.
+def page_lists(pages: DataFrame, class_name: str | None = DOCUMENT_CLASS) -> DataFrame:
+    """One link list per URL.
 
-    The number of URLs is checked before they are broadcast. Beyond it all pages are parsed: a
-    shuffled join here would move the page bodies.
+    Of several landed copies of a page the newest by ``fetched_at`` (where there is one) that has
+    links gives the list; of equally new ones the fullest. A copy without links never hides another.
+    Bodies become lists where they are read, and copies combine map-side before the shuffle.
     """
-    wanted = catalog.select("url").distinct()
-    if wanted.limit(max_urls + 1).count() > max_urls:
-        return pages
-    return pages.join(F.broadcast(wanted), "url", "left_semi")
+    fetched = ["fetched_at"] if "fetched_at" in pages.columns else []
+    lists = page_hrefs(pages.select("url", *fetched, "html"), class_name)
+    best = F.max(F.struct((F.size("hrefs") > 0).alias("some"), *fetched, F.size("hrefs").alias("n"), "hrefs"))
+    return lists.groupBy("url").agg(best.alias("_best")).select("url", F.col("_best.hrefs").alias("hrefs"))
 
 
 def catalog_links(
-    catalog: DataFrame,
-    pages: DataFrame,
-    class_name: str | None = DOCUMENT_CLASS,
-    max_urls: int = MAX_BROADCAST_URLS,
+    catalog: DataFrame, pages: DataFrame, class_name: str | None = DOCUMENT_CLASS, skew: bool = False
 ) -> DataFrame:
     """(publication, link) rows for every catalog row whose page was fetched.
 
-    Several landed copies of one page count once: the smallest link list, so the choice does not
-    depend on row order. Copies combine map-side before the shuffle.
+    All columns of the catalog stay; a seed list without ``publication_id`` will do. ``skew`` is for
+    catalogs that name one page very often.
     """
-    lists = page_hrefs(_catalogued(pages.select("url", "html"), catalog, max_urls), class_name)
-    one_per_page = lists.groupBy("url").agg(F.min("hrefs").alias("hrefs"))
     keys = catalog.columns
-    pairs = lookup_join(catalog, one_per_page, "url", "inner")
+    pairs = lookup_join(catalog, page_lists(pages, class_name), "url", "inner", skew=skew)
     return resolve_links(explode_list(pairs, F.col("hrefs"), "link_pos", "href", keys))
 
 
 def _order(links: DataFrame) -> Column:
     """Position in which links are fetched: catalog order where it is known, then page order."""
-    first = [F.col("catalog_pos")] if "catalog_pos" in links.columns else []
-    return F.struct(*first, F.col("link_pos"))
+    first = [c for c in ("catalog_pos",) if c in links.columns]
+    return F.struct(*first, "link_pos")
+
+
+def _pdf_name() -> Column:
+    return F.concat(F.col("publication_id").cast("string"), F.lit(".pdf"))
 
 
-def download_plan_by_id(links: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+def download_plan_by_id(links: DataFrame) -> DataFrame:
     """One file ``<publication id>.pdf`` per publication; the last fetchable link wins.
 
-    ``failed`` holds (publication_id, link_url) rows of an earlier run; leaving them out makes the
-    next-best link win, so a failing last link does not lose the publication.
+    Catalogs that name a publication more than once need ``catalog_pos``: without it the rows of one
+    id have no order among each other.
     """
     usable = links.filter(urls.fetchable(F.col("link_url")))
-    if failed is not None:
-        usable = usable.join(failed.select("publication_id", "link_url"), ["publication_id", "link_url"], "left_anti")
     winner = usable.groupBy("publication_id").agg(
         F.max(F.struct(_order(usable).alias("at"), F.col("link_url"))).alias("_last"),
         F.count(F.lit(1)).alias("n_links"),
@@ -100,24 +94,43 @@ def download_plan_by_id(links: DataFrame, failed: DataFrame | None = None) -> Da
         "publication_id",
         F.col("_last.at.link_pos").alias("link_pos"),
         F.col("_last.link_url").alias("link_url"),
-        F.concat(F.col("publication_id").cast("string"), F.lit(".pdf")).alias("file_path"),
+        _pdf_name().alias("file_path"),
         "n_links",
     )
 
 
-def overwritten_links(links: DataFrame) -> DataFrame:
-    """Links that lose their file to a later one. Joined per link, so no publication is hot."""
-    plan = download_plan_by_id(links).select("publication_id", "link_pos", "link_url")
+def download_candidates(links: DataFrame) -> DataFrame:
+    """Per publication all fetchable links, the last one first: the order in which they decide."""
     usable = links.filter(urls.fetchable(F.col("link_url")))
-    return usable.join(plan, ["publication_id", "link_pos", "link_url"], "left_anti")
+    one = F.struct(_order(usable).alias("at"), F.col("link_url"))
+    listed = usable.groupBy("publication_id").agg(F.sort_array(F.collect_list(one), asc=False).alias("_links"))
+    return listed.select(
+        "publication_id",
+        _pdf_name().alias("file_path"),
+        F.transform("_links", lambda x: F.struct(x["at"]["link_pos"].alias("link_pos"), x["link_url"].alias("link_url"))).alias("links"),
+    )
+
+
+def overwritten_links(links: DataFrame) -> DataFrame:
+    """Links that lose their file to a later one, told by their position.
+
+    Only the largest position of each publication is grouped and joined back.
+    """
+    usable = links.filter(urls.fetchable(F.col("link_url"))).withColumn("_at", _order(links))
+    last = usable.groupBy("publication_id").agg(F.max("_at").alias("_last"))
+    return usable.join(last, "publication_id").filter("_at < _last").drop("_at", "_last")
 
 
 def download_plan_by_path(links: DataFrame) -> DataFrame:
-    """One file per URL path; of links with the same path the last one wins."""
+    """One file per URL path; of links with the same path the last one wins.
+
+    The order is that of the catalog where it is known, else that of publication ids.
+    """
     usable = links.filter(urls.fetchable(F.col("link_url"))).withColumn(
         "file_path", F.regexp_replace(urls.url_path(F.col("link_url")), "^/+", "")
     )
-    at = F.struct(F.col("publication_id"), _order(usable), F.col("link_url").alias("u"))
+    first = [] if "catalog_pos" in links.columns else [c for c in ("publication_id",) if c in links.columns]
+    at = F.struct(*first, _order(usable).alias("at"), F.col("link_url").alias("u"))
     last = usable.groupBy("file_path").agg(F.max(at).alias("_last"), F.count(F.lit(1)).alias("n_links"))
     return last.select("file_path", F.col("_last.u").alias("link_url"), "n_links")
 

@@ -42,21 +42,26 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "left", min_rows: int = MIN_HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "left",
+    min_rows: int = MIN_HOT_ROWS,
+    skew: bool = False,
 ) -> DataFrame:
     """Join ``left`` (any number of rows per key) with ``right`` (at most one row per key).
 
-    Without hot keys this is the plain join, and the planner picks its kind by the sizes. Otherwise
-    rows of hot keys get a salt from their own content, and the right rows of these few keys are
-    repeated per salt. The salt is a pure function of the row, so a task that runs again puts every
-    row where it was. Copies of one and the same row share a salt; joining on (key, salt) gives both
-    sides a plain shuffle, which AQE's skew handling can split further.
+    This is the plain join: the planner picks its kind by the sizes, AQE splits skewed partitions, and
+    no job runs while the plan is built. With ``skew`` one job over the key column looks for hot keys;
+    rows of those get a salt, and the right rows of these few keys are repeated per salt. The salt
+    comes from the row and the task that read it, so a task that runs again puts every row where it
+    was, and copies of one row spread with the tasks that hold them.
     """
-    hot = hot_keys(left, key, min_rows)
+    hot = hot_keys(left, key, min_rows) if skew else []
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin([k for k in hot if k is not None])
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    spread = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
     salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(0))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_salt", F.explode(salts))

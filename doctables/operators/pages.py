@@ -94,11 +94,29 @@ _RENDERED = [
 
 
 def _render(render: Render, data: Callable[[], bytes], first: int, last: int, dpi: int) -> Iterator[tuple]:
+    """One row per page of the batch. Where the batch breaks off, the rest goes page by page, so that
+    only the pages at fault are errors."""
+    left = dict.fromkeys(range(first, last + 1))
     try:
-        for number, image in render(data(), first, last, dpi):
-            yield number, image, "ok" if image else "empty", None
-    except Exception as e:  # noqa: BLE001 - the document goes to quarantine, the job goes on
-        yield first, None, "error", f"{type(e).__name__}: {e}"
+        document = data()
+    except Exception as e:  # noqa: BLE001 - recorded per page, the job goes on
+        yield from ((n, None, "error", f"{type(e).__name__}: {e}") for n in left)
+        return
+    try:
+        for number, image in render(document, first, last, dpi):
+            if number in left:
+                del left[number]
+                yield number, image, "ok" if image else "empty", None
+    except Exception:  # noqa: BLE001 - told apart below
+        pass
+    for n in left:
+        try:
+            images = [image for number, image in render(document, n, n, dpi) if number == n]
+        except Exception as e:  # noqa: BLE001 - recorded, the next page is tried
+            yield n, None, "error", f"{type(e).__name__}: {e}"
+        else:
+            image = images[0] if images else None
+            yield n, image, "ok" if image else "empty", None
 
 
 def _rendered(plan: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], Iterator[tuple]]) -> DataFrame:
@@ -112,6 +130,17 @@ def _rendered(plan: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], I
     return plan.mapInPandas(run, schema)
 
 
+def _runs(pages: list[int]) -> list[tuple[int, int]]:
+    """First and last of each run of following numbers."""
+    runs: list[tuple[int, int]] = []
+    for n in pages:
+        if runs and n == runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], n)
+        else:
+            runs.append((n, n))
+    return runs
+
+
 def render_batches(
     batches: DataFrame, render: Render, read: Callable[[str], bytes], tasks: int, dpi: int = 300
 ) -> DataFrame:
@@ -119,13 +148,18 @@ def render_batches(
 
     Only the plan rows are shuffled, spread by (document, batch), so a long document is many
     tasks. ``tasks`` is explicit: plan rows are tiny and AQE would merge them into one partition.
+    Every planned page gives one row: of ``first_page`` to ``last_page``, or of the list ``pages``
+    where there is one. A page that fails is an error row, the others of its batch go on.
     """
-    plan = batches.select("doc_path", "first_page", "last_page").repartition(tasks, "doc_path", "first_page")
+    listed = F.col("pages") if "pages" in batches.columns else F.sequence("first_page", "last_page")
+    plan = batches.select("doc_path", F.array_sort(listed).alias("pages"))
+    plan = plan.repartition(tasks, "doc_path", F.col("pages")[0])
 
     def work(frame: pd.DataFrame) -> Iterator[tuple]:
-        for path, first, last in frame.itertuples(index=False):
-            for row in _render(render, lambda: read(path), int(first), int(last), dpi):
-                yield (path, *row)
+        for path, pages in frame.itertuples(index=False):
+            for first, last in _runs([int(n) for n in pages]):
+                for row in _render(render, lambda: read(path), first, last, dpi):
+                    yield (path, *row)
 
     return _rendered(plan, ["doc_path"], work)
 
@@ -155,8 +189,13 @@ def drop_empty_pages(pages: DataFrame, image: str = "image") -> DataFrame:
 
 
 def pending_pages(pages: DataFrame, done: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Pages still to be made. ``done`` is any frame of ``image_path``: a manifest or a listing."""
-    return pages if overwrite else pages.join(done.select("image_path"), "image_path", "left_anti")
+    """Pages still to be made. ``done`` is any frame of ``image_path``: a manifest or a listing, whose
+    paths may have a scheme."""
+    if overwrite:
+        return pages
+    there = done.select(paths.canonical_path(F.col("image_path"), False).alias("_path")).distinct()
+    keyed = pages.withColumn("_path", paths.canonical_path(F.col("image_path"), False))
+    return keyed.join(there, "_path", "left_anti").drop("_path")
 
 
 def with_preview_size(images: DataFrame, scale: float = 0.4) -> DataFrame:

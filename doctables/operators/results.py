@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doctables import schemas
 from doctables.functions import boxes as B
@@ -99,30 +100,36 @@ def with_output_path(results: DataFrame, folder: str, path: str = "file_path") -
     return results.withColumn("out_path", paths.join_path(F.lit(folder), paths.file_name(F.col(path))))
 
 
-def crop_spec(results: DataFrame, folder: str, mode: str = "cover") -> DataFrame:
-    """Whole-pixel crop rectangle and file name of every detection.
-
-    ``cover`` takes every touched pixel and clips to the image; ``nearest`` rounds the corners
-    (halves to even) and may pass the edge, where a crop is black. Needs ``file_name``,
-    ``page_num``, ``img_w`` and ``img_h``.
-    """
-    keys = [c for c in results.columns if c != "detections"]
-    rows = explode_list(results, F.col("detections"), "table_idx", "d", keys)
-    x0, y0, x1, y1 = (B.part(F.col("d.bbox"), i) for i in range(4))
+def _rectangle(box: Column, mode: str) -> list[Column]:
+    x0, y0, x1, y1 = (B.part(box, i) for i in range(4))
     if mode == "cover":
         left, top = (_within(F.floor(v), s) for v, s in ((x0, "img_w"), (y0, "img_h")))
         right, bottom = (_within(F.ceil(v), s) for v, s in ((x1, "img_w"), (y1, "img_h")))
     else:
         left, top, right, bottom = (F.rint(v) for v in (x0, y0, x1, y1))
+    return [v.cast("int").alias(n) for v, n in ((left, "left"), (top, "top"), (right, "right"), (bottom, "bottom"))]
+
+
+def _crop_name(folder: str) -> Column:
     name = F.concat(
         F.col("file_name"), F.lit("_page_"), F.col("page_num").cast("string"),
         F.lit("_table_"), F.col("table_idx").cast("string"), F.lit(".png"),
     )
+    return paths.join_path(F.lit(folder), name).alias("image_path")
+
+
+def crop_spec(results: DataFrame, folder: str, mode: str = "cover") -> DataFrame:
+    """Whole-pixel crop rectangle and file name of every detection.
+
+    ``cover`` takes every touched pixel and clips to the image; ``nearest`` rounds the corners
+    (halves to even) and may pass the edge, where a crop is black. Needs ``file_name``,
+    ``page_num``, ``img_w`` and ``img_h``. An image column is left behind: see ``page_crops``.
+    """
+    keys = [c for c in results.columns if c not in ("detections", "image")]
+    rows = explode_list(results, F.col("detections"), "table_idx", "d", keys)
     return rows.select(
         *keys, "table_idx", F.col("d.label").alias("label"), F.col("d.bbox").alias("bbox"),
-        left.cast("int").alias("left"), top.cast("int").alias("top"),
-        right.cast("int").alias("right"), bottom.cast("int").alias("bottom"),
-        paths.join_path(F.lit(folder), name).alias("image_path"),
+        *_rectangle(F.col("d.bbox"), mode), _crop_name(folder),
     )
 
 
@@ -130,22 +137,54 @@ def _within(value: Column, side: str) -> Column:
     return F.least(F.greatest(value, F.lit(0)), F.col(side))
 
 
+def _cut(image: tuple, x0: int, y0: int, x1: int, y1: int) -> tuple:
+    """A rectangle of an image as an image; what lies outside is black."""
+    origin, h, w, channels, _, data = image
+    img = pixels.as_array(data, h, w, channels)
+    out = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0)) + img.shape[2:], np.uint8)
+    a, b, c, d = max(x0, 0), max(y0, 0), min(x1, w), min(y1, h)
+    if a < c and b < d:
+        out[b - y0 : d - y0, a - x0 : c - x0] = img[b:d, a:c]
+    return origin, *out.shape[:2], channels, MODES[channels], out.tobytes()
+
+
+def cut_rectangles(pages: DataFrame, rectangles: str, col: str = "image") -> DataFrame:
+    """Replace each image by the array of its crops, one per entry of ``rectangles`` (structs of
+    ``left``, ``top``, ``right``, ``bottom``). An image goes to Python once, however many crops."""
+
+    @image_udf(T.ArrayType(schemas.IMAGE))
+    def cut(frame: pd.DataFrame, lists: pd.Series) -> pd.Series:
+        rows = []
+        for image, boxes in zip(frame.itertuples(index=False, name=None), lists):
+            found = [] if boxes is None else [_cut(image, *(int(r[k]) for k in ("left", "top", "right", "bottom"))) for r in boxes]
+            rows.append([dict(zip(schemas.IMAGE.names, crop)) for crop in found])
+        return pd.Series(rows, dtype=object)
+
+    return pages.withColumn(col, cut(col, rectangles))
+
+
+def page_crops(results: DataFrame, folder: str, mode: str = "cover") -> DataFrame:
+    """``crop_spec`` with the pixels: one row per detection of pages that carry their ``image``.
+
+    The rectangles stay a list in the page's row until its crops are cut, so pages are not copied.
+    """
+    keys = [c for c in results.columns if c not in ("detections", "image")]
+    boxes = F.transform("detections", lambda d: F.struct(*_rectangle(d["bbox"], mode)))
+    some = results.filter(F.size("detections") > 0).withColumn("_boxes", boxes)
+    cut = cut_rectangles(some, "_boxes")
+    zipped = F.arrays_zip(F.col("detections").alias("d"), F.col("_boxes").alias("b"), F.col("image").alias("i"))
+    rows = cut.select(*keys, F.posexplode(zipped).alias("table_idx", "_z"))
+    return rows.select(
+        *keys, "table_idx", F.col("_z.d.label").alias("label"), F.col("_z.d.bbox").alias("bbox"),
+        *[F.col(f"_z.b.{n}").alias(n) for n in ("left", "top", "right", "bottom")],
+        F.col("_z.i").alias("image"), _crop_name(folder),
+    )
+
+
 def crop_pixels(crops: DataFrame, col: str = "image") -> DataFrame:
     """Cut the rectangle of each row out of its image; what lies outside the image is black."""
-    @image_udf(schemas.IMAGE)
-    def cut(frame: pd.DataFrame, left: pd.Series, top: pd.Series, right: pd.Series, bottom: pd.Series) -> pd.DataFrame:
-        rows = []
-        for old, x0, y0, x1, y1 in zip(frame.itertuples(index=False), left, top, right, bottom):
-            origin, h, w, channels, _, data = old
-            img = pixels.as_array(data, h, w, channels)
-            out = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0)) + img.shape[2:], np.uint8)
-            a, b, c, d = max(x0, 0), max(y0, 0), min(x1, w), min(y1, h)
-            if a < c and b < d:
-                out[b - y0 : d - y0, a - x0 : c - x0] = img[b:d, a:c]
-            rows.append((origin, *out.shape[:2], channels, MODES[channels], out.tobytes()))
-        return pd.DataFrame(rows, columns=schemas.IMAGE.names)
-
-    return crops.withColumn(col, cut(col, "left", "top", "right", "bottom"))
+    one = F.array(F.struct("left", "top", "right", "bottom"))
+    return cut_rectangles(crops.withColumn("_boxes", one), "_boxes", col).withColumn(col, F.col(col)[0]).drop("_boxes")
 
 
 def documents_table(results: DataFrame) -> DataFrame:

@@ -45,30 +45,21 @@ def acquire(
     pdf_folder: str,
     work: str,
     tasks: int,
-    rounds: int = 3,
+    tasks_per_host: int = 4,
     resume: bool = False,
 ) -> DataFrame:
-    """Catalog to ``<publication id>.pdf`` files; returns the fetch log of all rounds.
+    """Catalog to ``<publication id>.pdf`` files; returns the fetch log, one row per attempt.
 
-    The last link of a publication wins; where it fails, the next round takes the one before.
+    The last link of a publication decides; where it fails, the one before it is tried, down to the
+    first.
     """
     links = _stored(L.catalog_links(catalog, landed_pages), f"{work}/links", resume)
-    log = None
-    failed = None
-    for n in range(1, rounds + 1):
-        plan = L.download_plan_by_id(links, failed)
-        if log is not None:
-            done = log.filter("status = 'ok'").select("publication_id")
-            plan = plan.join(done, "publication_id", "left_anti")
-        fetched = _stored(FE.fetch_documents(plan, fetch, tasks), f"{work}/fetched/round={n}", resume)
-        # Evaluating the manifest is what writes the files.
-        _stored(out_files.write_files(fetched, pdf_folder, "file_path", "content"), f"{work}/files/round={n}", resume)
-        this = fetched.drop("content").withColumn("round", F.lit(n))
-        log = this if log is None else log.unionByName(this)
-        failed = log.filter("status = 'error'").select("publication_id", "link_url")
-        if this.filter("status = 'error'").isEmpty():
-            break
-    return log
+    candidates = L.download_candidates(links)
+    fetched = _stored(FE.fetch_with_fallback(candidates, fetch, tasks, tasks_per_host), f"{work}/fetched", resume)
+    # Evaluating the manifest is what writes the files.
+    got = fetched.filter("status = 'ok'")
+    _stored(out_files.write_files(got, pdf_folder, "file_path", "content"), f"{work}/files", resume)
+    return fetched.drop("content")
 
 
 def verify(spark: SparkSession, catalog: DataFrame, pdf_folder: str, missing_path: str) -> DataFrame:
@@ -90,25 +81,28 @@ def paginate(
     dpi: int = 300,
     batch_size: int = 10,
     done: DataFrame | None = None,
+    catalog: DataFrame | None = None,
     overwrite: bool = False,
     as_files: bool = True,
     resume: bool = False,
 ) -> DataFrame:
     """Documents to page images; returns the log of pages with status.
 
-    ``done`` (``image_path``) leaves out pages of earlier runs. What remains of each batch is one
-    call of the renderer. The images are the table ``<work>/pages``; ``as_files`` also writes one
-    file per page, which beyond millions of pages is better left out.
+    ``done`` (``image_path``: a manifest, or a listing of the image folder) leaves out pages of
+    earlier runs; only the others are rendered. ``catalog`` (``publication_id``) takes the files of
+    its rows only. The images are the table ``<work>/pages``; ``as_files`` also writes one file per
+    page, which beyond millions of pages is better left out.
     """
     docs = sources.read_documents(spark, pdf_folder)
     counted = _stored(P.page_counts(docs, count_pages), f"{work}/documents", resume)
+    if catalog is not None:
+        wanted = catalog.select(F.concat(F.col("publication_id").cast("string"), F.lit(".pdf")).alias("_name")).distinct()
+        counted = counted.join(wanted, paths.file_name(F.col("doc_path")) == F.col("_name"), "left_semi")
     pages = P.with_page_path(P.page_range(counted.filter("status = 'ok'")), image_folder)
     if done is not None:
         pages = P.pending_pages(pages, done, overwrite)
     batch = F.floor((F.col("page_num") - 1) / batch_size)
-    batches = pages.groupBy("doc_path", batch.alias("batch")).agg(
-        F.min("page_num").alias("first_page"), F.max("page_num").alias("last_page")
-    )
+    batches = pages.groupBy("doc_path", batch.alias("batch")).agg(F.collect_list("page_num").alias("pages"))
     rendered = P.with_page_path(P.render_batches(batches, render, read, tasks, dpi), image_folder)
     made = _stored(rendered, f"{work}/pages", resume)
     if as_files:
@@ -152,7 +146,7 @@ def record_tables(
     run_id: str,
     labels: dict[int, str] = schemas.DETECTION_LABELS,
     profile: pixels.Profile = pixels.BINARIZED,
-    min_score: float | None = 0.8,
+    min_score: float | None = None,
     resume: bool = False,
 ) -> None:
     """Detect, crop, and record documents and tables.
@@ -163,7 +157,7 @@ def record_tables(
     parts = P.with_page_parts(images, "file_path").withColumn("file_name", F.concat("doc", F.lit(".pdf")))
     raw = D.run_model(parts, make_model, len(labels), profile, keep_image=True)
     found = D.page_results(raw, labels, min_score)
-    crops = I.encoded_png(RES.crop_pixels(RES.crop_spec(found, crop_folder)))
+    crops = I.encoded_png(RES.page_crops(found, crop_folder))
     made = _stored(crops, f"{out}/crops/run_id={run_id}", resume)
     whole = made.withColumn("name", paths.file_name(F.col("image_path")))
     _stored(out_files.write_files(whole, crop_folder, "name", "content"), f"{out}/crop_files/run_id={run_id}", resume)

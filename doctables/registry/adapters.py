@@ -141,3 +141,29 @@ def landed_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def crawl_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.col("page_id").alias("publication_id"), "url")
+
+
+def repeated_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog with places, where every fifth row comes twice and every third page is also named
+    under the next publication's id."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    i = F.col("page_id")
+
+    def rows(some: DataFrame, publication: Column, place: int) -> DataFrame:
+        return some.select(publication.alias("publication_id"), "url", (i * 4 + place).alias("catalog_pos"))
+
+    return (
+        rows(pages, i, 0)
+        .unionByName(rows(pages.filter(i % 5 == 0), i, 1))
+        .unionByName(rows(pages.filter(i % 3 == 0), i + 1, 2))
+    )
+
+
+def landed_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed pages with their fetch time; every fifth also as an older copy with one link, and as a
+    newer copy without any."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html", F.lit(2).alias("fetched_at"))
+    some = pages.filter(F.col("page_id") % 5 == 0)
+    older = some.withColumns({"html": F.lit('<a href="/old">x</a>'), "fetched_at": F.lit(1)})
+    newer = some.withColumns({"html": F.lit("<p>Try again later</p>"), "fetched_at": F.lit(3)})
+    return pages.unionByName(older).unionByName(newer).drop("page_id")

@@ -141,14 +141,31 @@ def catalog_links(spark, sf):
     return _crawl_links(spark, sf).select("publication_id", "link_pos", "link_url")
 
 
+@query
+def catalog_links_copies(spark, sf):
+    found = L.catalog_links(A.crawl_catalog(spark, sf), A.landed_copies(spark, sf), class_name=None)
+    return found.select("publication_id", "link_pos", "link_url")
+
+
+def _repeated_links(spark, sf) -> DataFrame:
+    return L.catalog_links(A.repeated_catalog(spark, sf), A.landed_pages(spark, sf), class_name=None)
+
+
 @query
 def download_plan_by_id(spark, sf):
-    return L.download_plan_by_id(_crawl_links(spark, sf))
+    return L.download_plan_by_id(_repeated_links(spark, sf))
 
 
 @query
 def overwritten_links(spark, sf):
-    return L.overwritten_links(_crawl_links(spark, sf)).select("publication_id", "link_pos", "link_url")
+    return L.overwritten_links(_repeated_links(spark, sf)).select("publication_id", "catalog_pos", "link_pos", "link_url")
+
+
+@query
+def seed_plan_by_path(spark, sf):
+    """A seed list without publication ids, crawled in its own order."""
+    seeds = A.table(spark, sf, "pages").select((-F.col("page_id")).alias("catalog_pos"), "url")
+    return L.download_plan_by_path(L.catalog_links(seeds, A.landed_pages(spark, sf), class_name=None))
 
 
 @query
@@ -171,6 +188,27 @@ def fetch_documents(spark, sf):
     return fetched.select("page_id", "link_pos", "link_url", "n_bytes", "status", "reason")
 
 
+def _fetch_unless_dead(url: str) -> bytes:
+    """Stands for an HTTP client: marked links are missing."""
+    if url.endswith("?dead"):
+        raise OSError("404")
+    return url.encode()
+
+
+@query
+def fetch_fallback(spark, sf):
+    """The last 0 to 6 links of a page are dead."""
+    links = _crawl_links(spark, sf)
+    count = A.table(spark, sf, "pages").select(
+        F.col("page_id").alias("publication_id"), (F.regexp_count("html", F.lit('<a href="')) - F.col("page_id") % 7).alias("alive")
+    )
+    marked = links.join(count, "publication_id").withColumn(
+        "link_url", F.concat("link_url", F.when(F.col("link_pos") >= F.col("alive"), "?dead").otherwise(""))
+    )
+    log = FE.fetch_with_fallback(L.download_candidates(marked), _fetch_unless_dead, tasks=spark.sparkContext.defaultParallelism)
+    return log.select("publication_id", "attempt", "link_pos", "link_url", "file_path", "n_bytes", "status", "reason")
+
+
 @query
 def expected_files(spark, sf):
     files = A.obtained_files(spark, sf)
@@ -300,7 +338,9 @@ def drop_empty_pages(spark, sf):
 @query
 def pending_pages(spark, sf):
     pages = A.page_rows(spark, sf).select("doc_id", "page_num", "image_path")
-    done = A.page_rows(spark, sf).filter((F.col("doc_id") + F.col("page_num")) % 3 == 0)
+    listed = A.page_rows(spark, sf).filter((F.col("doc_id") + F.col("page_num")) % 3 == 0)
+    done = listed.select(F.concat(F.lit("file:///"), "image_path").alias("image_path"))
+    pages = pages.withColumn("image_path", F.concat(F.lit("/"), "image_path"))
     return P.pending_pages(pages, done).select("doc_id", "page_num", "image_path")
 
 
@@ -336,6 +376,22 @@ def render_pages(spark, sf):
     )
 
 
+def _render_with_faults(data: bytes, first: int, last: int, dpi: int) -> Iterator[tuple[int, bytes | None]]:
+    """Stands for a renderer that cannot draw every seventh page."""
+    for n in range(first, last + 1):
+        if n % 7 == 0:
+            raise ValueError("broken page")
+        yield n, f"{data.decode()}:{n}".encode()
+
+
+@query
+def render_batches(spark, sf):
+    docs = A.doc_pages(spark, sf).select(F.col("doc").alias("doc_path"), "n_pages")
+    tasks = spark.sparkContext.defaultParallelism
+    pages = P.render_batches(P.page_batches(docs), _render_with_faults, lambda path: path.encode(), tasks)
+    return pages.select("doc_path", "page_num", F.md5("image").alias("image_md5"), "status", "reason")
+
+
 # ---- images ----------------------------------------------------------------------------------
 
 

@@ -144,11 +144,28 @@ ORACLE["resolve_links"] = _with(HREFS) + """SELECT page_id, link_pos,
     WHEN 5 THEN root || '/b' || href ELSE 'mailto:' || substr(href, 2) END AS link_url
 FROM links"""
 ORACLE["catalog_links"] = _with(HREFS) + "SELECT publication_id, link_pos, link_url FROM resolved"
-ORACLE["download_plan_by_id"] = _with(HREFS) + """SELECT publication_id, max(link_pos) AS link_pos,
-  arg_max(link_url, link_pos) AS link_url, publication_id || '.pdf' AS file_path, count(*) AS n_links
-FROM resolved GROUP BY publication_id"""
-ORACLE["overwritten_links"] = _with(HREFS) + """SELECT publication_id, link_pos, link_url
-FROM (SELECT *, max(link_pos) OVER (PARTITION BY publication_id) AS last FROM resolved) WHERE link_pos < last"""
+ORACLE["catalog_links_copies"] = ORACLE["catalog_links"]
+REPEATED = """repeated AS (
+  SELECT publication_id, publication_id * 4 AS catalog_pos, link_pos, link_url FROM resolved
+  UNION ALL SELECT publication_id, publication_id * 4 + 1, link_pos, link_url FROM resolved WHERE publication_id % 5 = 0
+  UNION ALL SELECT publication_id + 1, publication_id * 4 + 2, link_pos, link_url FROM resolved WHERE publication_id % 3 = 0)"""
+ORACLE["download_plan_by_id"] = _with(HREFS, REPEATED) + """SELECT publication_id, arg_max(link_pos, catalog_pos * 100000 + link_pos) AS link_pos,
+  arg_max(link_url, catalog_pos * 100000 + link_pos) AS link_url, publication_id || '.pdf' AS file_path, count(*) AS n_links
+FROM repeated GROUP BY publication_id"""
+ORACLE["overwritten_links"] = _with(HREFS, REPEATED) + """SELECT publication_id, catalog_pos, link_pos, link_url
+FROM (SELECT *, catalog_pos * 100000 + link_pos AS place, max(catalog_pos * 100000 + link_pos) OVER (PARTITION BY publication_id) AS last FROM repeated)
+WHERE place < last"""
+ORACLE["seed_plan_by_path"] = _with(HREFS) + """SELECT path AS file_path,
+  arg_max(link_url, link_pos - publication_id * 100000) AS link_url, count(*) AS n_links
+FROM resolved GROUP BY path"""
+ORACLE["fetch_fallback"] = _with(HREFS).rstrip() + """, marked AS (
+  SELECT publication_id, link_pos, link_pos >= count(*) OVER (PARTITION BY publication_id) - publication_id % 7 AS dead,
+    row_number() OVER (PARTITION BY publication_id ORDER BY link_pos DESC)::INTEGER AS attempt, link_url FROM resolved),
+tried AS (SELECT *, min(attempt) FILTER (NOT dead) OVER (PARTITION BY publication_id) AS got FROM marked)
+SELECT publication_id, attempt, link_pos, link_url || CASE WHEN dead THEN '?dead' ELSE '' END AS link_url,
+  publication_id || '.pdf' AS file_path, CASE WHEN NOT dead THEN strlen(link_url) END AS n_bytes,
+  CASE WHEN dead THEN 'error' ELSE 'ok' END AS status, CASE WHEN dead THEN 'OSError: 404' END AS reason
+FROM tried WHERE attempt <= coalesce(got, attempt)"""
 ORACLE["download_plan_by_path"] = _with(HREFS) + """SELECT path AS file_path,
   arg_max(link_url, publication_id * 100000 + link_pos) AS link_url, count(*) AS n_links
 FROM resolved GROUP BY path"""
@@ -191,7 +208,7 @@ ORACLE["batch_flatten"] = _with(DOCPAGES, PAGEROWS) + "SELECT doc_id, doc || '_p
 ORACLE["page_path_build"] = _with(DOCPAGES, PAGEROWS) + "SELECT doc_id, page_num, 'out/' || doc || '.x_page_' || page_num || '.png' AS image_path FROM pagerows"
 ORACLE["page_path_parse"] = _with(DOCPAGES, PAGEROWS) + "SELECT image_path, substr(image_path, 5) AS file_name, doc, page_num FROM pagerows"
 ORACLE["drop_empty_pages"] = _with(DOCPAGES, PAGEROWS) + "SELECT doc_id, page_num, image_path FROM pagerows WHERE (doc_id + page_num) % 7 <> 0"
-ORACLE["pending_pages"] = _with(DOCPAGES, PAGEROWS) + "SELECT doc_id, page_num, image_path FROM pagerows WHERE (doc_id + page_num) % 3 <> 0"
+ORACLE["pending_pages"] = _with(DOCPAGES, PAGEROWS) + "SELECT doc_id, page_num, '/' || image_path AS image_path FROM pagerows WHERE (doc_id + page_num) % 3 <> 0"
 ORACLE["page_preview"] = _with(DOCPAGES, PAGEROWS) + """SELECT doc_id, page_num, trunc(width * 0.25)::INTEGER AS preview_w, trunc(height * 0.25)::INTEGER AS preview_h
 FROM pagerows WHERE page_num = 2"""
 ORACLE["quarantine"] = _with(FILES) + "SELECT file_name, status FROM files WHERE status = 'error'"
@@ -202,6 +219,11 @@ FROM (
   FROM (SELECT doc_id, text, unnest(range(1, greatest(1, ceil(n_chars / 2000.0))::BIGINT + 1))::INTEGER AS page_num FROM documents))
 WHERE page <> ''"""
 
+ORACLE["render_batches"] = _with(DOCPAGES, PAGEROWS) + """SELECT doc AS doc_path, page_num,
+  CASE WHEN page_num % 7 <> 0 THEN md5(doc || ':' || page_num) END AS image_md5,
+  CASE WHEN page_num % 7 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN page_num % 7 = 0 THEN 'ValueError: broken page' END AS reason
+FROM pagerows"""
+
 # ---- images ----------------------------------------------------------------------------------
 
 ORACLE["img_gray"] = _with(PX, RGB) + _hex("rgb", 8, 8, 1, "((c0 * 19595 + c1 * 38470 + c2 * 7471 + 32768) // 65536)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,10 @@ from pyspark.sql import types as T
 
 def store_file(path: str, data: bytes, overwrite: bool) -> str:
     """Write to a temporary name and rename, so a reader never sees half a file and a task that
-    runs twice leaves the same file. For folders that all executors share."""
+    runs twice leaves the same file. For folders that all executors share by a mount; paths of an
+    object store need a ``store`` of the caller."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        raise ValueError(f"not a mounted folder: {path}")
     if not overwrite and os.path.exists(path):
         return "exists"
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
@@ -34,8 +38,11 @@ def write_files(
 ) -> DataFrame:
     """Store each row's bytes under ``folder`` and return the manifest (path, n_bytes, status).
 
-    Writing happens when the manifest is computed. Rows without bytes are not written.
+    Writing happens when the manifest is computed. Rows without bytes are not written. A folder with
+    a scheme, such as an object store's, is refused here unless the caller gives a ``store`` for it.
     """
+    if store is store_file and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", folder):
+        raise ValueError(f"not a mounted folder: {folder}")
     schema = T.StructType(
         [
             T.StructField(path, T.StringType()),

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from doctables.operators.results import as_text
 
-# Ids that fit one JSON array in one row: 8 MB of text at most.
-MAX_ARRAY_IDS = 400_000
-
-
 def write_results(results: DataFrame, path: str) -> None:
     """Typed results, replaced on every run."""
     results.write.mode("overwrite").parquet(path)
@@ -39,15 +35,3 @@ def missing_lines(missing: DataFrame) -> DataFrame:
 
 def write_missing_lines(missing: DataFrame, path: str) -> None:
     missing_lines(missing).write.mode("overwrite").text(path)
-
-
-def write_missing_array(missing: DataFrame, path: str, max_ids: int = MAX_ARRAY_IDS) -> None:
-    """One JSON array of ids in rising order, for lists that are known to be short.
-
-    The length is checked first; longer lists go to ``write_missing_lines``.
-    """
-    n = missing.limit(max_ids + 1).count()
-    if n > max_ids:
-        raise ValueError(f"more than {max_ids} missing ids: use write_missing_lines")
-    ids = missing.agg(F.array_sort(F.collect_list("publication_id")).alias("ids"))
-    ids.select(F.to_json("ids").alias("value")).write.mode("overwrite").text(path)

@@ -11,22 +11,25 @@ from doctables.functions import paths
 
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     """Catalog text as it is; columns are taken by name, other columns are ignored."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return raw.select(*schemas.CATALOG_CSV.names)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    # A quoted title may hold line breaks, so a file is one task; its rows keep their order.
+    return reader.csv(path).select(*schemas.CATALOG_CSV.names, F.monotonically_increasing_id().alias("catalog_pos"))
 
 
 def catalog_rows(raw: DataFrame) -> DataFrame:
-    return _typed(raw).filter(F.col("publication_id").isNotNull())
+    """Rows with a whole-number id and a URL, with their place where the source knows it."""
+    return _typed(raw).filter(F.col("publication_id").isNotNull() & F.col("url").isNotNull())
 
 
 def catalog_rejects(raw: DataFrame) -> DataFrame:
-    """Rows whose id is not a whole number, as read."""
-    return raw.filter(F.col("Publication ID").try_cast("bigint").isNull())
+    """Rows whose id is not a whole number, or that have no URL, as read."""
+    return raw.filter(F.col("Publication ID").try_cast("bigint").isNull() | F.col("URL").isNull())
 
 
 def _typed(raw: DataFrame) -> DataFrame:
+    place = ["catalog_pos"] if "catalog_pos" in raw.columns else []
     return raw.select(
-        F.col("Publication ID").try_cast("bigint").alias("publication_id"), F.col("URL").alias("url")
+        F.col("Publication ID").try_cast("bigint").alias("publication_id"), F.col("URL").alias("url"), *place
     )
 
 

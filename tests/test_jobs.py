@@ -59,7 +59,7 @@ def test_acquire_and_verify(spark, folder):
     pages = spark.createDataFrame(
         [
             ("http://s/p1", LINK.format("/1.pdf")),
-            # The last link of this page is dead, so the one before is taken in the next round.
+            # The last link of this page is dead, so the one before is taken.
             ("http://s/p2", LINK.format("2a.pdf") + LINK.format("2b.pdf") + LINK.format("2c.pdf")),
             ("http://s/p3", LINK.format("dead.pdf")),
         ],
@@ -70,7 +70,7 @@ def test_acquire_and_verify(spark, folder):
     )
     pdfs = f"{folder}/pdfs"
     log = jobs.acquire(catalog, pages, fetch, pdfs, f"{folder}/work", tasks=3)
-    assert sorted((r.publication_id, r.status, r["round"]) for r in log.collect()) == [
+    assert sorted((r.publication_id, r.status, r.attempt) for r in log.collect()) == [
         (1, "ok", 1), (2, "error", 1), (2, "ok", 2), (3, "error", 1)]
     assert sorted(os.listdir(pdfs)) == ["1.pdf", "2.pdf"]
     assert open(f"{pdfs}/2.pdf", "rb").read() == BODIES["http://s/2b.pdf"]
@@ -95,7 +95,12 @@ def test_pages_detection_and_tables(spark, folder):
     # A second run with a manifest of all but two pages makes those two.
     done = log.filter("status = 'ok' AND image_path NOT LIKE '%long_page_1_.png'")
     again = paginate("w2", done.unionByName(log.filter("image_path LIKE '%page_12.png'")))
-    assert sorted(r.page_num for r in again.filter("status = 'ok'").collect()) == [10, 11, 12, 13]
+    assert sorted(r.page_num for r in again.filter("status = 'ok'").collect()) == [10, 11, 13]
+    # A listing of the folder is as good as a manifest, and a catalog leaves other files out.
+    listed = sources.list_files(spark, images).select(F.col("path").alias("image_path"))
+    assert paginate("w3", listed).filter("status = 'ok'").count() == 0
+    none = jobs.paginate(spark, pdfs, images, count, render, read, 4, f"{folder}/w4", catalog=spark.range(3).withColumnRenamed("id", "publication_id"))
+    assert none.count() == 0
 
     with open(f"{images}/junk_page_1.png", "wb") as f:
         f.write(b"no image")

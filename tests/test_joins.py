@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doctables.operators import fetch as FE
+from doctables.operators import links as L
 from doctables.operators import reconcile as R
 from doctables.operators.lookup import MAX_HOT, hot_keys, lookup_join
 
@@ -41,7 +42,7 @@ def test_lookup_join_equals_the_plain_join(spark, skewed, how, threshold):
     right = right.unionByName(spark.createDataFrame([(7, 70)], "k LONG, r LONG"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        got = lookup_join(skewed, right, "k", how, min_rows=1)
+        got = lookup_join(skewed, right, "k", how, min_rows=1, skew=True)
         want = skewed.join(right, "k", how)
         cols = want.columns
         assert got.select(cols).exceptAll(want).isEmpty() and want.exceptAll(got.select(cols)).isEmpty()
@@ -54,7 +55,7 @@ def test_hot_rows_spread_over_partitions(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        rows = lookup_join(skewed, right, "k", "inner", min_rows=1)
+        rows = lookup_join(skewed, right, "k", "inner", min_rows=1, skew=True)
         sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 3001 and len(sizes) > 1 and max(sizes) < 2000
     finally:
@@ -62,6 +63,34 @@ def test_hot_rows_spread_over_partitions(spark, skewed):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_copies_of_one_row_spread(spark):
+    copies = spark.range(0, 3000, 1, 6).select(F.lit(7).cast("long").alias("k"), F.lit("same").alias("v"))
+    right = spark.createDataFrame([(7, 70)], "k LONG, r LONG")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = lookup_join(copies, right, "k", "inner", min_rows=1, skew=True)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3000 and len(sizes) > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_building_a_plan_runs_no_job(spark):
+    catalog = spark.range(10).select(F.col("id").alias("publication_id"), F.concat(F.lit("http://s/"), "id").alias("url"))
+    pages = catalog.select("url", F.lit("<a class='usa-link Document' href='/a'>").alias("html"))
+    spark.sparkContext.setJobGroup("building", "plans")
+    try:
+        links = L.catalog_links(catalog, pages)
+        L.download_plan_by_id(links), L.overwritten_links(links), L.download_plan_by_path(links)
+        R.missing_rows(catalog, catalog.select("publication_id"))
+        L.expected_files(catalog, catalog.select(F.col("url").alias("file_name")), "f")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_reconciliation(spark):
     catalog = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d"), (3, "d")], "publication_id LONG, url STRING")
     files = spark.createDataFrame([("1.pdf",), ("3.pdf",), ("003.pdf",), ("9.pdf",), ("x.pdf",), (".pdf",), ("12",)], "file_name STRING")
@@ -102,3 +131,20 @@ def test_one_host_is_spread_over_a_few_tasks(spark):
     rows = FE.fetch_documents(plan, lambda u: b"x", tasks=16, tasks_per_host=4)
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 400 and 2 <= len(sizes) <= 4
+
+
+def test_all_links_are_tried_from_the_last_on(spark):
+    def fetch(url):
+        if url.endswith("dead"):
+            raise OSError("404")
+        return url.encode()
+
+    rows = [(1, n, f"http://h/{n}{'' if n == 0 else 'dead'}") for n in range(6)] + [(2, 0, "http://h/x"), (2, 1, "http://h/y"), (3, 0, "http://h/dead")]
+    links = spark.createDataFrame(rows, "publication_id LONG, link_pos INT, link_url STRING")
+    log = FE.fetch_with_fallback(L.download_candidates(links), fetch, tasks=2).collect()
+    got = {}
+    for r in sorted(log, key=lambda r: (r.publication_id, r.attempt)):
+        got.setdefault(r.publication_id, []).append((r.attempt, r.link_pos, r.status, r.content and bytes(r.content)))
+    assert got[1] == [(i + 1, 5 - i, "error", None) for i in range(5)] + [(6, 0, "ok", b"http://h/0")]
+    assert got[2] == [(1, 1, "ok", b"http://h/y")] and got[3] == [(1, 0, "error", None)]
+    assert {r.file_path for r in log} == {"1.pdf", "2.pdf", "3.pdf"}

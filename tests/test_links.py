@@ -149,15 +149,34 @@ def test_catalog_links_and_plans(spark):
     rows = L.catalog_links(catalog, pages)
     assert sorted((r.publication_id, r.link_pos, r.link_url) for r in rows.collect()) == [
         (1, 0, "http://s/1.pdf"), (1, 1, "http://s/d/2.pdf"), (4, 0, "http://s/1.pdf"), (4, 1, "http://s/d/2.pdf")]
-    unpruned = L.catalog_links(catalog, pages, max_urls=2)
-    assert sorted(unpruned.collect()) == sorted(rows.collect())
-    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (rows, unpruned)]
-    assert ["LeftSemi" in p for p in plans] == [True, False]
     plan = {r.publication_id: (r.link_url, r.file_path, r.n_links) for r in L.download_plan_by_id(rows).collect()}
     assert plan == {1: ("http://s/d/2.pdf", "1.pdf", 2), 4: ("http://s/d/2.pdf", "4.pdf", 2)}
     assert sorted((r.publication_id, r.link_pos) for r in L.overwritten_links(rows).collect()) == [(1, 0), (4, 0)]
-    failed = spark.createDataFrame([(4, "http://s/d/2.pdf")], "publication_id LONG, link_url STRING")
-    again = {r.publication_id: r.link_url for r in L.download_plan_by_id(rows, failed).collect()}
-    assert again == {1: "http://s/d/2.pdf", 4: "http://s/1.pdf"}
+    listed = {r.publication_id: [(x.link_pos, x.link_url) for x in r.links] for r in L.download_candidates(rows).collect()}
+    assert listed[4] == [(1, "http://s/d/2.pdf"), (0, "http://s/1.pdf")]
     paths = {r.file_path: r.n_links for r in L.download_plan_by_path(rows).collect()}
     assert paths == {"1.pdf": 2, "d/2.pdf": 2}
+
+
+def test_copies_of_pages(spark):
+    """The newest copy with links wins; without times the fullest; an empty one never."""
+    def page(*hrefs):
+        return "".join(f'<a class="usa-link Document" href="{h}">' for h in hrefs)
+
+    rows = [("http://s/a", 1, page("/x", "/y")), ("http://s/a", 2, page("/z")), ("http://s/a", 3, "<p>busy</p>"), ("http://s/b", 1, "<p>")]
+    pages = spark.createDataFrame(rows, "url STRING, fetched_at INT, html STRING")
+    assert {r.url: r.hrefs for r in L.page_lists(pages).collect()} == {"http://s/a": ["/z"], "http://s/b": []}
+    assert {r.url: r.hrefs for r in L.page_lists(pages.drop("fetched_at")).collect()}["http://s/a"] == ["/x", "/y"]
+
+
+def test_order_of_a_catalog_with_repeated_ids(spark):
+    pages = spark.createDataFrame([("http://s/p", '<a class="usa-link Document" href="/a0"><a class="usa-link Document" href="/a1">'),
+                                   ("http://s/q", '<a class="usa-link Document" href="/b0">')], "url STRING, html STRING")
+    catalog = spark.createDataFrame([(1, "http://s/p", 0), (1, "http://s/q", 1), (2, "http://s/q", 2), (2, "http://s/q", 3)],
+                                    "publication_id LONG, url STRING, catalog_pos INT")
+    links = L.catalog_links(catalog, pages)
+    assert {r.publication_id: (r.link_url, r.n_links) for r in L.download_plan_by_id(links).collect()} == {1: ("http://s/b0", 3), 2: ("http://s/b0", 2)}
+    lost = sorted((r.publication_id, r.catalog_pos, r.link_pos) for r in L.overwritten_links(links).collect())
+    assert lost == [(1, 0, 0), (1, 0, 1), (2, 2, 0)]
+    seeds = catalog.select("url", "catalog_pos")
+    assert {r.file_path: r.n_links for r in L.download_plan_by_path(L.catalog_links(seeds, pages)).collect()} == {"a0": 1, "a1": 1, "b0": 3}

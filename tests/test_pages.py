@@ -100,10 +100,27 @@ def test_counting_and_rendering(spark, folder):
     assert [(r.doc_path.split("/")[-1], r.reason) for r in P.quarantine(failed).collect()] == [("bad.pdf", "ValueError: broken file")]
 
 
-def test_a_reader_that_fails_is_one_error_row(spark):
+def test_a_page_that_fails_is_its_own_error_row(spark):
+    def faulty(data, first, last, dpi):
+        for n in range(first, last + 1):
+            if n in (4, 7):
+                raise ValueError("broken page")
+            yield n, b"x"
+
+    plan = spark.createDataFrame([("d", 1, 10)], "doc_path STRING, first_page INT, last_page INT")
+    rows = P.render_batches(plan, faulty, lambda p: b"", tasks=1).collect()
+    assert sorted((r.page_num, r.status) for r in rows) == [(n, "error" if n in (4, 7) else "ok") for n in range(1, 11)]
+    some = spark.createDataFrame([("d", [9, 2, 3, 7])], "doc_path STRING, pages ARRAY<INT>")
+    rows = P.render_batches(some, faulty, lambda p: b"", tasks=1).collect()
+    assert sorted((r.page_num, r.status) for r in rows) == [(2, "ok"), (3, "ok"), (7, "error"), (9, "ok")]
+    assert P._runs([2, 3, 5, 6, 7, 9]) == [(2, 3), (5, 7), (9, 9)]
+
+
+def test_a_reader_that_fails_is_an_error_row_per_page(spark):
     plan = spark.createDataFrame([("/no/such", 1, 3)], "doc_path STRING, first_page INT, last_page INT")
-    (row,) = P.render_batches(plan, render, lambda p: open(p, "rb").read(), tasks=1).collect()
-    assert row.status == "error" and row.reason.startswith("FileNotFoundError")
+    rows = P.render_batches(plan, render, lambda p: open(p, "rb").read(), tasks=1).collect()
+    assert sorted(r.page_num for r in rows) == [1, 2, 3]
+    assert all(r.status == "error" and r.reason.startswith("FileNotFoundError") for r in rows)
 
 
 def test_pending_and_preview(spark):
@@ -111,6 +128,9 @@ def test_pending_and_preview(spark):
     done = spark.createDataFrame([("a",), ("z",)], "image_path STRING")
     assert [r.image_path for r in P.pending_pages(pages, done).collect()] == ["b"]
     assert P.pending_pages(pages, done, overwrite=True).count() == 2
+    schemed = spark.createDataFrame([("file:///d/a",), ("file:/d/z",)], "image_path STRING")
+    there = spark.createDataFrame([("/d/a",), ("file:/d/b",)], "image_path STRING")
+    assert [r.image_path for r in P.pending_pages(there, schemed).collect()] == ["file:/d/b"]
     (row,) = P.page_preview(pages).collect()
     assert (row.preview_w, row.preview_h) == (83, 25)
     (row,) = P.page_preview(pages, 2, 0.4).collect()
@@ -148,10 +168,10 @@ def test_canonical_paths_agree(spark):
 
 def test_catalog_and_seed_sources(spark, folder):
     with open(f"{folder}/catalog.csv", "w") as f:
-        f.write('Title,Publication ID,URL\n"A, b",12,http://s/1\n"x ""q""",n/a,http://s/2\nz,,http://s/3\n')
+        f.write('Title,Publication ID,URL\n"A, b",12,http://s/1\n"x ""q""",n/a,http://s/2\nz,,http://s/3\n"two\nlines",13,http://s/4\nw,14,\n')
     raw = sources.read_catalog_csv(spark, f"{folder}/catalog.csv")
-    assert [tuple(r) for r in sources.catalog_rows(raw).collect()] == [(12, "http://s/1")]
-    assert sorted(r.URL for r in sources.catalog_rejects(raw).collect()) == ["http://s/2", "http://s/3"]
+    assert [tuple(r) for r in sources.catalog_rows(raw).collect()] == [(12, "http://s/1", 0), (13, "http://s/4", 3)]
+    assert sorted(r.URL or "" for r in sources.catalog_rejects(raw).collect()) == ["", "http://s/2", "http://s/3"]
     assert [tuple(r) for r in sources.seed_urls(spark, ["u", "v"]).collect()] == [(0, "u"), (1, "v")]
 
 
@@ -163,15 +183,9 @@ def test_landed_pages(spark, folder):
 
 def test_missing_ids_round_trips(spark, folder):
     missing = spark.createDataFrame([(88,), (7,), (70247399,), (7,)], "publication_id LONG")
-    tables.write_missing_array(missing, f"{folder}/array")
-    (line,) = spark.read.text(f"{folder}/array").collect()
-    assert line.value == "[7,7,88,70247399]"
     want = [7, 7, 88, 70247399]
-    assert sorted(r[0] for r in sources.read_missing_ids(spark, f"{folder}/array").collect()) == want
     tables.write_missing_lines(missing, f"{folder}/lines")
     assert sorted(r[0] for r in sources.read_missing_lines(spark, f"{folder}/lines").collect()) == want
-    with pytest.raises(ValueError, match="write_missing_lines"):
-        tables.write_missing_array(missing, f"{folder}/none", max_ids=3)
     with open(f"{folder}/own.json", "w") as f:
         f.write("[\n  88,\n  70247399\n]")
     assert sorted(r[0] for r in sources.read_missing_ids(spark, f"{folder}/own.json").collect()) == [88, 70247399]
@@ -196,3 +210,7 @@ def test_files_are_written_once_and_stay_inside(spark, folder):
     files.write_files(rows, target, "p", "c").collect()
     assert open(f"{target}/2.pdf", "rb").read() == b"two"
     assert sorted(os.listdir(target)) == ["2.pdf", "d"]
+    with pytest.raises(ValueError, match="mounted"):
+        files.write_files(rows, "s3a://bucket/x", "p", "c")
+    with pytest.raises(ValueError, match="mounted"):
+        files.store_file("s3a://bucket/x/1.pdf", b"x", True)
