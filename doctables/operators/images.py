@@ -6,7 +6,7 @@ to rows and never shuffled. Rows that failed to decode (height -1) pass through
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from doctables import schemas
 from doctables.functions import pixels
-from doctables.functions.png import encode_png
 
 # OpenCV type codes of 8-bit images by channel count.
 MODES = {1: 0, 3: 16, 4: 24}
@@ -46,8 +45,12 @@ def _pixels(frame: pd.DataFrame):
         yield pixels.as_array(data, h, w, c) if h > 0 else None
 
 
-def map_images(df: DataFrame, step: Callable[[np.ndarray], np.ndarray], col: str = "image") -> DataFrame:
-    """Apply a numpy step to the images of a column."""
+Step = Callable[[np.ndarray], np.ndarray]
+
+
+def map_images(df: DataFrame, steps: Step | Sequence[Step], col: str = "image") -> DataFrame:
+    """Apply numpy steps to the images of a column, one after the other in a single pass."""
+    chain = [steps] if callable(steps) else list(steps)
 
     @image_udf(schemas.IMAGE)
     def mapped(frame: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +59,9 @@ def map_images(df: DataFrame, step: Callable[[np.ndarray], np.ndarray], col: str
             if img is None:
                 rows.append(tuple(old))
                 continue
-            new = np.ascontiguousarray(step(img))
+            for step in chain:
+                img = step(img)
+            new = np.ascontiguousarray(img)
             channels = 1 if new.ndim == 2 else new.shape[2]
             rows.append((old[0], *new.shape[:2], channels, MODES[channels], new.tobytes()))
         return pd.DataFrame(rows, columns=schemas.IMAGE.names)
@@ -126,17 +131,17 @@ def prepared(df: DataFrame, profile: pixels.Profile = pixels.BINARIZED, col: str
     return _tensors(df, lambda img: pixels.prepare(img, profile), col)
 
 
-def encoded_png(df: DataFrame, bgr: bool = True, col: str = "image") -> DataFrame:
-    """PNG bytes in ``content`` in place of the image; images without pixels give null."""
+def encoded(df: DataFrame, encode: Callable[[np.ndarray], bytes], bgr: bool = True, col: str = "image") -> DataFrame:
+    """Bytes of the caller's codec in ``content`` in place of the image; images without pixels give null."""
 
     @image_udf(T.BinaryType())
-    def encoded(frame: pd.DataFrame) -> pd.Series:
+    def coded(frame: pd.DataFrame) -> pd.Series:
         found = []
         for img in _pixels(frame):
             if img is None or img.size == 0:
                 found.append(None)
             else:
-                found.append(encode_png(pixels.swap_channels(img) if bgr else img))
+                found.append(encode(pixels.swap_channels(img) if bgr else img))
         return pd.Series(found, dtype=object)
 
-    return df.withColumn("content", encoded(F.col(col))).drop(col)
+    return df.withColumn("content", coded(F.col(col))).drop(col)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +142,7 @@ def annotate(results: DataFrame, folder: str) -> DataFrame:
 def record_tables(
     images: DataFrame,
     make_model: Callable[[], Callable],
+    encode: Callable[[np.ndarray], bytes],
     crop_folder: str,
     out: str,
     run_id: str,
@@ -152,12 +154,13 @@ def record_tables(
     """Detect, crop, and record documents and tables.
 
     Each image stays in its row from the model to the crop, so pixels are never joined or shuffled.
-    ``images`` has ``file_path`` and ``image``.
+    ``images`` has ``file_path`` and ``image``; ``encode`` gets the pixels of a crop, in RGB order.
+    A score limit is the model's business: there is none unless ``min_score`` is given.
     """
     parts = P.with_page_parts(images, "file_path").withColumn("file_name", F.concat("doc", F.lit(".pdf")))
     raw = D.run_model(parts, make_model, len(labels), profile, keep_image=True)
     found = D.page_results(raw, labels, min_score)
-    crops = I.encoded_png(RES.page_crops(found, crop_folder))
+    crops = I.encoded(RES.page_crops(found, crop_folder), encode)
     made = _stored(crops, f"{out}/crops/run_id={run_id}", resume)
     whole = made.withColumn("name", paths.file_name(F.col("image_path")))
     _stored(out_files.write_files(whole, crop_folder, "name", "content"), f"{out}/crop_files/run_id={run_id}", resume)

@@ -424,6 +424,13 @@ def img_three_channel(spark, sf):
     return _hex(I.three_channels(A.gray_images(spark, sf)))
 
 
+@query
+def img_chain(spark, sf):
+    """Stored BGR to RGB, gray, threshold and three channels in one pass."""
+    steps = [pixels.swap_channels, pixels.to_gray, pixels.binarize, pixels.three_channels]
+    return _hex(I.map_images(A.color_images(spark, sf), steps))
+
+
 @query
 def img_dilate(spark, sf):
     return _hex(I.dilated(A.gray_images(spark, sf)))

@@ -268,6 +268,14 @@ ORACLE["img_profile_plain"] = _with(
 ) + f"""SELECT vec_id, ((2 - ch) * 196 + y * 14 + x)::INTEGER AS i, {_normal("g", "mean", "std")} AS v
 FROM resized JOIN stats USING (ch)"""
 
+ORACLE["img_chain"] = _with(
+    PX,
+    RGB,
+    "gray AS (SELECT vec_id, i, (c2 * 19595 + c1 * 38470 + c0 * 7471 + 32768) // 65536 AS g FROM rgb)",
+    _otsu("gray", 64),
+    "bin AS (SELECT vec_id, i, CASE WHEN g > level THEN 'FFFFFF' ELSE '000000' END AS g FROM gray JOIN levels USING (vec_id))",
+) + _hex("bin", 8, 8, 3).replace("printf('%02X', g::INTEGER)", "g")
+
 # ---- detection -------------------------------------------------------------------------------
 
 ORACLE["run_model"] = _with(

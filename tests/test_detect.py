@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from doctables import schemas
 from doctables.functions import pixels
-from doctables.functions.png import encode_png
+from pngs import encode_png
 from doctables.operators import detect as D
 from doctables.operators import pages as P
 from doctables.operators import results as RES

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doctables.functions import pixels
-from doctables.functions.png import encode_png
+from pngs import encode_png
 from doctables.operators import images as I
 from doctables.sources import tables as sources
 
@@ -125,5 +125,16 @@ def test_decoded_files(spark, folder):
         assert (t.c, t.h, t.w) == want.shape
         assert np.array_equal(np.array(t.data, np.float32).reshape(want.shape), want)
     assert tensors["x_page_1.png"].data is None
-    stored = {r.name: r.content for r in I.encoded_png(images).select(name, "content").collect()}
+    stored = {r.name: r.content for r in I.encoded(images, encode_png).select(name, "content").collect()}
     assert stored["c_page_1.png"] == encode_png(made["c_page_1.png"])
+
+
+def test_a_chain_of_steps_is_one_pass(spark):
+    df = spark.createDataFrame([(("", 2, 2, 3, 16, bytes(range(12))),)], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    steps = [pixels.swap_channels, pixels.to_gray, pixels.three_channels, lambda img: pixels.resize(img, 4)]
+    chain = I.map_images(df, steps)
+    one = df
+    for step in steps:
+        one = I.map_images(one, step)
+    assert chain.collect() == one.collect()
+    assert chain._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from doctables.functions import pixels
-from doctables.functions.png import encode_png
+from pngs import encode_png
 from doctables.operators import results as RES
 from doctables.plans import jobs
 from doctables.sources import tables as sources
@@ -120,7 +120,7 @@ def test_pages_detection_and_tables(spark, folder):
 
     crops = f"{folder}/crops"
     for _ in range(2):
-        jobs.record_tables(decoded, make_model, crops, out, "r1", profile=profile)
+        jobs.record_tables(decoded, make_model, encode_png, crops, out, "r1", profile=profile)
     documents = {r.filename: (r.n_pages, r.table_count) for r in spark.read.parquet(f"{out}/documents").collect()}
     assert documents == {"Doe, 1910.pdf": (3, 3), "long.pdf": (13, 10), "junk.pdf": (1, 0)}
     tables = spark.read.parquet(f"{out}/tables")
