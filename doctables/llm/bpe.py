@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from doctables.llm.common import whole_text
 
 # A block ends with the document that takes it over one of these sizes.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 BLOCK_DOCS = 50_000
 # Parts of the distinct-word table, and the words of a part that are held at once.
 BUCKETS = 128
@@ -221,8 +221,9 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
     return dealt.mapInArrow(run, "block long, bucket int, ids binary")
 
 
-def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the ids of their words to one row per document."""
+def _copy_to_positions(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    """Blocks with the ids of their words to one row per document; with ``path`` also its decoded ids."""
+    table = None if path is None else pieces(path)
     for batch in batches:
         for row in range(batch.num_rows):
             doc_ids = batch.column("doc_ids")[row].values
@@ -234,19 +235,23 @@ def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             (ranks, places), _ = _unpacked(batch.column("stream")[row].as_py())
             sizes, begins = sizes[places], (np.cumsum(sizes) - sizes)[places]
             edges = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
-            for first in range(0, len(n_words), 256):
-                some = edges[first : first + 257]
+            for first in range(0, len(n_words), 64):
+                some = edges[first : first + 65]
                 at = ranks[some[0] : some[-1]]
                 n = sizes[at]
                 ends = np.concatenate([[0], np.cumsum(n)])
                 source = np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])
                 ids = pa.ListArray.from_arrays(pa.array(ends[some - some[0]].astype(np.int32)), pa.array(flat[source]))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(some) - 1), ids], ["doc_id", "ids"])
+                columns = [doc_ids.slice(first, len(some) - 1), ids]
+                if table is not None:
+                    columns.append(pa.array([_joined(row.values.to_numpy(), table) for row in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """(``doc_id``, ``ids``) of every row of ``docs``, as the tokenizers library encodes the whole
-    text without added special tokens.
+    text without added special tokens. With ``decoded`` also the text that the ids decode to, looked
+    up in the same pass.
 
     A null or empty text has an empty list. Repeated rows and rows without ``doc_id`` keep a row
     each. Other columns are ignored. An empty table gives no rows.
@@ -264,7 +269,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     back = coded.select("block", F.col("got.ids").alias("ids"))
     both = blocks.join(back, "block", "left")
     return both.select("doc_ids", "n_words", "stream", "lists", "ids").mapInArrow(
-        _copy_to_positions, "doc_id long, ids array<int>"
+        lambda it: _copy_to_positions(it, path if decoded else None),
+        "doc_id long, ids array<int>" + (", decoded string" if decoded else ""),
     )
 
 
@@ -284,6 +290,10 @@ def pieces(path: str) -> list[bytes]:
     return table
 
 
+def _joined(ids: np.ndarray, table: list[bytes]) -> str:
+    return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+
+
 def decode(ids: Column, path: str) -> Column:
     """Text of a column of id lists. Bytes that are not UTF-8 become replacement characters, a null
     list is empty."""
@@ -291,12 +301,7 @@ def decode(ids: Column, path: str) -> Column:
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = pieces(path)
-        look_up = table.__getitem__
-
-        def one(row) -> str:
-            return "" if row is None else b"".join(map(look_up, row.tolist())).decode("utf-8", errors="replace")
-
         for batch in batches:
-            yield pd.Series([one(row) for row in batch], dtype=object)
+            yield pd.Series(["" if row is None else _joined(row, table) for row in batch], dtype=object)
 
     return of.asNondeterministic()(ids)

@@ -67,13 +67,12 @@ def op4_webpages(spark, sf):
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode, and reduce both to digests."""
-    path = vocabulary_file()
-    encoded = bpe.encode(docs, path)
+    encoded = bpe.encode(docs, vocabulary_file(), decoded=True)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-        _sha(bpe.decode(F.col("ids"), path)).alias("decoded_sha256"),
+        _sha(F.col("decoded")).alias("decoded_sha256"),
     )
 
 
