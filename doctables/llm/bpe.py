@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from doctables.llm.common import whole_text
 
 # A block ends with the document that takes it over one of these sizes.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 BLOCK_DOCS = 50_000
 # Parts of the distinct-word table, and the words of a part that are held at once.
 BUCKETS = 128
