@@ -170,7 +170,8 @@ def judged(docs: DataFrame, path: str) -> DataFrame:
     own = bands(rows, "lang", "length")
     names = ("least_chars", "most_bytes", "least_entropy")
     any_language = bands(rows, "length").select("length", *[F.col(c).alias(f"any_{c}") for c in names])
-    both = rows.join(own, ["lang", "length"], "left").join(any_language, "length", "left")
+    # There are at most two lengths per doubling of a 64-bit number.
+    both = rows.join(own, ["lang", "length"], "left").join(F.broadcast(any_language), "length", "left")
 
     def limit(name: str) -> Column:
         return F.coalesce(F.col(name), F.col(f"any_{name}"))
