@@ -184,8 +184,11 @@ def scan_text(text: str, templates: list[Template], least: float = LEAST_COVERAG
         for lo, hi in _windows(hits, len(t.words), len(words)):
             pairs = patience(words[lo:hi], t.words)
             partners = {t.words[j] for _, j in pairs}
-            if len(pairs) >= least * len(t.words) and partners.issuperset(t.needed):
-                span = (lo + pairs[0][0], lo + pairs[-1][0] + 1)
+            if len(pairs) < least * len(t.words) or not partners.issuperset(t.needed):
+                continue
+            span = (lo + pairs[0][0], lo + pairs[-1][0] + 1)
+            # Partners far apart are no notice, so they must also fill the stretch that they span.
+            if len(pairs) >= least * (span[1] - span[0]):
                 found.append(Found(t.name, *span, round(len(pairs) / len(t.words), 4), len(pairs)))
     found.sort(key=lambda f: (-f.matched, -f.coverage, f.start, f.end))
     kept: list[Found] = []
