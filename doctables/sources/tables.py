@@ -74,6 +74,8 @@ def read_images(spark: SparkSession, folder: str, keep_invalid: bool = True, pat
     """Decoded page images with ``file_path``; files that do not decode keep a row of height -1.
 
     The path comes from the file listing, so frames that drop ``image`` decode nothing.
+    The listing of a folder is held by the driver: for very many pages read the table that
+    ``jobs.paginate`` leaves in ``<work>/pages`` instead, with ``decode`` where it is used.
     """
     reader = spark.read.format("image").option("dropInvalid", str(not keep_invalid).lower())
     images = reader.option("pathGlobFilter", pattern).load(folder)
