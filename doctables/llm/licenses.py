@@ -3,16 +3,21 @@
 Words that occur once in the text and once in the template are anchors. The longest increasing run
 of anchors is kept, and the gaps between them are aligned in the same way, after equal words at
 their edges are taken off. The share of the template's words that find a partner is the coverage.
+
+A stretch is aligned wherever it has enough of a template's words to reach the least coverage, so no
+single word decides whether a text is looked at.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +27,15 @@ from doctables.llm.common import whole_text
 LEAST_COVERAGE = 0.8
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
-# Name, words that must find a partner (the first one is looked up in the text), and
-# the wording. A name can have several wordings.
+# Name, words that must find a partner, and the wording. A name can have several
+# wordings. The words are those that tell short notices, or versions of one text, from each other; for
+# the other long texts coverage alone decides.
 TEMPLATES = (
     ("MIT", "license mit", "released under the MIT License"),
     ("MIT", "license mit", "licensed under the MIT License"),
     (
         "MIT",
-        "sublicense permission",
+        "",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
@@ -39,7 +45,7 @@ TEMPLATES = (
     ("Apache-2.0", "apache license 2.0", "licensed under the Apache License, Version 2.0"),
     (
         "Apache-2.0",
-        "apache compliance",
+        "",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the "
         "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
         "applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
@@ -50,7 +56,7 @@ TEMPLATES = (
     ("GPL-2.0", "gnu public 2", "this work is licensed under the GNU General Public License, version 2"),
     (
         "GPL-3.0",
-        "gnu redistribute 3",
+        "3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
         "version.",
@@ -62,7 +68,7 @@ TEMPLATES = (
     ("MPL-2.0", "mozilla 2.0", "this source code form is subject to the terms of the Mozilla Public License, v. 2.0"),
     (
         "BSD",
-        "redistributions source",
+        "",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
         "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
@@ -71,7 +77,7 @@ TEMPLATES = (
     ),
     (
         "ISC",
-        "fee purpose",
+        "",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
@@ -150,46 +156,70 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _windows(hits: list[int], size: int, n: int) -> Iterator[tuple[int, int]]:
-    """Overlapping windows in which every occurrence of a template of ``size`` words around a hit fits
-    whole; most hold one occurrence only."""
-    done = -1
-    for hit in hits:
-        start = max(0, hit - size)
-        if start < done:
-            start = done
-        end = min(n, hit + size)
-        while start < end:
-            yield start, min(n, start + size + size // 2 + 2)
-            start += size // 2 + 1
-        done = max(done, start)
-
-
-def scan_text(text: str, templates: list[Template], least: float = LEAST_COVERAGE) -> list[Found]:
+class Index:
+    """The templates' words by number, and how many of each a template has; 0 is any other word."""
+
+    def __init__(self, templates: list[Template], least: float) -> None:
+        self.templates = templates
+        self.number: dict[str, int] = {}
+        for t in templates:
+            for w in [*t.words, *t.needed]:
+                self.number.setdefault(w, len(self.number) + 1)
+        self.counts = np.zeros((len(templates), len(self.number) + 1), dtype=np.int64)
+        for row, t in zip(self.counts, templates):
+            for w in t.words:
+                row[self.number[w]] += 1
+        self.needed = [[self.number[w] for w in t.needed] for t in templates]
+        # The fewest partners of a notice, and the most words of text over which they can lie.
+        self.fewest = np.array([math.ceil(least * len(t.words)) for t in templates], dtype=np.int64)
+        self.reach = [int(len(t.words) / least) + 1 for t in templates]
+
+    def windows(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Template and window, such that every notice lies whole in a window of its template."""
+        there = np.bincount(ids, minlength=self.counts.shape[1])
+        enough = np.minimum(self.counts, there).sum(axis=1) >= np.maximum(self.fewest, 1)
+        for k in np.flatnonzero(enough).tolist():
+            if not there[self.needed[k]].all():
+                continue
+            reach, fewest, n = self.reach[k], self.fewest[k], len(ids)
+            hit = self.counts[k, ids] > 0
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            # A notice begins with a partner and has at least the fewest within reach.
+            dense = upto[np.minimum(np.arange(n) + reach, n)] - upto[:-1] >= fewest
+            step, done = max(1, reach // 10), -1
+            for start in np.flatnonzero(dense & hit).tolist():
+                if start <= done:
+                    continue
+                done = start + step
+                end = min(n, done + reach)
+                inside = np.bincount(ids[start:end], minlength=len(there))
+                if np.minimum(inside, self.counts[k]).sum() >= fewest:
+                    yield k, start, end
+
+
+def _filled(pairs: list[tuple[int, int]], fewest: int, least: float) -> list[tuple[int, int]]:
+    """The longest run of at least ``fewest`` partners that fills the stretch that it spans; partners
+    far from the others are none of its notice."""
+    for size in range(len(pairs), max(fewest, 1) - 1, -1):
+        for i in range(len(pairs) - size + 1):
+            if size >= least * (pairs[i + size - 1][0] + 1 - pairs[i][0]):
+                return pairs[i : i + size]
+    return []
+
+
+def scan_text(text: str, templates: list[Template] | Index, least: float = LEAST_COVERAGE) -> list[Found]:
     """Notices of a text: of overlapping ones with one name the one with the most words stays."""
+    index = templates if isinstance(templates, Index) else Index(templates, least)
     words = words_of(text)
-    there: dict[str, list[int]] = {}
-    looked_up = {t.needed[0] for t in templates}
-    for i, w in enumerate(words):
-        if w in looked_up:
-            there.setdefault(w, []).append(i)
-    if not there:
-        return []
-    vocabulary = set(words)
+    number = index.number
+    ids = np.fromiter((number.get(w, 0) for w in words), dtype=np.int64, count=len(words))
     found: list[Found] = []
-    for t in templates:
-        hits = there.get(t.needed[0])
-        if not hits or not vocabulary.issuperset(t.needed):
-            continue
-        for lo, hi in _windows(hits, len(t.words), len(words)):
-            pairs = patience(words[lo:hi], t.words)
-            partners = {t.words[j] for _, j in pairs}
-            if len(pairs) < least * len(t.words) or not partners.issuperset(t.needed):
-                continue
+    for k, lo, hi in index.windows(ids):
+        t = index.templates[k]
+        pairs = _filled(patience(words[lo:hi], t.words), int(index.fewest[k]), least)
+        if pairs and {t.words[j] for _, j in pairs}.issuperset(t.needed):
             span = (lo + pairs[0][0], lo + pairs[-1][0] + 1)
-            # Partners far apart are no notice, so they must also fill the stretch that they span.
-            if len(pairs) >= least * (span[1] - span[0]):
-                found.append(Found(t.name, *span, round(len(pairs) / len(t.words), 4), len(pairs)))
+            found.append(Found(t.name, *span, round(len(pairs) / len(t.words), 4), len(pairs)))
     found.sort(key=lambda f: (-f.matched, -f.coverage, f.start, f.end))
     kept: list[Found] = []
     for f in found:
@@ -204,7 +234,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, least: float = LEAST_COV
     A null or empty text has none. Repeated rows and rows without ``doc_id`` give their rows like
     others; other columns are ignored; an empty table gives no rows.
     """
-    known = [Template.of(*t) for t in templates]
+    known = Index([Template.of(*t) for t in templates], least)
     names = ("license", "start", "end", "coverage")
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("coverage", pa.float64())]))
 

@@ -286,3 +286,22 @@ def test_license_notices(spark):
     lines = {"Apache-2.0": "under the Apache License, Version 2.0", "MIT": "Released under the MIT License", "GPL-3.0": "GNU General Public License, version 3", "CC-BY-NC-4.0": "under CC BY-NC 4.0"}
     want = sorted((r.doc_id, name) for r in docs.collect() for name, line in lines.items() for _ in range(r.text.count(line)))
     assert sorted((r.doc_id, r.license) for r in licenses.scan(docs).collect()) == want
+
+
+def test_license_texts_without_any_one_word():
+    """Each word of a long text replaced in turn, a sign on every line, and signs over the bound of size."""
+    known = [licenses.Template.of(*t) for t in licenses.TEMPLATES]
+    for t, (name, _, text) in zip(known, licenses.TEMPLATES):
+        words = text.split()
+        if len(words) < 30:
+            continue
+        for i, w in enumerate(t.words):
+            if w in t.needed:
+                continue
+            edited = [*words[:i], "other", *words[i + 1 :]]
+            assert [f.name for f in licenses.scan_text("foo " * 70 + " ".join(edited) + " bar" * 70, known)] == [name], (name, w)
+        for lead in range(0, 2 * len(words), 7):
+            signs = " ".join(w + " #" * (i % 5 == 4) for i, w in enumerate(words))
+            found = licenses.scan_text("foo " * lead + signs + " bar" * 70, known)
+            assert [(f.name, f.start, f.coverage) for f in found] == [(name, lead, 1.0)], (name, lead)
+    assert [f.name for f in licenses.scan_text(licenses.TEMPLATES[2][2].replace("sublicense", "sub-\nlicense"), known)] == ["MIT"]
