@@ -4,6 +4,7 @@ A public vocabulary with byte fallback encodes each word once per task. Characte
 share of tokens that are single bytes, and the entropy of the tokens (against that of as many
 different tokens) describe a text. A band is set by the quartiles of all documents of one language
 and about one length that pass the word rules, so it follows the data and needs no list of languages.
+Where these are few, documents of the nearest lengths in all languages set it, so every text is judged.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ REACH = {"chars_per_token": 6.0, "entropy": 3.5, "byte_share": 6.0}
 LEAST_REACH = {"chars_per_token": 0.25, "entropy": 0.06, "byte_share": 0.0}
 # No text is rejected for a byte share up to this one, whatever the language's quartiles.
 FREE_BYTE_SHARE = 0.02
-# A group with fewer documents than this is judged by the bands of its length in all languages, and
-# a length with fewer by none.
+# A group with fewer documents than this is judged by the bands of its length in all languages, for
+# which a length with fewer takes in the nearest ones until there are as many, or all.
 MIN_DOCUMENTS = 50
 _CACHE = 300_000
 
@@ -149,27 +150,67 @@ def _limits() -> list[Column]:
     ]
 
 
-def bands(rows: DataFrame, *keys: str) -> DataFrame:
+def bands(rows: DataFrame, *keys: str, least: int = MIN_DOCUMENTS) -> DataFrame:
     """Limits per group of measured documents that pass the word rules."""
     quartiles = [
         F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"{name}_q")
         for name in ("chars_per_token", "byte_share", "entropy")
     ]
     good = rows.filter("NOT base_failed").groupBy(*keys).agg(*quartiles, F.count(F.lit(1)).alias("n"))
-    return good.filter(F.col("n") >= MIN_DOCUMENTS).select(*keys, *_limits())
+    return good.filter(F.col("n") >= least).select(*keys, *_limits())
+
+
+def neighbours(counts: dict[int, int], least: int = MIN_DOCUMENTS) -> list[tuple[int, int]]:
+    """(length, length to take in) for every length: itself, and those at the next distance until
+    there are ``least`` documents or all are in."""
+    out = []
+    for length in counts:
+        for distance in sorted({abs(other - length) for other in counts}):
+            near = [other for other in counts if abs(other - length) <= distance]
+            if sum(counts[other] for other in near) >= least:
+                break
+        out += [(length, other) for other in near]
+    return out
+
+
+def slope(medians: list[tuple[int, float, int]]) -> float:
+    """Change of the median per length class, by least squares over (length, median, documents)."""
+    x, y, n = np.array(medians, dtype=float).reshape(-1, 3).T
+    if len(x) < 2:
+        return 0.0
+    dx = x - np.average(x, weights=n)
+    return float((n * dx * y).sum() / (n * dx * dx).sum())
+
+
+def bands_by_length(rows: DataFrame) -> DataFrame:
+    """Limits for every length that has a document, in all languages together.
+
+    The entropy of documents taken in from another length is moved along its trend over all lengths;
+    towards longer texts it does not fall by more than if they had no more bits a token. What comes to
+    the driver is one row per length: at most two per doubling of a 64-bit number.
+    """
+    median = F.percentile_approx("entropy", F.lit(0.5), F.lit(1000))
+    of_length = rows.filter("NOT base_failed").groupBy("length").agg(median.alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    trend = slope([(r["length"], r["m"], r["n"]) for r in of_length])
+    pairs = [(other, to, trend * (to - other), other / to if to > other else 0.0) for to, other in neighbours({r["length"]: r["n"] for r in of_length})]
+    near = rows.sparkSession.createDataFrame(pairs, "length long, to long, shift double, least double")
+    entropy = F.greatest(F.col("entropy") + F.col("shift"), F.col("entropy") * F.col("least"))
+    moved = rows.join(F.broadcast(near), "length").withColumns({"length": F.col("to"), "entropy": entropy})
+    return bands(moved, "length", least=1)
 
 
 def judged(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: ``doc_id``, the measures, ``base_failed``, and ``kept``.
 
-    ``kept`` is false where the word rules fail or a measure is outside its band. A null text is
+    ``kept`` is false where the word rules fail or a measure is outside its band; every text that
+    passes the rules has a band. A null text is
     empty and fails; a null ``lang`` is a language of its own. Repeated rows give repeated results.
     Other columns are ignored. An empty table gives no rows.
     """
     rows = stored(measured(docs, path), "measures")
     own = bands(rows, "lang", "length")
     names = ("least_chars", "most_bytes", "least_entropy")
-    any_language = bands(rows, "length").select("length", *[F.col(c).alias(f"any_{c}") for c in names])
+    any_language = bands_by_length(rows).select("length", *[F.col(c).alias(f"any_{c}") for c in names])
     # There are at most two lengths per doubling of a 64-bit number.
     both = rows.join(own, ["lang", "length"], "left").join(F.broadcast(any_language), "length", "left")
 
@@ -181,5 +222,5 @@ def judged(docs: DataFrame, path: str) -> DataFrame:
         & (F.col("byte_share") <= limit("most_bytes"))
         & (F.col("entropy") >= limit("least_entropy"))
     )
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return both.withColumn("kept", kept).select(*rows.columns, "kept").drop("lang", "length")

@@ -126,6 +126,30 @@ def test_bands_reject_low_entropy_only(spark):
     assert {r.doc_id for r in got if not r.kept} == {i for i in range(400) if i % 40 == 0}
 
 
+def test_every_length_is_judged(spark):
+    """Few long documents of one length are judged by shorter ones, along the trend of their entropy."""
+    import random
+
+    rng = random.Random(7)
+    stems = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 7))) for _ in range(3_000)]
+    weights = [1 / (i + 1) for i in range(len(stems))]
+
+    def text(words):
+        return " ".join(rng.choices(stems, weights, k=words))
+
+    def junk(words):
+        return " ".join(rng.choices(stems[:14], k=words))
+
+    sizes = [n for n in (60, 90, 130, 190, 270, 380) for _ in range(70)]
+    rows = [(i, text(n), None) for i, n in enumerate(sizes)]
+    rows += [(1_000 + i, text(1_000 * 2**i), None) for i in range(5)] + [(2_000 + i, junk(1_000 * 2**i), None) for i in range(5)]
+    run = lambda r: fertility.judged(spark.createDataFrame(r, "doc_id long, text string, lang string"), vocabulary_file("piece_bpe_32k.model"))
+    assert {r.doc_id for r in run(rows).collect() if not r.kept and not r.base_failed} == {2_000 + i for i in range(5)}
+    few = [(i, text(100), None) for i in range(20)] + [(99, junk(100), None)]
+    assert [r.doc_id for r in run(few).collect() if not r.kept and not r.base_failed] == [99]
+    assert fertility.neighbours({4: 30, 5: 30, 9: 1}, 50) == [(4, 4), (4, 5), (5, 4), (5, 5), (9, 4), (9, 5), (9, 9)]
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", ""), (None, None, "<p>x"), (2, "u", "<article><p>A text.</p></article>")], "page_id long, url string, html string")
     got = [r.text for r in webpages.with_main_text(pages).collect()]
