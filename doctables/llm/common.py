@@ -24,6 +24,38 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+PIECE, SHARED = 64, 8  # bytes
+
+
+def in_pieces(words: list[str]) -> list[str]:
+    """Words of over ``PIECE`` bytes, as in texts without spaces, as pieces of at most that size that
+    share ``SHARED`` bytes or a few more; cut between characters. Others stay as they are."""
+    if max(map(len, words), default=0) <= PIECE // 4:
+        return words
+    out: list[str] = []
+    for w in words:
+        if len(w) <= PIECE // 4 or len(data := w.encode()) <= PIECE:
+            out.append(w)
+            continue
+        start = 0
+        while True:
+            end = _character(data, start + PIECE)
+            out.append(data[start:end].decode())
+            if end == len(data):
+                break
+            start = _character(data, end - SHARED)
+    return out
+
+
+def _character(data: bytes, at: int) -> int:
+    """Start of the character that a position of UTF-8 is in; the end beyond it."""
+    if at >= len(data):
+        return len(data)
+    while data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm.common import whole_text
+from doctables.llm.common import in_pieces, whole_text
 
 SAMPLE = 4_000
 DIMENSIONS = 2_048
@@ -57,7 +57,7 @@ def shape(word: str) -> str:
             return "0"
         return "a" if s.islower() else "A" if s.isupper() else "Aa" if s.istitle() else "aA"
 
-    return re.sub(r"(.)\1+", r"\1", _CASES.sub(run, word[:64], count=8) + ("~" if len(word) > 20 else ""))
+    return re.sub(r"(.)\1+", r"\1", _CASES.sub(run, word) + ("~" if len(word) > 20 else ""))
 
 
 class Features:
@@ -78,8 +78,8 @@ class Features:
         return found
 
     def of(self, text: str) -> np.ndarray:
-        """Square roots of the term shares; zero without words."""
-        words = text.split()
+        """Square roots of the term shares; zero without words. Long words count by their pieces."""
+        words = in_pieces(text.split())
         if not words:
             return np.zeros(DIMENSIONS, dtype=np.float32)
         counts = Counter(words)

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is an embedding of its hash beside the mean embedding of the hashes of its character
-n-grams, so inflected and new forms of a stem are recognised. The network reads windows of
+n-grams, so inflected and new forms of a stem are recognised. Long words, as in scripts without
+spaces, are overlapping pieces that are words of their own. The network reads windows of
 ``WINDOW`` words that overlap; a document's score is that of its worst window.
 
 Training sees at most ``SAMPLE`` labelled documents of at most ``SAMPLE_CHARS`` characters, half of
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm.common import whole_text
+from doctables.llm.common import in_pieces, whole_text
 from doctables.llm.quality import sampled
 
 SAMPLE = 3_000
@@ -48,8 +49,8 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words; signs at their edges are dropped, signs alone stay."""
-    return [_EDGES.sub("", w) or w for w in text.lower().split()]
+    """Lower-case words; signs at their edges are dropped, signs alone stay. Long ones come in pieces."""
+    return in_pieces([_EDGES.sub("", w) or w for w in text.lower().split()])
 
 
 def windows_of(n: int) -> list[int]:
@@ -62,7 +63,7 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A word stands between two signs of its own, so its first and last letters count as such.
     """
-    data = [b"\x02" + w.encode()[:64] + b"\x03" for w in words]
+    data = [b"\x02" + w.encode() + b"\x03" for w in words]
     sizes = np.array([len(d) for d in data], dtype=np.int64)
     flat = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint64)
     room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # bytes up to the word's end

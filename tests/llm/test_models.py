@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doctables.llm import quality, toxicity, webpages
+from doctables.llm.common import in_pieces
 from doctables.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -55,6 +56,22 @@ def test_toxic_words_are_learned_and_their_forms_recognised():
     assert ((scores >= toxicity.THRESHOLD) == labels).mean() > 0.9
 
 
+def test_all_of_a_long_word_counts():
+    net = toxicity.Network.fresh()
+    net.w["words"][:] = 0  # leaves the n-grams
+    text = "\u4e2d\u6587\u5b57" * 100
+    one, two = toxicity.Scorer(net).of([text + "\u9fa0\u9fa1", text + "\u9fa2\u9fa3"])
+    assert abs(one - two) > 1e-6
+    for word in ("".join(map(str, range(n))) if n < 99 else "".join(map(chr, range(n, n + 500))) for n in (30, 90, 0x4E00, 0x1F600)):
+        pieces = in_pieces([word])
+        starts = [word.index(piece) for piece in pieces]
+        assert starts[0] == 0 and word.endswith(pieces[-1]) and all(len(piece.encode()) <= 64 for piece in pieces)
+        ends = [s + len(piece) for s, piece in zip(starts, pieces)]
+        assert all(len(word[s:e].encode()) >= 8 for s, e in zip(starts[1:], ends))
+    features = quality.Features()
+    assert (features.of("ab/" * 40) != features.of("ab/" * 40 + "12?" * 40)).any() and quality.shape("a1" * 20) == "a0" * 20 + "~"
+
+
 def test_quality_held_out(spark):
     rows = QUERIES["op7_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     held = rows.filter("held_out").select("quality", "predicted").collect()
