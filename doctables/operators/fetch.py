@@ -55,15 +55,21 @@ def fetch_documents(
 def fetch_with_fallback(
     candidates: DataFrame, fetch: Callable[[str], bytes], tasks: int, tasks_per_host: int = 4
 ) -> DataFrame:
-    """Fetch each publication's ``links`` in their order until one succeeds or none is left.
+    """Fetch each publication's links in their order until one succeeds or none is left.
 
+    ``candidates`` has a row per link (``candidate_links``) or lists (``download_candidates``).
     One row per attempt with ``attempt`` from 1; the last one of a publication is ``ok`` unless all
-    its links failed. A publication is one row of one task, so no round of jobs limits how many links
-    are tried. Publications are spread like links in ``fetch_documents``, by the host of the first.
+    its links failed. A publication's rows are sorted in one task and stream through it, so their
+    number is not limited. Publications are spread like links in ``fetch_documents``, by the host of
+    the first link.
     """
-    first = F.col("links")[0]["link_url"]
+    if "links" in candidates.columns:
+        listed = candidates.select("publication_id", "file_path", F.posexplode("links"), F.col("links")[0]["link_url"].alias("first_url"))
+        candidates = listed.select("publication_id", "file_path", "col.*", (-F.col("pos")).alias("position"), "first_url")
     slice_of_host = F.pmod(F.xxhash64("publication_id"), F.lit(tasks_per_host))
-    spread = candidates.select("publication_id", "file_path", "links").repartition(tasks, urls.authority(first), slice_of_host)
+    spread = candidates.repartition(tasks, urls.authority(F.col("first_url")), slice_of_host)
+    ordered = spread.sortWithinPartitions("publication_id", F.desc("position"), F.desc("link_url"))
+    rows_of = ordered.select("publication_id", "file_path", "link_pos", "link_url")
     keys = [candidates.schema["publication_id"], candidates.schema["file_path"]]
     own = [
         T.StructField("attempt", T.IntegerType()),
@@ -72,21 +78,26 @@ def fetch_with_fallback(
     ]
     schema = T.StructType(keys + own + _FETCHED)
 
-    def attempts(row: tuple) -> Iterator[tuple]:
-        publication, path, links = row
-        for n, link in enumerate(links, 1):
-            head = (publication, path, n, link["link_pos"], link["link_url"])
+    def attempts(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, n, done = object(), 0, False
+        for publication, path, link_pos, url in rows:
+            if publication != last and (publication == publication or last == last):  # nulls can come as NaN
+                last, n, done = publication, 0, False
+            if done:
+                continue
+            n += 1
+            head = (publication, path, n, link_pos, url)
             try:
-                data = fetch(link["link_url"])
+                data = fetch(url)
             except Exception as e:  # noqa: BLE001 - recorded, the next link is tried
                 yield *head, None, None, "error", f"{type(e).__name__}: {e}"
             else:
                 yield *head, data, len(data), "ok", None
-                return
+                done = True
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (out for frame in frames for row in frame.itertuples(index=False, name=None) for out in attempts(row))
+        rows = attempts(row for frame in frames for row in frame.itertuples(index=False, name=None))
         for out in batched(rows, schema.names, lambda row: row[6] or 0):
             yield out.astype({"n_bytes": "Int64", "content": object, "reason": object})
 
-    return spread.mapInPandas(run, schema)
+    return rows_of.mapInPandas(run, schema)

@@ -111,6 +111,18 @@ def download_candidates(links: DataFrame) -> DataFrame:
     )
 
 
+def candidate_links(links: DataFrame) -> DataFrame:
+    """The rows of ``download_candidates`` one by one, for publications with any number of links.
+
+    ``position`` is largest for the link to try first, and ``first_url`` is that link.
+    """
+    usable = links.filter(urls.fetchable(F.col("link_url"))).withColumn("position", _order(links))
+    first = usable.groupBy(F.col("publication_id").alias("_id")).agg(F.max_by("link_url", F.struct("position", "link_url")).alias("first_url"))
+    return usable.join(first, F.col("publication_id").eqNullSafe(F.col("_id"))).select(
+        "publication_id", _pdf_name().alias("file_path"), F.col("position.link_pos").alias("link_pos"), "link_url", "position", "first_url"
+    )
+
+
 def overwritten_links(links: DataFrame) -> DataFrame:
     """Links that lose their file to a later one, told by their position.
 

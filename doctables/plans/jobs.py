@@ -55,7 +55,7 @@ def acquire(
     first.
     """
     links = _stored(L.catalog_links(catalog, landed_pages), f"{work}/links", resume)
-    candidates = L.download_candidates(links)
+    candidates = L.candidate_links(links)
     fetched = _stored(FE.fetch_with_fallback(candidates, fetch, tasks, tasks_per_host), f"{work}/fetched", resume)
     # Evaluating the manifest is what writes the files.
     got = fetched.filter("status = 'ok'")

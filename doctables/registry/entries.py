@@ -205,7 +205,7 @@ def fetch_fallback(spark, sf):
     marked = links.join(count, "publication_id").withColumn(
         "link_url", F.concat("link_url", F.when(F.col("link_pos") >= F.col("alive"), "?dead").otherwise(""))
     )
-    log = FE.fetch_with_fallback(L.download_candidates(marked), _fetch_unless_dead, tasks=spark.sparkContext.defaultParallelism)
+    log = FE.fetch_with_fallback(L.candidate_links(marked), _fetch_unless_dead, tasks=spark.sparkContext.defaultParallelism)
     return log.select("publication_id", "attempt", "link_pos", "link_url", "file_path", "n_bytes", "status", "reason")
 
 

@@ -133,6 +133,21 @@ def test_one_host_is_spread_over_a_few_tasks(spark):
     assert sum(sizes) == 400 and 2 <= len(sizes) <= 4
 
 
+def test_fallback_gathers_no_links(spark):
+    def fetch(url):
+        raise OSError("404")
+
+    links = spark.range(30_000).select((F.col("id") % 3 % 2).alias("publication_id"), F.col("id").cast("int").alias("link_pos"), F.concat(F.lit("http://h/"), F.col("id")).alias("link_url"))
+    log = FE.fetch_with_fallback(L.candidate_links(links), fetch, tasks=2)
+    assert "collect_list" not in log._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in log.select("publication_id", "attempt", "link_pos").collect():
+        got.setdefault(r.publication_id, []).append((r.attempt, r.link_pos))
+    for publication, tried in got.items():
+        want = sorted((n for n in range(30_000) if n % 3 % 2 == publication), reverse=True)
+        assert sorted(tried) == list(enumerate(want, 1))
+
+
 def test_all_links_are_tried_from_the_last_on(spark):
     def fetch(url):
         if url.endswith("dead"):
