@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, decontaminate, fertility, licenses, pii, quality, repeats, simhash, toxicity, webpages
+from doctables.llm import bpe, chat, decontaminate, fertility, licenses, pii, quality, repeats, simhash, toxicity, webpages
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,15 @@ def op10_repeats(spark, sf):
     return repeats.per_document(docs, texts).select(
         "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"
     )
+
+
+# A conversation whose texts hold control strings.
+_ODD_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op11_chat(spark, sf):
+    names = ["conv_id", "turn", "role", "text"]
+    odd = spark.createDataFrame(_ODD_TURNS, "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf, "conversations").select(*names).unionByName(odd)
+    return chat.read_back(chat.formatted(rows))
