@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, chat, decontaminate, fertility, licenses, pii, quality, repeats, simhash, toxicity, webpages
+from doctables.llm import bpe, chat, decontaminate, fertility, licenses, pii, quality, repeats, runs, simhash, toxicity, webpages
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +142,31 @@ def op11_chat(spark, sf):
     odd = spark.createDataFrame(_ODD_TURNS, "conv_id long, turn long, role string, text string")
     rows = table(spark, sf, "conversations").select(*names).unionByName(odd)
     return chat.read_back(chat.formatted(rows))
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents, periodic from one on; which and how, the id's crc32 says."""
+    n, h = len(words), zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    g = h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op12_runs(spark, sf):
+    found = runs.find(table(spark, sf, "documents"), planted_period)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[f].cast("string") for f in ("start", "length", "period")]), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        _sha(F.array_join(line, "")).alias("runs_sha256"),
+        _sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
