@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import bpe, chat, decontaminate, fertility, licenses, pii, quality, repeats, runs, simhash, toxicity, webpages
+from doctables.llm import bpe, chat, decontaminate, fertility, licenses, pii, quality, repeats, runs, simhash, toxicity, webpages, whitening
 from doctables.llm.common import crc_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,9 @@ def op12_runs(spark, sf):
         _sha(F.array_join(line, "")).alias("runs_sha256"),
         _sha(F.col("collapsed")).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_whitening(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened(vectors, whitening.fit(vectors))
