@@ -35,8 +35,11 @@ def best_class(logits: Column) -> Column:
 
 
 def label_of(class_id: Column, labels: dict[int, str]) -> Column:
-    """Name of a class id; an id outside the map is an error, not a silent null."""
+    """Name of a class id; null for an id outside the map, which callers tell as an error."""
     entries = [F.lit(x) for pair in sorted(labels.items()) for x in pair]
-    name = F.try_element_at(F.create_map(*entries), class_id)
-    missing = F.raise_error(F.concat(F.lit("no label for class id "), class_id.cast("string")))
-    return F.coalesce(name, missing.cast("string"))
+    return F.try_element_at(F.create_map(*entries), class_id)
+
+
+def no_label(class_id: Column) -> Column:
+    """The reason of an error row."""
+    return F.concat(F.lit("no label for class id "), class_id.cast("string"))

@@ -21,6 +21,8 @@ from doctables.functions import boxes as B
 from doctables.functions import pixels, scores
 from doctables.functions.rows import explode_list
 
+NOTHING = np.zeros(0)
+
 
 def zip_outputs(raw: DataFrame) -> DataFrame:
     """One row per query, keeping its position; scores and boxes are paired by position."""
@@ -29,6 +31,18 @@ def zip_outputs(raw: DataFrame) -> DataFrame:
     return zipped.select(*keys, "query_idx", F.col("q.logits").alias("logits"), F.col("q.boxes").alias("box"))
 
 
+_OUTCOME = ("status", "reason")
+
+
+def _reason(raw: DataFrame) -> Column:
+    """Why an image was not examined, where the frame knows it."""
+    return F.col("reason") if "reason" in raw.columns else F.lit(None).cast("string")
+
+
+def _status(reason: Column) -> Column:
+    return F.when(reason.isNull(), "ok").otherwise("error")
+
+
 def _fields(logits: Column, box: Column, w: Column, h: Column, labels: dict[int, str]) -> tuple[Column, Column, list[Column]]:
     label = scores.label_of(scores.best_class(logits), labels)
     return label, scores.best_score(logits, len(labels)), B.pixel_corners(box, w, h)
@@ -46,7 +60,11 @@ def best_classes(raw: DataFrame, n_classes: int) -> DataFrame:
 
 
 def with_labels(classes: DataFrame, labels: dict[int, str]) -> DataFrame:
-    return classes.withColumn("label", scores.label_of(F.col("class_id"), labels))
+    """Add ``label``, ``status`` and ``reason``; a class id outside the map is an error row without a
+    label, and the others go on."""
+    label = scores.label_of(F.col("class_id"), labels)
+    reason = F.when(label.isNull(), scores.no_label(F.col("class_id")))
+    return classes.withColumns({"label": label, "reason": reason, "status": _status(reason)})
 
 
 def corner_boxes(raw: DataFrame) -> DataFrame:
@@ -64,17 +82,20 @@ def _with_corners(df: DataFrame, values: list[Column]) -> DataFrame:
 
 
 def drop_no_object(labelled: DataFrame) -> DataFrame:
-    return labelled.filter(F.col("label") != schemas.NO_OBJECT)
+    """Rows without a label stay: they are errors, not nothing."""
+    return labelled.filter(~F.col("label").eqNullSafe(F.lit(schemas.NO_OBJECT)))
 
 
 def detect_objects(raw: DataFrame, labels: dict[int, str] = schemas.DETECTION_LABELS) -> DataFrame:
-    """One row per kept detection. Exploding first keeps the arithmetic in compiled code."""
-    keys = [c for c in raw.columns if c not in ("logits", "boxes")]
+    """One row per kept detection, and one for each query of a class without a label (``status`` is
+    then 'error'). Exploding first keeps the arithmetic in compiled code."""
+    keys = [c for c in raw.columns if c not in ("logits", "boxes", *_OUTCOME)]
     label, score, corners = _fields(
         F.col("logits"), F.col("box"), F.col("img_w"), F.col("img_h"), labels
     )
-    rows = zip_outputs(raw).select(*keys, "query_idx", label.alias("label"), score.alias("score"), "box")
-    kept = drop_no_object(rows)
+    unknown = F.when(label.isNull(), scores.no_label(scores.best_class(F.col("logits"))))
+    rows = zip_outputs(raw).select(*keys, "query_idx", label.alias("label"), score.alias("score"), "box", unknown.alias("reason"))
+    kept = drop_no_object(rows).withColumn("status", _status(F.col("reason")))
     return _with_corners(kept, corners).drop("box")
 
 
@@ -87,13 +108,14 @@ def page_results(
     labels: dict[int, str] = schemas.DETECTION_LABELS,
     min_score: float | None = None,
 ) -> DataFrame:
-    """One row per image with its list of detections in query order; empty lists are kept, and
-    images that were not examined (null ``logits``) have a null list.
+    """One row per image with its list of detections in query order, ``status`` and ``reason``; empty
+    lists are kept. Images that were not examined (null ``logits``) or with a query whose class has no
+    label have a null list and the status 'error'.
 
     Stays within the row: grouping exploded queries back per image would shuffle every
     detection for nothing.
     """
-    keys = [c for c in raw.columns if c not in ("logits", "boxes")]
+    keys = [c for c in raw.columns if c not in ("logits", "boxes", *_OUTCOME)]
 
     def one(q: Column) -> Column:
         label, score, corners = _fields(q["logits"], q["boxes"], F.col("img_w"), F.col("img_h"), labels)
@@ -107,7 +129,17 @@ def page_results(
 
     # Most queries of a page are empty, so they go before labels and boxes are worked out.
     found = F.transform(F.filter(F.arrays_zip("logits", "boxes"), keep), one)
-    return raw.select(*keys, found.alias("detections"))
+    # A class without a label is told by its detection, so only what was found is looked through.
+    lost = F.filter("_found", lambda d: d["label"].isNull())
+    ids = F.filter(F.transform("logits", scores.best_class), lambda c: ~c.isin(list(labels)))
+    reasons = F.coalesce(
+        F.col("_reason"),
+        F.when(F.col("logits").isNull(), "not examined"),
+        F.when(F.size(lost) > 0, scores.no_label(F.get(ids, F.lit(0)))),
+    )
+    rows = raw.select(*keys, "logits", found.alias("_found"), _reason(raw).alias("_reason"))
+    told = rows.select(*keys, "_found", reasons.alias("reason"))
+    return told.select(*keys, F.when(F.col("reason").isNull(), F.col("_found")).alias("detections"), _status(F.col("reason")).alias("status"), "reason")
 
 
 def flatten_detections(results: DataFrame) -> DataFrame:
@@ -147,41 +179,62 @@ def run_model(
     step, so an image crosses to Python once and its tensor never goes back to the JVM.
 
     The column holds Spark's image struct or, with ``decode(bytes) -> RGB array``, the encoded file:
-    a twentieth of the bytes to move. Images that do not decode keep their row, with height -1 and
-    null ``logits`` and ``boxes``. Model batches do not cross Arrow batches, which are bounded by
+    a twentieth of the bytes to move. Model batches do not cross Arrow batches, which are bounded by
     bytes (see ``session.SETTINGS``).
+
+    Every image gives one row, with ``status`` and ``reason``. One that does not decode has height -1,
+    null ``logits`` and ``boxes``, and the status 'error'. Where the model fails on a batch, its halves
+    are tried, down to the image at fault, which becomes such a row with its own height; the others go
+    on. A model whose output does not have ``n_classes`` classes ends the run: no image is at fault.
+    An image may have no query.
     """
     steps = profile if decode is None else replace(profile, bgr=False)
 
-    def pixels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray | None:
-        if decode is None:
-            return pixels.as_array(data, height, width, channels) if height > 0 else None
-        try:
+    def pixels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+        if decode is not None:
             return decode(data)
-        except Exception:  # noqa: BLE001 - an unreadable image is a row without detections
-            return None
+        if height <= 0:
+            raise ValueError("no image")
+        return pixels.as_array(data, height, width, channels)
 
     def make_predict():
         model = make_model()
 
+        def outputs_of(tensors: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray] | str]:
+            """Logits and boxes of every tensor, or why there are none."""
+            try:
+                logits, boxes = (np.asarray(v, np.float64) for v in model(tensors))
+            except Exception as e:  # noqa: BLE001 - told apart by halves, recorded per image
+                if len(tensors) == 1:
+                    return [f"{type(e).__name__}: {e}"]
+                half = len(tensors) // 2
+                return outputs_of(tensors[:half]) + outputs_of(tensors[half:])
+            n_queries = logits.shape[1] if logits.ndim > 1 else 0
+            for values, last in ((logits, n_classes), (boxes, 4)):
+                if values.shape != (len(tensors), n_queries, last):
+                    raise ValueError(f"model output of shape {values.shape}, not {(len(tensors), n_queries, last)}")
+            return [(a.ravel(), b.ravel()) for a, b in zip(logits, boxes)]
+
         def predict(data, height, width, channels):
-            read = [
-                pixels_of(d, int(h), int(w), int(c)) for d, h, w, c in zip(data, height, width, channels)
-            ]
-            good = [i for i, img in enumerate(read) if img is not None]
-            out = {
-                "logits": np.zeros((len(read), 0)),
-                "boxes": np.zeros((len(read), 0)),
-                "height": np.array([-1 if img is None else img.shape[0] for img in read], np.int32),
-                "width": np.array([-1 if img is None else img.shape[1] for img in read], np.int32),
-            }
-            if good:
-                tensors = [pixels.prepare(read[i], steps) for i in good]
-                for name, values in zip(("logits", "boxes"), model(tensors)):
-                    flat = np.asarray(values, np.float64).reshape(len(good), -1)
-                    out[name] = np.zeros((len(read), flat.shape[1]))
-                    out[name][good] = flat
-            return out
+            rows: list[dict] = []
+            tensors: list[np.ndarray] = []
+            for d, h, w, c in zip(data, height, width, channels):
+                row = {"logits": NOTHING, "boxes": NOTHING, "height": np.int32(-1), "width": np.int32(-1), "reason": ""}
+                rows.append(row)
+                try:
+                    img = pixels_of(d, int(h), int(w), int(c))
+                    tensors.append(pixels.prepare(img, steps))
+                except Exception as e:  # noqa: BLE001 - an unreadable image is a row without detections
+                    row["reason"] = f"{type(e).__name__}: {e}"
+                else:
+                    row["height"], row["width"] = np.int32(img.shape[0]), np.int32(img.shape[1])
+            good = [row for row in rows if not row["reason"]]
+            for row, out in zip(good, outputs_of(tensors) if tensors else []):
+                if isinstance(out, str):
+                    row["reason"] = out
+                else:
+                    row["logits"], row["boxes"] = out
+            return rows
 
         return predict
 
@@ -191,6 +244,7 @@ def run_model(
             T.StructField("boxes", T.ArrayType(T.DoubleType())),
             T.StructField("height", T.IntegerType()),
             T.StructField("width", T.IntegerType()),
+            T.StructField("reason", T.StringType()),
         ]
     )
     # Marked so that the optimizer never copies the call into a filter and infers twice.
@@ -201,16 +255,19 @@ def run_model(
         none = F.lit(0)
         image = F.struct(F.col(col).alias("data"), none.alias("height"), none.alias("width"), none.alias("nChannels"))
     called = images.withColumn("_out", infer(image))
-    decoded = F.col("_out.height") > 0
+    examined = F.col("_out.reason") == ""
 
     def rows_of(flat: Column, width: int) -> Column:
         n = (F.size(flat) / width).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(flat, i * width + 1, F.lit(width)))
+        rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(flat, i * width + 1, F.lit(width)))
+        return F.when(n > 0, rows).otherwise(F.array().cast("array<array<double>>"))
 
     return called.select(
-        *[c for c in images.columns if keep_image or c != col],
-        F.when(decoded, rows_of(F.col("_out.logits"), n_classes)).alias("logits"),
-        F.when(decoded, rows_of(F.col("_out.boxes"), 4)).alias("boxes"),
+        *[c for c in images.columns if (keep_image or c != col) and c not in _OUTCOME],
+        F.when(examined, rows_of(F.col("_out.logits"), n_classes)).alias("logits"),
+        F.when(examined, rows_of(F.col("_out.boxes"), 4)).alias("boxes"),
         F.col("_out.width").alias("img_w"),
         F.col("_out.height").alias("img_h"),
+        F.when(examined, "ok").otherwise("error").alias("status"),
+        F.when(~examined, F.col("_out.reason")).alias("reason"),
     )

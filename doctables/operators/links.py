@@ -16,6 +16,8 @@ from doctables.operators.lookup import lookup_join
 
 # Fixed value: class of the anchors that lead to a publication's files.
 DOCUMENT_CLASS = "usa-link Document"
+# Bits of the set of wanted URLs, 64 to a row: at most 2^18 rows, however long the catalog is.
+WANTED_BITS = 1 << 24
 
 
 def page_hrefs(pages: DataFrame, class_name: str | None = None, html: str = "html") -> DataFrame:
@@ -56,16 +58,36 @@ def page_lists(pages: DataFrame, class_name: str | None = DOCUMENT_CLASS) -> Dat
     return lists.groupBy("url").agg(best.alias("_best")).select("url", F.col("_best.hrefs").alias("hrefs"))
 
 
+def wanted_pages(catalog: DataFrame, pages: DataFrame) -> DataFrame:
+    """Landed pages that the catalog may name, before their bodies are read any further.
+
+    A semi-join with a bitmap of the catalog's hashed URLs. Its size is bounded, so it is broadcast
+    and page bodies do not move; the catalog may be of any length. A page that only shares its bit
+    with a wanted one passes, which the join by URL corrects. Rows without a URL name no page.
+    """
+
+    def place(url: Column) -> Column:
+        return F.xxhash64(url).bitwiseAND(F.lit(WANTED_BITS - 1).cast("long"))
+
+    named = catalog.filter(F.col("url").isNotNull()).select(place(F.col("url")).alias("_place"))
+    word, bit = F.shiftright("_place", 6), F.col("_place").bitwiseAND(F.lit(63).cast("long")).cast("int")
+    bits = named.groupBy(word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 as int))")).alias("_bits"))
+    placed = pages.filter(F.col("url").isNotNull()).withColumn("_place", place(F.col("url")))
+    there = (word == F.col("_word")) & (F.getbit("_bits", bit) == 1)
+    return placed.join(F.broadcast(bits), there, "left_semi").drop("_place")
+
+
 def catalog_links(
     catalog: DataFrame, pages: DataFrame, class_name: str | None = DOCUMENT_CLASS, skew: bool = False
 ) -> DataFrame:
     """(publication, link) rows for every catalog row whose page was fetched.
 
-    All columns of the catalog stay; a seed list without ``publication_id`` will do. ``skew`` is for
+    Only pages that the catalog names are parsed. All columns of the catalog stay; a seed list without ``publication_id`` will do. ``skew`` is for
     catalogs that name one page very often.
     """
     keys = catalog.columns
-    pairs = lookup_join(catalog, page_lists(pages, class_name), "url", "inner", skew=skew)
+    lists = page_lists(wanted_pages(catalog, pages), class_name)
+    pairs = lookup_join(catalog, lists, "url", "inner", skew=skew)
     return resolve_links(explode_list(pairs, F.col("hrefs"), "link_pos", "href", keys))
 
 

@@ -163,6 +163,35 @@ def cut_rectangles(pages: DataFrame, rectangles: str, col: str = "image") -> Dat
     return pages.withColumn(col, cut(col, rectangles))
 
 
+_SIDES = ("left", "top", "right", "bottom")
+
+
+class _Crops:
+    """Table function: the crops of an image one by one, so a page with many tables is never a row
+    with all of them."""
+
+    def eval(self, image, boxes):
+        for i, box in enumerate(boxes or ()):
+            sides = tuple(box[k] for k in _SIDES)
+            yield i, *sides, _cut(tuple(image), *sides)
+
+
+def lateral_crops(results: DataFrame, folder: str, mode: str = "cover") -> DataFrame:
+    """``page_crops`` as a lateral join with a table function: the same rows, cut as they leave.
+
+    For pages with many or large crops; ``page_crops`` moves whole Arrow batches instead.
+    """
+    crops = F.udtf(_Crops, returnType=f"table_idx int, {', '.join(f'`{s}` int' for s in _SIDES)}, image {schemas.IMAGE.simpleString()}")
+    keys = [c for c in results.columns if c not in ("detections", "image")]
+    boxes = F.transform("detections", lambda d: F.struct(*_rectangle(d["bbox"], mode)))
+    some = results.filter(F.size("detections") > 0).withColumnsRenamed({"image": "_page"}).withColumn("_boxes", boxes)
+    rows = some.lateralJoin(crops(F.col("_page").outer(), F.col("_boxes").outer()))
+    found = F.col("detections")[F.col("table_idx")]
+    return rows.select(
+        *keys, "table_idx", found["label"].alias("label"), found["bbox"].alias("bbox"), *_SIDES, "image", _crop_name(folder)
+    )
+
+
 def page_crops(results: DataFrame, folder: str, mode: str = "cover") -> DataFrame:
     """``crop_spec`` with the pixels: one row per detection of pages that carry their ``image``.
 

@@ -19,14 +19,17 @@ def image_path(vec_id: Column) -> Column:
     return F.concat(F.lit("out/Doc, "), doc, F.lit("_page_"), page, F.lit(".png"))
 
 
-def raw_outputs(spark: SparkSession, sf: str) -> DataFrame:
+def raw_outputs(spark: SparkSession, sf: str, small: bool = False) -> DataFrame:
     """Model output of one page image per vector: 9 queries of 3 logits and a box.
 
     Every seventh page shows nothing but "no object"; the 64th value makes the last box higher.
+    ``small`` pages are the 8 x 8 gray images and carry them.
     """
     emb = table(spark, sf, "embeddings").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("v")
+        "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.transform("embedding", _level).alias("g")
     )
+    size = (8, 8) if small else (IMG_W, IMG_H)
+    image = [_image(8, 8, 1, F.col("g")).alias("image")] if small else []
     starts = [7 * q for q in range(N_QUERIES)]
     empty = "CASE WHEN vec_id % 7 = 3 THEN 100.0D ELSE 0.0D END"
     logits = ", ".join(f"array(v[{s}] * 10, v[{s + 1}] * 10, v[{s + 2}] * 10 + {empty})" for s in starts)
@@ -39,8 +42,9 @@ def raw_outputs(spark: SparkSession, sf: str) -> DataFrame:
         image_path(F.col("vec_id")).alias("file_path"),
         F.expr(f"array({logits})").alias("logits"),
         F.expr(f"array({boxes})").alias("boxes"),
-        F.lit(IMG_W).alias("img_w"),
-        F.lit(IMG_H).alias("img_h"),
+        F.lit(size[0]).alias("img_w"),
+        F.lit(size[1]).alias("img_h"),
+        *image,
     )
 
 
@@ -48,9 +52,12 @@ def _bytes(values: Column) -> Column:
     return F.unhex(F.array_join(F.transform(values, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
 
 
+def _level(value: Column) -> Column:
+    return F.least(F.greatest(F.floor((value.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255))
+
+
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    level = lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255))
-    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", level).alias("g"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", _level).alias("g"))
 
 
 def _image(height: int, width: int, channels: int, values: Column) -> Column:
@@ -69,6 +76,15 @@ def gray_images(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).select("vec_id", _image(8, 8, 1, F.col("g")).alias("image"))
 
 
+def faulty_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The gray images, of which every seventh lacks its last row and every eleventh did not decode."""
+    cut = _image(7, 8, 1, F.slice("g", 1, 56))
+    none = F.struct(F.lit("").alias("origin"), *[F.lit(-1).alias(n) for n in ("height", "width", "nChannels", "mode")], F.lit(b"").alias("data"))
+    i = F.col("vec_id")
+    image = F.when(i % 11 == 0, none).when(i % 7 == 0, cut).otherwise(_image(8, 8, 1, F.col("g")))
+    return _levels(spark, sf).select("vec_id", image.alias("image"))
+
+
 def color_images(spark: SparkSession, sf: str) -> DataFrame:
     """8 x 8 images of three channels in stored order, one per vector: its values three times over."""
     return _levels(spark, sf).select("vec_id", _image(8, 8, 3, F.flatten(F.array_repeat("g", 3))).alias("image"))

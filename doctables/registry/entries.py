@@ -168,6 +168,17 @@ def seed_plan_by_path(spark, sf):
     return L.download_plan_by_path(L.catalog_links(seeds, A.landed_pages(spark, sf), class_name=None))
 
 
+@query
+def catalog_links_some(spark, sf):
+    """A catalog of every tenth page, some named twice, and of pages that never landed."""
+    i = F.col("publication_id")
+    some = A.crawl_catalog(spark, sf).filter(i % 10 == 3)
+    again = some.filter(i % 20 == 3).withColumn("publication_id", -i)
+    lost = some.withColumns({"publication_id": i + 1, "url": F.concat("url", F.lit("#gone"))})
+    found = L.catalog_links(some.unionByName(again).unionByName(lost), A.landed_copies(spark, sf), class_name=None)
+    return found.select("publication_id", "link_pos", "link_url")
+
+
 @query
 def download_plan_by_path(spark, sf):
     return L.download_plan_by_path(_crawl_links(spark, sf))
@@ -501,6 +512,27 @@ def run_model(spark, sf):
     return _corners(found, "vec_id", "query_idx", "label", _r("score").alias("score"))
 
 
+def _picky_model():
+    """The linear model, which cannot look at a batch that holds an image of another shape."""
+    model = _linear_model()
+
+    def careful(tensors):
+        if any(t.shape != (3, 8, 8) for t in tensors):
+            raise ValueError("cut page")
+        return model(tensors)
+
+    return careful
+
+
+@query
+def run_model_faults(spark, sf):
+    """Every seventh image breaks its batch, every eleventh did not decode: one row per image."""
+    profile = pixels.Profile(binarize=True, max_size=8)
+    raw = D.run_model(A.faulty_images(spark, sf), _picky_model, N_CLASSES, profile, batch_size=64)
+    found = D.page_results(raw)
+    return found.select("vec_id", "img_w", "img_h", "status", "reason", F.size("detections").alias("n_detections"))
+
+
 def _raw(spark, sf, *extra: str) -> DataFrame:
     return A.raw_outputs(spark, sf).select("vec_id", *extra, "logits", "boxes", "img_w", "img_h")
 
@@ -701,6 +733,28 @@ def crop_spec_nearest(spark, sf):
     return _crops(spark, sf, "nearest").select(*_CROP)
 
 
+def _small_pages(spark, sf) -> DataFrame:
+    """Results of small pages with their images."""
+    return D.page_results(A.raw_outputs(spark, sf, small=True)).withColumns({"file_name": F.concat(F.col("vec_id").cast("string"), F.lit(".pdf")), "page_num": F.lit(1)})
+
+
+def _cut(crops: DataFrame) -> DataFrame:
+    sides = ("left", "top", "right", "bottom")
+    return crops.select("vec_id", "table_idx", "label", *sides, "image.height", "image.width", F.hex("image.data").alias("pixels"), "image_path")
+
+
+@query
+def page_crops(spark, sf):
+    """All detections of all pages, cut out and clipped at the edges."""
+    return _cut(RES.page_crops(_small_pages(spark, sf), "crops"))
+
+
+@query
+def lateral_crops(spark, sf):
+    """The same by a table function."""
+    return _cut(RES.lateral_crops(_small_pages(spark, sf), "crops"))
+
+
 @query
 def crop_pixels(spark, sf):
     """A 4 x 5 cut of each gray image whose corner moves with its id, in part past the edge."""

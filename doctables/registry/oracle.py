@@ -145,6 +145,8 @@ ORACLE["resolve_links"] = _with(HREFS) + """SELECT page_id, link_pos,
 FROM links"""
 ORACLE["catalog_links"] = _with(HREFS) + "SELECT publication_id, link_pos, link_url FROM resolved"
 ORACLE["catalog_links_copies"] = ORACLE["catalog_links"]
+ORACLE["catalog_links_some"] = _with(HREFS) + """SELECT publication_id, link_pos, link_url FROM resolved WHERE publication_id % 10 = 3
+UNION ALL SELECT -publication_id, link_pos, link_url FROM resolved WHERE publication_id % 20 = 3"""
 REPEATED = """repeated AS (
   SELECT publication_id, publication_id * 4 AS catalog_pos, link_pos, link_url FROM resolved
   UNION ALL SELECT publication_id, publication_id * 4 + 1, link_pos, link_url FROM resolved WHERE publication_id % 5 = 0
@@ -292,6 +294,20 @@ ORACLE["run_model"] = _with(
   round(1.0 / (exp(l0 - m) + exp(l1 - m) + exp(l2 - m)), 6) AS score,
   x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1
 FROM topped WHERE l0 = m OR l1 = m"""
+ORACLE["run_model_faults"] = _with(
+    PX,
+    _otsu("px", 64),
+    """means AS (
+  SELECT vec_id, avg(((CASE WHEN g > level THEN 255 ELSE 0 END)::FLOAT / 255::FLOAT - 0.485::FLOAT)::FLOAT / 0.229::FLOAT) AS v
+  FROM px JOIN levels USING (vec_id) GROUP BY vec_id)""",
+    """counts AS (
+  SELECT vec_id, ((v >= v * 0.5 OR 1 - v >= v * 0.5)::INTEGER + (-v >= 0 OR v >= 0)::INTEGER)::INTEGER AS n FROM means)""",
+) + """SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN -1 ELSE 8 END::INTEGER AS img_w,
+  CASE WHEN vec_id % 11 = 0 THEN -1 WHEN vec_id % 7 = 0 THEN 7 ELSE 8 END::INTEGER AS img_h,
+  CASE WHEN vec_id % 11 = 0 OR vec_id % 7 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN vec_id % 11 = 0 THEN 'ValueError: no image' WHEN vec_id % 7 = 0 THEN 'ValueError: cut page' END AS reason,
+  CASE WHEN vec_id % 11 <> 0 AND vec_id % 7 <> 0 THEN n END AS n_detections
+FROM counts"""
 ORACLE["zip_outputs"] = _with(RAW) + """SELECT vec_id, query_idx, round(l0, 6) AS l0, round(l1, 6) AS l1, round(l2, 6) AS l2,
   round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM raw"""
 ORACLE["softmax"] = _with(RAW, CLASSED) + """SELECT vec_id, query_idx, round(exp(l0 - m) * score, 6) AS p0,
@@ -351,6 +367,22 @@ ORACLE["crop_spec_nearest"] = _with(RAW, CLASSED, KEPT) + f"""SELECT page_num, t
   round_even(x0, 0)::INTEGER AS "left", round_even(y0, 0)::INTEGER AS top,
   round_even(x1, 0)::INTEGER AS "right", round_even(y1, 0)::INTEGER AS bottom, {_CROP_PATH}
 FROM kept"""
+ORACLE["page_crops"] = _with(
+    RAW,
+    CLASSED,
+    KEPT,
+    PX,
+    """rects AS (
+  SELECT vec_id, table_idx, label, least(greatest(floor(rx0 * 8), 0), 8)::INTEGER AS l, least(greatest(floor(ry0 * 8), 0), 8)::INTEGER AS t,
+    least(greatest(ceil(rx1 * 8), 0), 8)::INTEGER AS r, least(greatest(ceil(ry1 * 8), 0), 8)::INTEGER AS b FROM kept)""",
+    """cut AS (
+  SELECT c.vec_id, c.table_idx, string_agg(printf('%02X', p.g), '' ORDER BY p.i) AS pixels
+  FROM rects c JOIN px p ON p.vec_id = c.vec_id AND p.i % 8 >= l AND p.i % 8 < r AND p.i // 8 >= t AND p.i // 8 < b
+  GROUP BY c.vec_id, c.table_idx)""",
+) + """SELECT vec_id, table_idx, label, l AS "left", t AS top, r AS "right", b AS bottom, greatest(b - t, 0)::INTEGER AS height,
+  greatest(r - l, 0)::INTEGER AS width, coalesce(pixels, '') AS pixels, 'crops/' || vec_id || '.pdf_page_1_table_' || table_idx || '.png' AS image_path
+FROM rects LEFT JOIN cut USING (vec_id, table_idx)"""
+ORACLE["lateral_crops"] = ORACLE["page_crops"]
 ORACLE["crop_pixels"] = _with(
     PX,
     """cells AS (

@@ -70,9 +70,19 @@ def test_list_and_row_forms_agree(spark):
     assert sorted(lists) == sorted(flat)
 
 
-def test_unknown_class_id_is_an_error(spark):
-    with pytest.raises(Exception, match="no label for class id 2"):
-        D.detect_objects(raw(spark, [0.0, 0.0, 9.0]), {0: "table", 1: "table rotated"}).collect()
+def test_unknown_class_id_is_an_error_row(spark):
+    labels = {0: "table", 1: "table rotated"}
+    df = raw(spark, [0.0, 0.0, 9.0], [5.0, 0.0, 0.0]).unionByName(raw(spark, [5.0, 0.0, 0.0]).withColumn("file_path", F.lit("q")))
+    reason = "no label for class id 2"
+    flat = D.detect_objects(df, labels).orderBy("file_path", "query_idx").collect()
+    assert [(r.file_path, r.label, r.status, r.reason) for r in flat] == [
+        ("p", None, "error", reason), ("p", "table", "ok", None), ("q", "table", "ok", None)]
+    named = D.with_labels(D.best_classes(df, 2), labels)
+    assert sorted((r.status, r.reason or "") for r in D.drop_no_object(named).collect()) == [("error", reason), ("ok", ""), ("ok", "")]
+    pages = {r.file_path: r for r in D.page_results(df, labels).collect()}
+    assert pages["p"].detections is None and (pages["p"].status, pages["p"].reason) == ("error", reason)
+    assert len(pages["q"].detections) == 1 and pages["q"].status == "ok"
+    assert [r.file_path for r in P.quarantine(D.page_results(df, labels)).collect()] == ["p"]
 
 
 def test_no_object_is_appended_after_the_last_id():
@@ -137,6 +147,71 @@ def _decode(data: bytes):
     return lines if data[25] == 0 else lines.reshape(height, width, 3)
 
 
+def _images(spark, n):
+    """Gray images of 4 x 4, the shade of each its number."""
+    rows = [(i, ("", 4, 4, 1, 0, bytes([i]) * 16)) for i in range(n)]
+    return spark.createDataFrame(rows, f"id INT, image {schemas.IMAGE.simpleString()}").coalesce(1)
+
+
+PLAIN = pixels.Profile(binarize=False, max_size=4, mean=(0, 0, 0), std=(1, 1, 1))
+
+
+def _shape_model(n_classes=3, n_queries=1, bad=()):
+    def make():
+        sizes = []
+
+        def model(tensors):
+            sizes.append(len(tensors))
+            shades = [round(float(t.max()) * 255) for t in tensors]
+            if set(shades) & set(bad):
+                raise RuntimeError(f"call {len(sizes)}")
+            return np.ones((len(tensors), n_queries, n_classes)), np.ones((len(tensors), n_queries, 4))
+
+        return model
+
+    return make
+
+
+@pytest.mark.parametrize("bad", [(), (3,), (0, 1, 15), tuple(range(16))])
+def test_a_failing_batch_is_halved_down_to_the_images_at_fault(spark, bad):
+    rows = D.run_model(_images(spark, 16), _shape_model(bad=bad), 3, PLAIN, batch_size=16).collect()
+    assert {r.id for r in rows if r.status == "error"} == set(bad) and len(rows) == 16
+    for r in rows:
+        assert (r.img_w, r.img_h) == (4, 4)
+        assert (r.logits is None) == (r.reason is not None) == (r.id in bad) == (r.boxes is None)
+    if bad == (3,):  # 0-15, 0-7, 0-3, 0-1, 2-3, 2, 3
+        assert [r.reason for r in rows if r.reason] == ["RuntimeError: call 7"]
+
+
+def test_wrong_class_count_ends_the_run(spark):
+    with pytest.raises(Exception, match=r"model output of shape \(2, 1, 5\), not \(2, 1, 3\)"):
+        D.run_model(_images(spark, 2), _shape_model(n_classes=5), 3, PLAIN).collect()
+
+
+def test_images_without_queries(spark):
+    rows = D.run_model(_images(spark, 2), _shape_model(n_queries=0), 3, PLAIN)
+    assert [(r.logits, r.boxes, r.status) for r in rows.collect()] == [([], [], "ok")] * 2
+    assert D.detect_objects(rows).count() == 0 and [r.detections for r in D.page_results(rows).collect()] == [[], []]
+
+
+def test_crops_of_both_forms(spark):
+    boxes = [[0.0, 0.0, 2.0, 2.0], [-5.0, 1.2, 99.0, 2.5], [3.0, 3.0, 3.0, 3.0]]
+    pages = _images(spark, 5).withColumns({
+        "img_w": F.lit(4), "img_h": F.lit(4), "page_num": F.lit(1), "file_name": F.concat(F.col("id").cast("string"), F.lit(".pdf")),
+        "detections": F.expr(f"""CASE WHEN id = 0 THEN cast(null AS {schemas.DETECTIONS}) WHEN id = 1 THEN cast(array() AS {schemas.DETECTIONS})
+            ELSE array({", ".join(f"struct('table' AS label, 0.5D AS score, array({', '.join(f'{v}D' for v in b)}) AS bbox)" for b in boxes)}) END"""),
+    })
+    for mode in ("cover", "nearest"):
+        lists, rows = (sorted(map(repr, f(pages, "c", mode).collect())) for f in (RES.page_crops, RES.lateral_crops))
+        assert lists == rows and len(rows) == 9
+    got = {(r.id, r.table_idx): r for r in RES.lateral_crops(pages, "c").collect()}
+    assert (got[2, 1].left, got[2, 1].top, got[2, 1].right, got[2, 1].bottom) == (0, 1, 4, 3)
+    assert bytes(got[2, 1].image.data) == bytes([2]) * 8 and got[2, 2].image.data == b""
+    # One image is in a row at a time: the plan joins a table function, it does not explode a list.
+    plan = RES.lateral_crops(pages, "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDTF" in plan and "posexplode" not in plan
+
+
 def test_encoded_images_give_the_same_output(spark, folder):
     images_folder(folder)
     model = _counting_model(set())
@@ -145,7 +220,10 @@ def test_encoded_images_give_the_same_output(spark, folder):
         files = sources.read_documents(spark, folder, "*.png").select(
             F.regexp_replace("doc_path", "^file:/+", "/").alias("file_path"), F.col("content").alias("image"))
         encoded = D.run_model(files, model, 3, profile, decode=_decode, batch_size=3)
-        assert sorted(encoded.collect()) == sorted(decoded.collect()) and encoded.count() == 4
+        # Why an image was not read is the decoder's to say.
+        told = [sorted(df.drop("reason").collect()) for df in (encoded, decoded)]
+        assert told[0] == told[1] and encoded.count() == 4
+        assert [df.filter("reason IS NOT NULL").count() for df in (encoded, decoded)] == [1, 1]
 
 
 def test_layout_labels_and_their_threshold(spark):

@@ -180,3 +180,29 @@ def test_order_of_a_catalog_with_repeated_ids(spark):
     assert lost == [(1, 0, 0), (1, 0, 1), (2, 2, 0)]
     seeds = catalog.select("url", "catalog_pos")
     assert {r.file_path: r.n_links for r in L.download_plan_by_path(L.catalog_links(seeds, pages)).collect()} == {"a0": 1, "a1": 1, "b0": 3}
+
+
+def test_only_named_pages_are_parsed(spark, monkeypatch):
+    """The semi-join is below the parser, whatever the catalog's length, and page bodies do not move."""
+    pages = spark.range(2_000).select(
+        F.concat(F.lit("http://s/p"), F.col("id").cast("string")).alias("url"),
+        F.concat(F.lit('<a class="usa-link Document" href="/f'), F.col("id").cast("string"), F.lit('.pdf">x</a>')).alias("html"),
+    )
+    pages = pages.unionByName(spark.createDataFrame([(None, "<a href=x>")], "url STRING, html STRING"))
+    rows = [(i, f"http://s/p{i}") for i in range(0, 4_000, 100)] + [(-1, "http://s/p0"), (-2, None)]
+    catalog = spark.createDataFrame(rows, "publication_id LONG, url STRING")
+    wanted = L.wanted_pages(catalog, pages)
+    assert wanted.columns == pages.columns
+    assert sorted(r.url for r in wanted.collect()) == sorted(f"http://s/p{i}" for i in range(0, 2_000, 100))
+    want = sorted((i, f"http://s/f{u[10:]}.pdf") for i, u in rows if u and int(u[10:]) < 2_000)
+    links = L.catalog_links(catalog, pages)
+    assert sorted((r.publication_id, r.link_url) for r in links.collect()) == want
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    arrow, semi = plan.index("ArrowEvalPython"), plan.index("LeftSemi")
+    assert arrow < semi and "Exchange" not in plan[arrow:semi]
+    # A set that is too small for its catalog lets more pages through and changes nothing else.
+    monkeypatch.setattr(L, "WANTED_BITS", 64)
+    assert L.wanted_pages(catalog, pages).count() > len(want)
+    assert sorted((r.publication_id, r.link_url) for r in L.catalog_links(catalog, pages).collect()) == want
+    # Repeated and missing URLs in an empty catalog.
+    assert L.catalog_links(catalog.limit(0), pages).count() == 0
