@@ -1,8 +1,13 @@
-"""Fetching documents. The client is the caller's: ``fetch(url) -> bytes``, raising on failure."""
+"""Fetching documents. The client is the caller's: ``fetch(url) -> bytes``, raising on failure.
+
+A task has several requests in flight, few of them to one host (``functions.polite``); a client that
+must not be called from several threads needs ``Politeness(in_flight=1)``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +16,7 @@ from pyspark.sql import types as T
 
 from doctables.functions import urls
 from doctables.functions.batches import batched
+from doctables.functions.polite import Politeness, in_order
 
 _FETCHED = [
     T.StructField("content", T.BinaryType()),
@@ -20,8 +26,24 @@ _FETCHED = [
 ]
 
 
+def _host(url: str | None) -> str:
+    try:
+        return urlsplit(url or "").netloc
+    except ValueError:
+        return ""
+
+
+def _outcome(fetch: Callable[[str], bytes], url: str) -> tuple:
+    """Content, size, status and reason."""
+    try:
+        data = fetch(url)
+        return data, len(data), "ok", None
+    except Exception as e:  # noqa: BLE001 - recorded and skipped, the job goes on
+        return None, None, "error", f"{type(e).__name__}: {e}"
+
+
 def fetch_documents(
-    plan: DataFrame, fetch: Callable[[str], bytes], tasks: int, tasks_per_host: int = 4
+    plan: DataFrame, fetch: Callable[[str], bytes], tasks: int, tasks_per_host: int = 4, polite: Politeness = Politeness()
 ) -> DataFrame:
     """Fetch every ``link_url`` of a plan; a failure is a row with ``status='error'``.
 
@@ -35,17 +57,10 @@ def fetch_documents(
     slice_of_host = F.pmod(F.xxhash64("link_url"), F.lit(tasks_per_host))
     spread = plan.repartition(tasks, urls.authority(F.col("link_url")), slice_of_host)
 
-    def one(url: str) -> tuple:
-        try:
-            data = fetch(url)
-            return data, len(data), "ok", None
-        except Exception as e:  # noqa: BLE001 - recorded and skipped, the job goes on
-            return None, None, "error", f"{type(e).__name__}: {e}"
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (
-            (*row, *one(row[url_at])) for frame in frames for row in frame.itertuples(index=False, name=None)
-        )
+        planned = (row for frame in frames for row in frame.itertuples(index=False, name=None))
+        fetched = in_order(planned, lambda row: _host(row[url_at]), lambda row: _outcome(fetch, row[url_at]), polite)
+        rows = ((*row, *outcome) for row, outcome in fetched)
         for out in batched(rows, schema.names, lambda row: row[len(keys) + 1] or 0):
             yield out.astype({"n_bytes": "Int64", "content": object, "reason": object})
 
@@ -53,15 +68,15 @@ def fetch_documents(
 
 
 def fetch_with_fallback(
-    candidates: DataFrame, fetch: Callable[[str], bytes], tasks: int, tasks_per_host: int = 4
+    candidates: DataFrame, fetch: Callable[[str], bytes], tasks: int, tasks_per_host: int = 4, polite: Politeness = Politeness()
 ) -> DataFrame:
     """Fetch each publication's links in their order until one succeeds or none is left.
 
     ``candidates`` has a row per link (``candidate_links``) or lists (``download_candidates``).
     One row per attempt with ``attempt`` from 1; the last one of a publication is ``ok`` unless all
     its links failed. A publication's rows are sorted in one task and stream through it, so their
-    number is not limited. Publications are spread like links in ``fetch_documents``, by the host of
-    the first link.
+    number is not limited; several publications are under way at once, each with one request.
+    Publications are spread like links in ``fetch_documents``, by the host of the first link.
     """
     if "links" in candidates.columns:
         listed = candidates.select("publication_id", "file_path", F.posexplode("links"), F.col("links")[0]["link_url"].alias("first_url"))
@@ -78,22 +93,18 @@ def fetch_with_fallback(
     ]
     schema = T.StructType(keys + own + _FETCHED)
 
+    def publication_of(row: tuple) -> tuple:
+        return () if row[0] is None or row[0] != row[0] else (row[0],)  # nulls can come as NaN
+
     def attempts(rows: Iterator[tuple]) -> Iterator[tuple]:
-        last, n, done = object(), 0, False
-        for publication, path, link_pos, url in rows:
-            if publication != last and (publication == publication or last == last):  # nulls can come as NaN
-                last, n, done = publication, 0, False
-            if done:
-                continue
-            n += 1
-            head = (publication, path, n, link_pos, url)
-            try:
-                data = fetch(url)
-            except Exception as e:  # noqa: BLE001 - recorded, the next link is tried
-                yield *head, None, None, "error", f"{type(e).__name__}: {e}"
-            else:
-                yield *head, data, len(data), "ok", None
-                done = True
+        last, n = None, 0
+        tried = in_order(
+            rows, lambda row: _host(row[3]), lambda row: _outcome(fetch, row[3]), polite, publication_of, lambda outcome: outcome[2] == "ok"
+        )
+        for row, outcome in tried:
+            n = n + 1 if publication_of(row) == last else 1
+            last = publication_of(row)
+            yield *row[:2], n, *row[2:], *outcome
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = attempts(row for frame in frames for row in frame.itertuples(index=False, name=None))

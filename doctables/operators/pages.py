@@ -190,9 +190,15 @@ def drop_empty_pages(pages: DataFrame, image: str = "image") -> DataFrame:
 
 def pending_pages(pages: DataFrame, done: DataFrame, overwrite: bool = False) -> DataFrame:
     """Pages still to be made. ``done`` is any frame of ``image_path``: a manifest or a listing, whose
-    paths may have a scheme."""
+    paths may have a scheme.
+
+    Where both sides are tables of ``sinks.tables.write_manifest``, their buckets meet as they lie: no
+    shuffle, and sorted buckets of one file are not sorted again.
+    """
     if overwrite:
         return pages
+    if "canonical_path" in pages.columns and "canonical_path" in done.columns:
+        return pages.join(done.select("canonical_path"), "canonical_path", "left_anti").select(*pages.columns)
     there = done.select(paths.canonical_path(F.col("image_path"), False).alias("_path")).distinct()
     keyed = pages.withColumn("_path", paths.canonical_path(F.col("image_path"), False))
     return keyed.join(there, "_path", "left_anti").drop("_path")

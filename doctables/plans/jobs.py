@@ -22,6 +22,7 @@ from doctables.operators import pages as P
 from doctables.operators import reconcile as R
 from doctables.operators import results as RES
 from doctables.sinks import files as out_files
+from doctables.sinks import runs as out_runs
 from doctables.sinks import tables as out_tables
 from doctables.sources import tables as sources
 
@@ -151,7 +152,8 @@ def record_tables(
     min_score: float | None = None,
     resume: bool = False,
 ) -> None:
-    """Detect, crop, and record documents and tables.
+    """Detect, crop, and record documents and tables, which are read with ``sinks.runs.read_runs`` and
+    become visible together.
 
     Each image stays in its row from the model to the crop, so pixels are never joined or shuffled.
     ``images`` has ``file_path`` and ``image``; ``encode`` gets the pixels of a crop, in RGB order.
@@ -164,7 +166,6 @@ def record_tables(
     made = _stored(crops, f"{out}/crops/run_id={run_id}", resume)
     whole = made.withColumn("name", paths.file_name(F.col("image_path")))
     _stored(out_files.write_files(whole, crop_folder, "name", "content"), f"{out}/crop_files/run_id={run_id}", resume)
-    out_tables.write_run(RES.tables_table(made), f"{out}/tables", run_id)
 
     # Tables per document come from the stored crops, pages from the image list: no second inference.
     pages = parts.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_pages"))
@@ -172,4 +173,4 @@ def record_tables(
     documents = pages.join(tables, "file_name", "left").select(
         F.col("file_name").alias("filename"), "n_pages", F.coalesce("table_count", F.lit(0).cast("bigint")).alias("table_count")
     )
-    out_tables.write_run(documents, f"{out}/documents", run_id)
+    out_runs.write_run(images.sparkSession, out, run_id, {"tables": RES.tables_table(made), "documents": documents})

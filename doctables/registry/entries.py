@@ -23,6 +23,9 @@ from doctables.operators import pages as P
 from doctables.operators import reconcile as R
 from doctables.operators import results as RES
 from doctables.registry import adapters as A
+from doctables.session import scratch
+from doctables.sinks import files as out_files
+from doctables.sinks import runs
 from doctables.sinks import tables as sinks
 from doctables.sources import tables as sources
 
@@ -777,3 +780,132 @@ def documents_table(spark, sf):
 def tables_table(spark, sf):
     rows = RES.tables_table(_crops(spark, sf, "cover"))
     return rows.select("filename", "page_num", "table_idx", *_box(F.col("bbox")), "image_path")
+
+
+# ---- written and read back -------------------------------------------------------------------
+#
+# These write a given table below the checkpoint folder, as a job does, and read it again. Files of
+# their own need a folder that executors mount.
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return scratch(spark, name).removeprefix("file:")
+
+
+def _written(files: DataFrame, folder: str) -> DataFrame:
+    """Store files and keep their manifest, so that they are written once."""
+    path = f"{scratch(files.sparkSession, 'manifest')}/files"
+    out_files.write_files(files, folder, "name", "content").write.parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
+def _relative(path: str, folder: str) -> Column:
+    """The part of a listed path below a folder."""
+    return F.regexp_replace(F.col(path), f"^(file:)?/*{folder.strip('/')}/", "").alias("name")
+
+
+@query
+def catalog_file(spark, sf):
+    """The catalog as CSV text, in the order of its place."""
+    path = _folder(spark, "catalog")
+    A.catalog_csv(spark, sf).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return sources.catalog_rows(sources.read_catalog_csv(spark, path)).select("publication_id", "url")
+
+
+@query
+def stored_files(spark, sf):
+    """Files of any size and what is read of them; Spark's reader leaves out files without bytes."""
+    folder = _folder(spark, "files")
+    manifest = _written(A.supplier_files(spark, sf), folder)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    read = reader.select(_relative("path", folder), F.md5("content").alias("content_md5"))
+    return manifest.join(read, "name", "left").select("name", "n_bytes", "status", "content_md5")
+
+
+@query
+def tree_listing(spark, sf):
+    """A tree of folders, listed level by level in tasks."""
+    folder = _folder(spark, "tree")
+    _written(A.supplier_files(spark, sf), folder)
+    listed = sources.list_tree(spark, folder, scratch(spark, "listing"), ".pdf")
+    return listed.select(_relative("path", folder), "file_name", "n_bytes")
+
+
+@query
+def image_scan(spark, sf):
+    """Image files as rows of pixels; a file that is none keeps its row."""
+    folder = _folder(spark, "images")
+    _written(A.bitmap_files(spark, sf), folder)
+    images = sources.read_images(spark, folder, pattern="*.bmp")
+    return images.select(_relative("file_path", folder), "image.height", "image.width", "image.nChannels", F.hex("image.data").alias("pixels"))
+
+
+@query
+def results_file(spark, sf):
+    """Results as CSV text and typed again."""
+    path = _folder(spark, "results")
+    sinks.write_results_csv(RES.parse_detections(_literal_text(_results(spark, sf))), path)
+    rows = D.flatten_detections(RES.parse_detections(sources.read_results_csv(spark, path)))
+    return rows.select("file_path", "table_idx", "label", _r("score").alias("score"), *_box(F.col("bbox")))
+
+
+@query
+def lookup_stored(spark, sf):
+    """A row of a table that is laid out by path."""
+    path = _folder(spark, "lookup")
+    sinks.write_lookup(_stored(spark, sf), path)
+    return _short(RES.lookup_by_path(spark.read.parquet(path), "out/Doc, 3_page_5.png"))
+
+
+@query
+def pending_manifest(spark, sf):
+    """``pending_pages`` over two manifests in buckets."""
+    pages = A.page_rows(spark, sf).select("doc_id", "page_num", "image_path")
+    listed = pages.filter((F.col("doc_id") + F.col("page_num")) % 3 == 0).select(F.concat(F.lit("file:///"), "image_path").alias("image_path"))
+    plan = pages.withColumn("image_path", F.concat(F.lit("/"), "image_path"))
+    tables = []
+    for kind, df in (("plan", plan), ("done", listed)):
+        path = scratch(spark, kind)
+        tables.append(sinks.write_manifest(df, path.rsplit("/", 1)[1].replace("-", "_"), path, spark.sparkContext.defaultParallelism))
+    return P.pending_pages(*tables).select("doc_id", "page_num", "image_path")
+
+
+def _recorded(spark, sf) -> str:
+    """Documents and tables of one run that was written twice."""
+    out = scratch(spark, "runs")
+    found = _with_parts(_results(spark, sf)).withColumn("file_name", F.concat("doc", F.lit(".pdf")))
+    for _ in range(2):
+        runs.write_run(spark, out, "r1", {"documents": RES.documents_table(found), "tables": RES.tables_table(_crops(spark, sf, "cover"))})
+    return out
+
+
+@query
+def recorded_documents(spark, sf):
+    return runs.read_runs(spark, _recorded(spark, sf), "documents", schemas.DOCUMENTS_TABLE).drop("run_id")
+
+
+@query
+def recorded_tables(spark, sf):
+    rows = runs.read_runs(spark, _recorded(spark, sf), "tables", schemas.TABLES_TABLE)
+    return rows.select("filename", "page_num", "table_idx", *_box(F.col("bbox")), "image_path")
+
+
+@query
+def missing_array(spark, sf):
+    """The array file, read back part by part."""
+    path = _folder(spark, "missing")
+    sinks.write_missing_array(R.missing_rows(A.catalog(spark, sf), _obtained(spark, sf)), path, scratch(spark, "ids"))
+    return sinks.read_missing_array(spark, path)
+
+
+@query
+def kept_pages(spark, sf):
+    """Rendered pages that are used twice, for the images and for the log, and rendered once."""
+    docs = A.doc_pages(spark, sf).select(F.col("doc").alias("doc_path"), "n_pages")
+    made = P.render_batches(P.page_batches(docs), _render_with_faults, lambda path: path.encode(), spark.sparkContext.defaultParallelism)
+    folder = scratch(spark, "pages")
+    with P.kept(made) as pages:
+        pages.filter("image IS NOT NULL").select("doc_path", "page_num", F.md5("image").alias("image_md5")).write.parquet(f"{folder}/images")
+        pages.drop("image").write.parquet(f"{folder}/log")
+    images, log = (spark.read.parquet(f"{folder}/{name}") for name in ("images", "log"))
+    return log.join(images, ["doc_path", "page_num"], "left").select("doc_path", "page_num", "image_md5", "status", "reason")

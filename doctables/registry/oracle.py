@@ -398,3 +398,27 @@ ORACLE["crop_pixels"] = _with(
 ORACLE["documents_table"] = _with(RAW, CLASSED, KEPT, IMAGES) + """SELECT i.doc || '.pdf' AS filename, count(DISTINCT i.vec_id) AS n_pages, count(h.vec_id) AS table_count
 FROM images i LEFT JOIN kept h ON h.vec_id = i.vec_id GROUP BY i.doc"""
 ORACLE["tables_table"] = _with(RAW, CLASSED, KEPT) + f"SELECT doc || '.pdf' AS filename, page_num, table_idx, {BOX4}, {_CROP_PATH} FROM kept"
+
+# ---- written and read back -------------------------------------------------------------------
+
+SUPPLIERS = """suppliers AS (
+  SELECT 'n' || s_nationkey || '/' || s_suppkey % 10 || '/Supplier, ' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.txt' ELSE '.pdf' END AS name,
+    repeat(s_name, (s_suppkey % 4)::BIGINT) AS content FROM supplier)"""
+ORACLE["catalog_file"] = ORACLE["catalog_scan"]
+ORACLE["stored_files"] = _with(SUPPLIERS) + """SELECT name, strlen(content) AS n_bytes, 'written' AS status,
+  CASE WHEN content <> '' THEN md5(content) END AS content_md5 FROM suppliers"""
+ORACLE["tree_listing"] = _with(SUPPLIERS) + """SELECT name, split_part(name, '/', 3) AS file_name, strlen(content) AS n_bytes
+FROM suppliers WHERE name LIKE '%.pdf'"""
+# The file has the lower row first.
+ORACLE["image_scan"] = """SELECT 'Doc, ' || s_suppkey // 10 || '_page_' || (s_suppkey % 10 + 1) || '.bmp' AS name,
+  CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 2 END::INTEGER AS height, CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 4 END::INTEGER AS width,
+  CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 3 END::INTEGER AS "nChannels",
+  CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE string_agg(printf('%02X', ((s_suppkey + (i + 12) % 24) % 256)::INTEGER), '' ORDER BY i) END AS pixels
+FROM supplier CROSS JOIN (SELECT unnest(range(0, 24)) AS i) GROUP BY s_suppkey"""
+ORACLE["results_file"] = ORACLE["parse_detections"]
+ORACLE["lookup_stored"] = ORACLE["lookup_by_path"]
+ORACLE["pending_manifest"] = ORACLE["pending_pages"]
+ORACLE["recorded_documents"] = ORACLE["documents_table"]
+ORACLE["recorded_tables"] = ORACLE["tables_table"]
+ORACLE["missing_array"] = _with(CAT, OBT, OBTIDS) + "SELECT publication_id FROM cat WHERE publication_id NOT IN (SELECT publication_id FROM obtids)"
+ORACLE["kept_pages"] = ORACLE["render_batches"]

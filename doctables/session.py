@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # AQE sizes the shuffles and splits skewed join partitions. Image rows are tens of megabytes, so
@@ -31,11 +34,23 @@ def local_session(cpus: int | str = "*", app: str = "doctables", **extra: str) -
 
 
 def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The folder named by the cluster in ``spark.checkpoint.dir``; ``fallback`` only where unset."""
+    """The folder named by the cluster in ``spark.checkpoint.dir``.
+
+    Where none is named, ``fallback`` becomes it. Without one, a session on a single machine gets a
+    temporary folder; on a cluster, whose machines would each write to their own, that is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no folder")
+        fallback = tempfile.mkdtemp(prefix="run-")
     spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    return spark.sparkContext.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for tables between steps."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

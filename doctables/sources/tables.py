@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doctables import schemas
 from doctables.functions import paths
+from doctables.functions.batches import batched
 
 
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +46,11 @@ def seed_urls(spark: SparkSession, urls: list[str]) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str | None = None, recursive: bool = False) -> DataFrame:
-    """Files of a folder. Contents are not read; the suffix is case-sensitive."""
+    """Files of a folder. Contents are not read; the suffix is case-sensitive.
+
+    Spark's reader holds the index on the driver and leaves out files without bytes; ``list_tree`` does
+    neither.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if suffix is not None:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
@@ -48,6 +59,56 @@ def list_files(spark: SparkSession, folder: str, suffix: str | None = None, recu
     )
 
 
+def list_mounted(folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, is a folder, size) of the entries of a folder that all executors mount."""
+    with os.scandir(folder.removeprefix("file:")) as entries:
+        for entry in entries:
+            inside = entry.is_dir()
+            yield entry.name, inside, 0 if inside else entry.stat().st_size
+
+
+def _hidden(name: str) -> bool:
+    """The names that Spark's own listings leave out."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def list_tree(
+    spark: SparkSession,
+    folder: str,
+    work: str,
+    suffix: str | None = None,
+    list_folder: Callable[[str], Iterable[tuple[str, bool, int]]] = list_mounted,
+    tasks: int | None = None,
+) -> DataFrame:
+    """``list_files`` of a whole tree, where the driver holds no index.
+
+    Folders are listed by tasks, one level of the tree a round; what a round finds is a table under
+    ``work``, whose folders are the next round's. The driver sees one count per round. ``list_folder``
+    lists other stores than mounted folders.
+    """
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    schema = T.StructType.fromDDL("path STRING, file_name STRING, n_bytes LONG, folder BOOLEAN")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[tuple]:
+            for frame in frames:
+                for parent in frame["path"]:
+                    for name, inside, size in list_folder(parent):
+                        if not _hidden(name) and (inside or suffix is None or name.endswith(suffix)):
+                            yield f"{parent.rstrip('/')}/{name}", name, size, inside
+
+        yield from batched(found(), schema.names, lambda row: len(row[0]))
+
+    schemed = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", folder)
+    start = re.sub("^file:/+", "file:/", folder) if schemed else f"file:{os.path.abspath(folder)}"
+    frontier, rounds = spark.createDataFrame([(start,)], "path STRING"), []
+    while not frontier.isEmpty():
+        rounds.append(f"{work}/{len(rounds)}")
+        frontier.repartition(tasks, "path").mapInPandas(run, schema).write.mode("overwrite").parquet(rounds[-1])
+        frontier = spark.read.schema(schema).parquet(rounds[-1]).filter("folder").select("path")
+    return spark.read.schema(schema).parquet(*rounds).filter("NOT folder").drop("folder")
+
+
 def glob_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     return reader.load(folder).select(

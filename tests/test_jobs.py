@@ -7,10 +7,12 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from doctables import schemas
 from doctables.functions import pixels
 from pngs import encode_png
 from doctables.operators import results as RES
 from doctables.plans import jobs
+from doctables.sinks import runs
 from doctables.sources import tables as sources
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -121,9 +123,10 @@ def test_pages_detection_and_tables(spark, folder):
     crops = f"{folder}/crops"
     for _ in range(2):
         jobs.record_tables(decoded, make_model, encode_png, crops, out, "r1", profile=profile)
-    documents = {r.filename: (r.n_pages, r.table_count) for r in spark.read.parquet(f"{out}/documents").collect()}
+    recorded = runs.read_runs(spark, out, "documents", schemas.DOCUMENTS_TABLE)
+    documents = {r.filename: (r.n_pages, r.table_count) for r in recorded.collect()}
     assert documents == {"Doe, 1910.pdf": (3, 3), "long.pdf": (13, 10), "junk.pdf": (1, 0)}
-    tables = spark.read.parquet(f"{out}/tables")
+    tables = runs.read_runs(spark, out, "tables", schemas.TABLES_TABLE)
     assert tables.count() == 13
     cut = {r.file_path.split("/")[-1]: r.image for r in sources.read_images(spark, crops).collect()}
     img = cut["long.pdf_page_13_table_0.png"]
