@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.session import checkpoint_folder
+from doctables.session import scratch
 
 # The white space of the word rules: space and tab to carriage return. It is also what
 # ``bytes.split()`` splits on.
@@ -56,22 +53,12 @@ def _character(data: bytes, at: int) -> int:
     return at
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    A machine-local folder is only made where the session names none, as in tests.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    top = checkpoint_folder(spark, None if named else tempfile.mkdtemp(prefix="run-"))
-    return f"{top}/llm-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     What follows then depends on files that every executor sees, not on the lineage above.
     """
-    path = f"{scratch(df.sparkSession)}/{name}"
+    path = f"{scratch(df.sparkSession, 'llm')}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

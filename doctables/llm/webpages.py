@@ -1,8 +1,8 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
 A page is cut at block-level tags. Each block has its words, the share of them inside links, the
-same of its neighbours, and whether the elements around it say what they are for. The tree is grown
-on the labelled table below whenever the operator is built.
+same of its neighbours, the text of some more blocks on either side, and whether the elements around
+it say what they are for. The tree is grown on the labelled tables below in every task.
 """
 
 from __future__ import annotations
@@ -29,17 +29,24 @@ _VOID = "area base br col embed hr img input link meta param source track wbr".s
 _RAW = {"script", "style", "textarea", "iframe"}
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _SILENT}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-# Elements and their words in class, id and role that say that a block is not the article.
+# Elements, and words in class, id and role, that say that a block is beside the article.
 _ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 _ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
-    "sidebar nav navbar navigation menu breadcrumb breadcrumbs share sharing social related recommended recommendations teaser "
-    "newsletter subscribe subscription signup login comment comments reply replies respond responses discussion disqus footer "
-    "contentinfo masthead copyright legal disclaimer pagination pager popup modal overlay widget toolbar skip search complementary "
-    "paywall tags outbrain taboola".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
+    "notice alert sidebar nav navbar navigation menu breadcrumb breadcrumbs share sharing social related recommended "
+    "recommendations teaser teasers newsletter subscribe subscription signup login footer contentinfo masthead copyright legal "
+    "disclaimer pagination pager popup modal overlay widget widgets toolbar skip search complementary paywall tags outbrain taboola".split()
 )
+# Those of readers' comments, which may be longer than the article.
+_COMMENT_WORDS = frozenset("comment comments reply replies respond responses discussion disqus".split())
 _MAIN = {"article", "main"}
 _MAIN_WORDS = frozenset("article main content post story entry body".split())
+# Words that may stand beside them in one name without another meaning: "comment-list", "post-body".
+_PLACE_WORDS = frozenset(
+    "area bar block body box bottom column container content cta desktop entry form global group header holder inner item items left "
+    "links list main mobile outer page panel post primary region right row secondary section site story text title top wrap wrapper "
+    "article message messages unit slot children thread".split()
+)
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 # The rest of a tag whose values hold the closing sign in quotes; looked for over a bounded distance.
@@ -47,7 +54,9 @@ _QUOTED_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _QUOTED_REACH = 8_192
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_NAME_PARTS = re.compile(r"[a-z]+")
+_NAME_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
+# Share of a page's words from which on an element is the page and not beside it.
+_MOST = 0.5
 
 
 @dataclass
@@ -64,21 +73,77 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _purpose(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element says that its content is beside the article, or is the article."""
-    words: set[str] = set()
-    for m in _ATTRIBUTE.finditer(attrs) if attrs else ():
-        words.update(_NAME_PARTS.findall((m[2] or m[3] or m[4] or "").lower()))
+# What an element says of itself.
+_NOTHING, _BESIDE, _COMMENTS, _ARTICLE = range(4)
+
+
+def _named(token: str) -> int:
+    """What one name in class, id or role says. All of its parts have to agree: ``comment-list`` says
+    comments, ``has-sidebar`` and ``no-ads`` say nothing."""
+    parts = [p.lower() for p in _NAME_PARTS.split(token) if p and not p.isdigit()]
+    for words, says in ((_COMMENT_WORDS, _COMMENTS), (_ASIDE_WORDS, _BESIDE), (_MAIN_WORDS, _ARTICLE)):
+        if any(p in words for p in parts) and all(p in words or p in _PLACE_WORDS for p in parts):
+            return says
+    return _NOTHING
+
+
+def _purpose(name: str, attrs: str, in_main: bool) -> int:
+    says = {
+        says for m in (_ATTRIBUTE.finditer(attrs) if attrs else ()) for token in (m[2] or m[3] or m[4] or "").split() if (says := _named(token))
+    }
+    if name in ("body", "html"):
+        return _NOTHING
+    if _COMMENTS in says:
+        return _COMMENTS
     # A header inside the article holds its title.
-    aside = name in _ASIDE or name == "header" and not in_main or bool(words & _ASIDE_WORDS) and name not in ("body", "html")
-    aside = aside or bool(attrs) and bool(_HIDDEN.search(attrs))
-    return aside, not aside and (name in _MAIN or name != "body" and bool(words & _MAIN_WORDS))
+    if name in _ASIDE or name == "header" and not in_main or _BESIDE in says or attrs and _HIDDEN.search(attrs):
+        return _BESIDE
+    return _ARTICLE if name in _MAIN or _ARTICLE in says else _NOTHING
+
+
+@dataclass
+class _Element:
+    name: str
+    says: int
+    parent: int
+    in_main: bool = False
+    words: int = 0
+
+
+def _marked(elements: list[_Element], blocks: list[tuple[Block, int]]) -> list[Block]:
+    """Blocks that know whether they are beside the article or in it.
+
+    What an element says holds for all in it, but not where it cannot be meant: an element around the
+    longest article of the page, or one with most of the page's words, is not beside it. Comments may
+    have most of the words.
+    """
+    for block, at in blocks:
+        elements[at].words += block.words
+    for e in reversed(elements[1:]):
+        elements[e.parent].words += e.words
+    # Elements come after the ones they are in, so one pass down settles all.
+    beside, article = [False] * len(elements), [False] * len(elements)
+    inner = [i for i, e in enumerate(elements) if e.says == _ARTICLE and e.name in _MAIN]
+    around, at = set(), max(inner, key=lambda i: elements[i].words, default=0)
+    while at:
+        at = elements[at].parent
+        around.add(at)
+    for i, e in enumerate(elements):
+        if i:
+            beside[i], article[i] = beside[e.parent], article[e.parent]
+        if e.says in (_BESIDE, _COMMENTS) and i not in around:
+            beside[i] |= e.says == _COMMENTS or e.words < _MOST * elements[0].words
+        article[i] |= e.says == _ARTICLE and not beside[i]
+    for block, i in blocks:
+        block.aside, block.main = beside[i], article[i]
+    return [block for block, _ in blocks]
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order. Elements that are never closed end with their parent."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    out: list[tuple[Block, int]] = []
+    elements = [_Element("", _NOTHING, 0)]
+    stack: list[int] = []
     parts: list[str] = []
     linked: list[str] = []
     link = heading = False
@@ -87,9 +152,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal heading
         words = "".join(parts).split()
         if words:
-            _, aside, main = stack[-1] if stack else ("", False, False)
             inside = "".join(linked).split()
-            out.append(Block(" ".join(words), len(words), min(len(inside), len(words)), aside, main, heading))
+            block = Block(" ".join(words), len(words), min(len(inside), len(words)), False, False, heading)
+            out.append((block, stack[-1] if stack else 0))
         parts.clear()
         linked.clear()
         heading = False
@@ -153,25 +218,30 @@ def blocks_of(page: str) -> list[Block]:
             link = False
             if closes:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
+                    if elements[stack[i]].name == name:
                         del stack[i:]
                         break
             elif name not in _VOID:
-                _, aside, main = stack[-1] if stack else ("", False, False)
-                own_aside, own_main = _purpose(name, attrs, main)
-                if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
+                if name in ("p", "li") and stack and elements[stack[-1]].name == name:
                     stack.pop()
-                    _, aside, main = stack[-1] if stack else ("", False, False)
-                stack.append((name, aside or own_aside, main or own_main))
+                parent = stack[-1] if stack else 0
+                in_main = elements[parent].in_main
+                says = _purpose(name, attrs, in_main)
+                elements.append(_Element(name, says, parent, in_main or says == _ARTICLE))
+                stack.append(len(elements) - 1)
                 heading = name in _HEADINGS
     flush()
-    return out
+    return _marked(elements, out)
 
 
-# Labelled table. Columns: beside the article, in the article, heading, words, link density, words
+# Blocks on either side whose words outside links are summed.
+_WIDE = 5
+# Labelled tables. Columns: beside the article, in the article, heading, words, link density, words
 # and link density of the block before, words and link density of the block after; is article text.
-FEATURES = ("aside", "main", "heading", "words", "density", "words_before", "density_before", "words_after", "density_after")
-LABELLED = np.array(
+FEATURES = (
+    "aside", "main", "heading", "words", "density", "words_before", "density_before", "words_after", "density_after", "text_before", "text_after"
+)
+_NEAR = np.array(
     [
         # Blocks of elements that say what they are.
         [1, 0, 0, 1, 1.0, 0, 0.0, 1, 1.0, 0], [1, 0, 0, 1, 1.0, 1, 1.0, 4, 0.0, 0], [1, 0, 0, 6, 0.0, 1, 1.0, 9, 0.0, 0],
@@ -201,6 +271,32 @@ LABELLED = np.array(
     ],
     dtype=np.float64,
 )
+# Short plain blocks: words, words and link density of the block before, of the block after, words
+# outside links in the five blocks before and after; is article text.
+_SHORT = np.array(
+    [
+        # Among text, whatever the size of the next blocks.
+        [8, 8, 0.0, 17, 0.0, 60, 60, 1], [2, 2, 0.0, 2, 0.0, 40, 30, 1], [1, 9, 0.0, 1, 0.0, 50, 40, 1], [7, 8, 0.0, 7, 0.0, 25, 25, 1],
+        [3, 60, 0.0, 4, 0.0, 200, 90, 1], [12, 5, 0.0, 9, 0.0, 30, 35, 1], [4, 6, 0.0, 40, 0.0, 22, 45, 1], [15, 3, 0.0, 2, 0.0, 90, 120, 1],
+        # The article's last block, with a line of the footer behind it, and its first ones.
+        [9, 13, 0.0, 9, 0.0, 80, 9, 1], [4, 13, 0.0, 8, 0.0, 70, 8, 1], [2, 10, 0.0, 12, 0.0, 45, 12, 1], [6, 30, 0.0, 7, 0.0, 100, 7, 1],
+        [6, 9, 0.0, 3, 0.0, 9, 120, 1], [4, 12, 0.0, 25, 0.0, 12, 150, 1], [3, 6, 0.0, 3, 0.0, 9, 95, 1], [8, 8, 0.0, 11, 0.0, 8, 130, 1],
+        # Between links and text, behind all text, and in small groups.
+        [9, 1, 1.0, 5, 0.0, 0, 100, 0], [12, 1, 1.0, 8, 0.0, 0, 60, 0], [4, 2, 1.0, 50, 0.0, 0, 200, 0],
+        [7, 50, 0.0, 0, 0.0, 150, 0, 0], [9, 9, 0.0, 0, 0.0, 60, 0, 0], [12, 16, 0.0, 0, 0.0, 40, 0, 0], [8, 90, 0.0, 3, 1.0, 300, 0, 0],
+        [4, 9, 0.0, 6, 0.0, 9, 6, 0], [5, 4, 0.0, 3, 0.0, 10, 8, 0], [6, 5, 0.0, 9, 0.0, 4, 12, 0], [3, 2, 0.0, 4, 0.0, 7, 11, 0],
+    ],
+    dtype=np.float64,
+)
+
+
+def labelled() -> np.ndarray:
+    """Both tables with all features: where nothing more is said, the next blocks are all text there is."""
+    text = [_NEAR[:, i] * (1 - _NEAR[:, i + 1]) for i in (5, 7)]
+    near = np.column_stack([_NEAR[:, :9], *text, _NEAR[:, 9]])
+    plain = np.zeros((len(_SHORT), 4))
+    short = np.column_stack([plain[:, :3], _SHORT[:, 0], plain[:, 3], _SHORT[:, 1:]])
+    return np.concatenate([near, short])
 
 
 class Tree:
@@ -231,29 +327,48 @@ class Tree:
         return at.value
 
 
-# Neighbours (words and density before and after) that the labels of marked blocks do not depend on.
-_NEIGHBOURS = np.array([[0, 0, 0, 0], [1, 1, 1, 1], [90, 0, 90, 0], [90, 0, 2, 1], [2, 1, 90, 0], [6, 0, 6, 0]], dtype=np.float64)
+# Neighbours that the labels of marked blocks and of long plain text do not depend on.
+_NEIGHBOURS = np.array(
+    [
+        [0, 0, 0, 0, 0, 0], [1, 1, 1, 1, 0, 0], [90, 0, 90, 0, 90, 90], [90, 0, 2, 1, 300, 0], [2, 1, 90, 0, 0, 300], [6, 0, 6, 0, 60, 60],
+        [4, 0, 30, 0, 200, 150], [30, 0, 4, 0, 15, 40], [2, 0, 3, 0, 9, 8],
+    ],
+    dtype=np.float64,
+)
+# Words of the next blocks, of which short plain blocks among text do not depend either.
+_NEXT = np.array([[a, b] for a in (1, 4, 9, 40) for b in (1, 4, 9, 40)], dtype=np.float64)
 
 
 def grown() -> Tree:
-    marked = LABELLED[((LABELLED[:, 0] == 1) | (LABELLED[:, 1] == 1)) & ~((LABELLED[:, 4] > 0.8) & (LABELLED[:, 6] > 0.8))]
-    varied = np.repeat(marked, len(_NEIGHBOURS), axis=0)
-    varied[:, 5:9] = np.tile(_NEIGHBOURS, (len(marked), 1))
+    rows = labelled()
+    said = (rows[:, 0] == 1) | (rows[:, 1] == 1)
+    marked = rows[said & ~((rows[:, 4] > 0.8) & (rows[:, 6] > 0.8))]
+    long = rows[~said & (rows[:, 3] >= 30) & (rows[:, 4] <= 0.2) & (rows[:, 11] == 1)]
+    varied = np.repeat(np.concatenate([marked, long]), len(_NEIGHBOURS), axis=0)
+    varied[:, 5:11] = np.tile(_NEIGHBOURS, (len(marked) + len(long), 1))
     linked = varied[:, 4] > 0.8  # lists of links are told from single links by their neighbours
-    rows = np.concatenate([LABELLED, varied[~linked | (varied[:, 0] == 1)]])
+    among = rows[~said & (rows[:, 4] == 0) & (rows[:, 9] >= 20) & (rows[:, 10] >= 20) & (rows[:, 11] == 1)]
+    shifted = np.repeat(among, len(_NEXT), axis=0)
+    shifted[:, [5, 7]] = np.tile(_NEXT, (len(among), 1))
+    rows = np.concatenate([rows, varied[~linked | (varied[:, 0] == 1)], shifted])
     return Tree(rows[:, :-1], rows[:, -1])
 
 
+def features(blocks: list[Block]) -> list[tuple]:
+    """A row of ``FEATURES`` per block."""
+    none = Block("", 0, 0, False, False, False)
+    text = np.cumsum([0, *(b.words - b.linked for b in blocks)]).tolist()
+    rows = []
+    for i, (before, b, after) in enumerate(zip([none, *blocks], blocks, [*blocks[1:], none])):
+        wide = text[i] - text[max(i - _WIDE, 0)], text[min(i + 1 + _WIDE, len(blocks))] - text[i + 1]
+        rows.append((b.aside, b.main, b.heading, b.words, b.density, before.words, before.density, after.words, after.density, *wide))
+    return rows
+
+
 def main_text(page: str, tree: Tree) -> str:
     """The article's blocks in page order, joined by one space."""
     blocks = blocks_of(page)
-    none = Block("", 0, 0, False, False, False)
-    kept = []
-    for before, b, after in zip([none, *blocks], blocks, [*blocks[1:], none]):
-        row = (b.aside, b.main, b.heading, b.words, b.density, before.words, before.density, after.words, after.density)
-        if tree.of(row) > 0.5:
-            kept.append(b.text)
-    return " ".join(kept)
+    return " ".join(b.text for b, row in zip(blocks, features(blocks)) if tree.of(row) > 0.5)
 
 
 def extract(page: Column) -> Column:

@@ -157,6 +157,19 @@ def test_pages_with_nulls(spark):
     assert webpages.with_main_text(pages.limit(0)).collect() == []
 
 
+def test_odd_pages(spark):
+    """Clashing columns, repeated rows with other values, a very long page and deep nesting."""
+    text = "The whole text of a very long page goes on and on. " * 20_000
+    rows = [(1, "u", "<article><p>A text.</p></article>"), (1, "v", "<article><p>A text.</p></article>"), (3, "w", f"<nav>x</nav><p>{text}</p>"),
+            (4, "z", "<div>" * 20_000 + text[:500] + "</div>" * 20_000)]
+    extra = {c: F.lit(7) for c in ("text", "n_chars", "words", "aside", "main", "title")}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(extra)
+    out = webpages.with_main_text(pages)
+    assert sorted(out.columns) == sorted(pages.columns)
+    got = {(r.page_id, r.url): r.text for r in out.collect()}
+    assert got[1, "u"] == got[1, "v"] == "A text." and got[3, "w"] == text.strip() and got[4, "z"] == text[:500].strip()
+
+
 def test_queries_are_registered_under_their_numbers():
     names = [n for n in queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(names) == set(QUERIES)

@@ -110,9 +110,69 @@ def test_article_without_the_rest():
         assert webpages.main_text(odd, tree) in ("", "<")
 
 
+STORY = (
+    "<h1>A day at the lake</h1><p>We left the town early and took the small road along the river to the lake, where the water was still and "
+    "cold, and nobody else had come yet.</p><p>Short, but fine.</p><p>In the afternoon the wind rose, and we had to turn back before the rain "
+    "came over the hills and the road became too muddy to drive on safely.</p>"
+)
+SAID = " ".join(part for part in __import__("re").split(r"<[^>]+>", STORY) if part)
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News and weather</a></li><li><a href=/c>About</a></li></ul>"
+LONG_COMMENT = "<p>" + "I was there too and it was not at all like that, since the road had been closed for a week. " * 12 + "</p>"
+LAYOUTS = {
+    "wrapper with a sidebar": f"<div class='content has-sidebar'><article>{STORY}</article><div class='sidebar'>{MENU}</div></div>",
+    "sharing is on": f"<nav>{MENU}</nav><article class='post share-enabled'>{STORY}</article><footer>2020 Lake News</footer>",
+    "page with a banner": f"<div id='page' class='with-banner'><div class=banner>Buy a boat now</div><main>{STORY}</main></div>",
+    "no adverts": f"<div class='no-ads'><div id=menu>{MENU}</div><div class=story>{STORY}</div></div>",
+    "form around the page": f"<form id=f action=/x><div id=nav>{MENU}</div><div class='text'>{STORY}</div><div class=footer>2020 Lake News</div></form>",
+    "category names": f"<article class='post type-post tag-legal category-comment'>{STORY}</article><div class='related-posts'>{MENU}</div>",
+    "wrapper named like a box": f"<div class='widget'><div class='widget-body'><div class='post-content'>{STORY}</div></div></div><footer>2020</footer>",
+    "comments longer than the article": f"<article>{STORY}</article><section id='comments'><article class='comment-body'>{LONG_COMMENT}</article></section>",
+    "comments in the article": f"<main><article>{STORY}<div class='comment-list'>{LONG_COMMENT}</div></article></main>",
+    "teasers": f"<main>{STORY}</main><aside><article class=teaser><h2>More of it</h2><p>A teaser text about some other lake in another country.</p></article></aside>",
+    "notice around the article": f"<div class='notice'><article>{STORY}</article></div><div id=comments>{LONG_COMMENT}</div>",
+    "role of the main part": f"<div role=navigation>{MENU}</div><div role=main>{STORY}</div><div role=contentinfo>Lake News, all rights</div>",
+    "hidden part": f"<article>{STORY}<div style='display: none'>You have read all free stories.</div></article><div aria-hidden=true>Wait</div>",
+    "only plain elements": f"<div><div><a href=/a>Home</a></div><div><a href=/b>News</a></div></div>{STORY}<div>2020 <a href=/p>Privacy</a></div>",
+    "no marks at all": f"<ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul><div>{STORY}</div><div><a href=/t>Terms</a></div>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_the_article_survives_its_wrappers(name):
+    page = f"<!DOCTYPE html><html><head><title>No</title></head><body class='sidebar post-template'>{LAYOUTS[name]}</body></html>"
+    assert webpages.main_text(page, webpages.grown()) == SAID
+
+
+@pytest.mark.parametrize(
+    ("names", "says"),
+    [("comment-list commentBody reply_form", 2), ("sidebar site-footer ad_slot-2 share", 1), ("entry-content postBody", 3),
+     ("has-sidebar no-ads with-banner tag-legal category-comment share-enabled x", 0)],
+)
+def test_names_of_elements(names, says):
+    assert {webpages._named(n) for n in names.split()} == {says}
+
+
+def test_plain_pages_of_the_table():
+    """The table's pages with all block elements made plain: neighbours alone decide."""
+    import html
+    import re
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    tree, counts = webpages.grown(), Counter()
+    for page in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist():
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        want = Counter(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|h1|br)>", " ", inner))).split())
+        plain = re.sub(r"<(/?)(?:nav|ul|li|article|h1|p|footer|div)\b[^>]*>", r"<\1div>", page)
+        got = Counter(webpages.main_text(plain, tree).split())
+        counts.update(both=(want & got).total(), got=got.total(), want=want.total(), empty=not got)
+    assert counts["both"] >= 0.99 * counts["got"] and counts["both"] >= 0.99 * counts["want"] and not counts["empty"]
+
+
 def test_tree_fits_its_table():
     tree = webpages.grown()
-    marked = webpages.LABELLED
+    marked = webpages.labelled()
     assert all((tree.of(tuple(row[:-1])) > 0.5) == bool(row[-1]) for row in marked)
 
 
