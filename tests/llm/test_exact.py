@@ -216,6 +216,109 @@ def test_leaks_equal_all_alignments(spark):
     assert got == want and len(want) > 20
 
 
+def slow_overlaps(words, item, shift):
+    """All stretches tried one by one: the longest with equal ends and 80 % equal words, then beside it."""
+    least = min(decontaminate.MIN_WORDS, len(item))
+    same = {i: item[i] == words[i + shift] for i in range(max(0, -shift), min(len(item), len(words) - shift))}
+
+    def inside(lo, hi):
+        best = None
+        for end in range(hi, lo, -1):
+            for a in range(lo, end - least + 1):
+                if same[a] and same[end - 1] and 5 * sum(same[i] for i in range(a, end)) >= 4 * (end - a):
+                    if best is None or end - a > best[1] - best[0]:
+                        best = (a, end)
+                    break
+        if best is None:
+            return []
+        a, b = best
+        return [*inside(lo, a), (a, b, sum(same[i] for i in range(a, b))), *inside(b, hi)]
+
+    return inside(min(same), max(same) + 1) if sum(same.values()) >= 0.8 * least else []
+
+
+def all_overlaps(texts, items):
+    rows = set()
+    for i, text in enumerate(texts):
+        words = decontaminate.words_of(text)
+        for ids, item in items:
+            for shift in range(1 - len(item), len(words)):
+                for a, b, n in slow_overlaps(words, item, shift):
+                    rows.add((i, ids, a + shift, b + shift, b - a, n))
+    return rows
+
+
+def found_overlaps(spark, texts, benchmark):
+    out = decontaminate.leaks(frame(spark, texts), benchmark).collect()
+    rows = [(r.doc_id, tuple(r.item_ids), r.doc_start, r.doc_end, r.n_overlap, r.n_equal) for r in out]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def items_of(spark, texts):
+    rows = list(enumerate(texts, 1))
+    return spark.createDataFrame(rows, "item_id long, text string"), [((i,), decontaminate.words_of(t)) for i, t in rows]
+
+
+@pytest.mark.parametrize("common", [0, 1_000_000])
+def test_overlap_rows_equal_all_diagonals(spark, monkeypatch, common):
+    """Every row, with seeds that many items share (all of them, or none)."""
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.choice([6, 7, 9, 10, 11, 12, 15, 15, 16, 20, 25, 31, 45]))) for _ in range(30)]
+    texts = []
+    for _ in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(items).split()
+            for j in rng.sample(range(len(part)), int(len(part) * rng.choice([0, 0.1, 0.2]))):
+                part[j] = rng.choice(["zzq", rng.choice(vocabulary)])
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        texts.append(" ".join(words))
+    benchmark, listed = items_of(spark, items)
+    want = all_overlaps(texts, listed)
+    assert found_overlaps(spark, texts, benchmark) == want and len(want) > 40
+
+
+def test_no_placement_of_substitutions_is_lost():
+    for masks in (decontaminate.MASKS, decontaminate.wide_masks()):
+        for words, wrong in decontaminate.TRIED:
+            assert not len(decontaminate.uncovered(masks, words, wrong))
+    assert {m.count("1") for m in decontaminate.wide_masks()} == {decontaminate.WIDE}
+    # A short item with equal ends: one of the pieces of three words is untouched.
+    for n in range(decontaminate.SHORTEST, decontaminate.MIN_WORDS):
+        left = decontaminate.uncovered([decontaminate.SHORT_MASK], n, n // 5)
+        assert all(x & 1 or x >> (n - 1) & 1 for x in left.tolist())
+
+
+def test_two_copies_give_two_rows_and_a_long_item_changes_none(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    texts = [f"{' '.join(f'a{i}' for i in range(9))} {item} {' '.join(f'b{i}' for i in range(20))} {item} end", "nothing of it here"]
+    benchmark, _ = items_of(spark, [item])
+    rows = {(0, (1,), 9, 29, 20, 20), (0, (1,), 49, 69, 20, 20)}
+    assert found_overlaps(spark, texts, benchmark) == rows
+    long = " ".join(f"long{i}" for i in range(5_000))
+    longer, _ = items_of(spark, [item, long])
+    assert found_overlaps(spark, texts, longer) == rows
+
+
+def test_items_of_one_opening(spark):
+    """2,000 items that start alike: documents with the opening alone give no candidates."""
+    opening = "which of the following is the best known"
+    items = [f"{opening} {' '.join(f'x{i}y{j}' for j in range(12))}" for i in range(2_000)]
+    benchmark, _ = items_of(spark, items)
+    texts = [f"so {opening} answer number {i} to that" for i in range(300)] + [f"and {items[7]} or so", " ".join(items[9].split()[:11]) + " cut off"]
+    found_items, _ = decontaminate._items(benchmark)
+    seeds = decontaminate.benchmark_seeds(found_items).persist()
+    docs = frame(spark, texts).select("doc_id", F.md5("text").alias("same"), "text")
+    found = decontaminate.scan(docs, decontaminate._filter_bits(seeds), 40).persist()
+    assert found.count() == len(texts)
+    assert decontaminate._candidates(found_items, seeds, found).count() <= 2
+    assert found_overlaps(spark, texts, benchmark) == {(300, (8,), 1, 21, 20, 20)}
+
+
 # ---- personal data ---------------------------------------------------------------------------
 
 BASE = {
