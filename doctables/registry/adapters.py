@@ -185,20 +185,23 @@ def landed_copies(spark: SparkSession, sf: str) -> DataFrame:
     return pages.unionByName(older).unionByName(newer).drop("page_id")
 
 
-def supplier_files(spark: SparkSession, sf: str) -> DataFrame:
-    """A file per supplier: its name, in folders by nation and tens of keys, and its size in bytes."""
-    key = F.col("s_suppkey")
-    folder = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), (key % 10).cast("string"))
-    name = F.concat(folder, F.lit("/Supplier, "), key.cast("string"), F.when(key % 3 == 0, ".txt").otherwise(".pdf"))
-    return table(spark, sf, "supplier").select(name.alias("name"), F.encode(F.repeat("s_name", (key % 4).cast("int")), "UTF-8").alias("content"))
+def group_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per fifty vectors: their ids, in folders by two rules; every fourth file is empty."""
+    g = F.col("g")
+    groups = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 50).alias("g")).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    folder = F.concat(F.lit("n"), (g % 25).cast("string"), F.lit("/"), (g % 10).cast("string"))
+    name = F.concat(folder, F.lit("/Group, "), g.cast("string"), F.when(g % 3 == 0, ".txt").otherwise(".pdf"))
+    text = F.when(g % 4 != 0, F.array_join(F.col("ids").cast("array<string>"), ",")).otherwise("")
+    return groups.select(name.alias("name"), F.encode(text, "UTF-8").alias("content"))
 
 
 def bitmap_files(spark: SparkSession, sf: str) -> DataFrame:
-    """An uncompressed image of 4 x 2 pixels per supplier; every ninth file is no image."""
-    key = F.col("s_suppkey")
+    """An uncompressed image of 4 x 2 pixels per fifty vectors; every ninth file is no image."""
+    g = F.col("g")
+    groups = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 50).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     # Headers of a bitmap file with 24 bits a pixel and rows from the bottom up.
     header = "424D" + "4E000000" + "00000000" + "36000000" + "28000000" + "04000000" + "02000000" + "01001800" + "00000000" + "18000000" + "00" * 16
-    shades = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.lpad(F.hex((key + i) % 256), 2, "0"))
+    shades = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.lpad(F.hex((g + F.col("n") + i) % 256), 2, "0"))
     image = F.unhex(F.concat(F.lit(header), F.array_join(shades, "")))
-    name = F.concat(F.lit("Doc, "), F.floor(key / 10).cast("string"), F.lit("_page_"), (key % 10 + 1).cast("string"), F.lit(".bmp"))
-    return table(spark, sf, "supplier").select(name.alias("name"), F.when(key % 9 == 0, F.encode(F.lit("no image"), "UTF-8")).otherwise(image).alias("content"))
+    name = F.concat(F.lit("Doc, "), F.floor(g / 10).cast("string"), F.lit("_page_"), (g % 10 + 1).cast("string"), F.lit(".bmp"))
+    return groups.select(name.alias("name"), F.when(g % 9 == 0, F.encode(F.lit("no image"), "UTF-8")).otherwise(image).alias("content"))

@@ -816,7 +816,7 @@ def catalog_file(spark, sf):
 def stored_files(spark, sf):
     """Files of any size and what is read of them; Spark's reader leaves out files without bytes."""
     folder = _folder(spark, "files")
-    manifest = _written(A.supplier_files(spark, sf), folder)
+    manifest = _written(A.group_files(spark, sf), folder)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     read = reader.select(_relative("path", folder), F.md5("content").alias("content_md5"))
     return manifest.join(read, "name", "left").select("name", "n_bytes", "status", "content_md5")
@@ -826,7 +826,7 @@ def stored_files(spark, sf):
 def tree_listing(spark, sf):
     """A tree of folders, listed level by level in tasks."""
     folder = _folder(spark, "tree")
-    _written(A.supplier_files(spark, sf), folder)
+    _written(A.group_files(spark, sf), folder)
     listed = sources.list_tree(spark, folder, scratch(spark, "listing"), ".pdf")
     return listed.select(_relative("path", folder), "file_name", "n_bytes")
 

@@ -401,20 +401,21 @@ ORACLE["tables_table"] = _with(RAW, CLASSED, KEPT) + f"SELECT doc || '.pdf' AS f
 
 # ---- written and read back -------------------------------------------------------------------
 
-SUPPLIERS = """suppliers AS (
-  SELECT 'n' || s_nationkey || '/' || s_suppkey % 10 || '/Supplier, ' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.txt' ELSE '.pdf' END AS name,
-    repeat(s_name, (s_suppkey % 4)::BIGINT) AS content FROM supplier)"""
+GROUPS = """counted AS (SELECT vec_id // 50 AS g, count(*) AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids FROM embeddings GROUP BY 1),
+groups AS (
+  SELECT 'n' || g % 25 || '/' || g % 10 || '/Group, ' || g || CASE WHEN g % 3 = 0 THEN '.txt' ELSE '.pdf' END AS name,
+    CASE WHEN g % 4 <> 0 THEN ids ELSE '' END AS content FROM counted)"""
 ORACLE["catalog_file"] = ORACLE["catalog_scan"]
-ORACLE["stored_files"] = _with(SUPPLIERS) + """SELECT name, strlen(content) AS n_bytes, 'written' AS status,
-  CASE WHEN content <> '' THEN md5(content) END AS content_md5 FROM suppliers"""
-ORACLE["tree_listing"] = _with(SUPPLIERS) + """SELECT name, split_part(name, '/', 3) AS file_name, strlen(content) AS n_bytes
-FROM suppliers WHERE name LIKE '%.pdf'"""
+ORACLE["stored_files"] = _with(GROUPS) + """SELECT name, strlen(content) AS n_bytes, 'written' AS status,
+  CASE WHEN content <> '' THEN md5(content) END AS content_md5 FROM groups"""
+ORACLE["tree_listing"] = _with(GROUPS) + """SELECT name, split_part(name, '/', 3) AS file_name, strlen(content) AS n_bytes
+FROM groups WHERE name LIKE '%.pdf'"""
 # The file has the lower row first.
-ORACLE["image_scan"] = """SELECT 'Doc, ' || s_suppkey // 10 || '_page_' || (s_suppkey % 10 + 1) || '.bmp' AS name,
-  CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 2 END::INTEGER AS height, CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 4 END::INTEGER AS width,
-  CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 3 END::INTEGER AS "nChannels",
-  CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE string_agg(printf('%02X', ((s_suppkey + (i + 12) % 24) % 256)::INTEGER), '' ORDER BY i) END AS pixels
-FROM supplier CROSS JOIN (SELECT unnest(range(0, 24)) AS i) GROUP BY s_suppkey"""
+ORACLE["image_scan"] = _with(GROUPS) + """SELECT 'Doc, ' || g // 10 || '_page_' || (g % 10 + 1) || '.bmp' AS name,
+  CASE WHEN g % 9 = 0 THEN -1 ELSE 2 END::INTEGER AS height, CASE WHEN g % 9 = 0 THEN -1 ELSE 4 END::INTEGER AS width,
+  CASE WHEN g % 9 = 0 THEN -1 ELSE 3 END::INTEGER AS "nChannels",
+  CASE WHEN g % 9 = 0 THEN '' ELSE string_agg(printf('%02X', ((g + n + (i + 12) % 24) % 256)::INTEGER), '' ORDER BY i) END AS pixels
+FROM counted CROSS JOIN (SELECT unnest(range(0, 24)) AS i) GROUP BY g, n"""
 ORACLE["results_file"] = ORACLE["parse_detections"]
 ORACLE["lookup_stored"] = ORACLE["lookup_by_path"]
 ORACLE["pending_manifest"] = ORACLE["pending_pages"]
