@@ -103,24 +103,33 @@ class Voters:
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    # Score of texts without terms, which no vector is like.
+    empty: float = 0.0
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among the nearest labelled vectors."""
         if not len(self.labels):
-            return np.full(len(rows), 0.5)
+            return np.where(rows.any(axis=1), 0.5, self.empty)
         cosine = _unit(rows @ self.projection) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
-        return np.where(total > 0, vote, self.labels.mean())
+        return np.where(total > 0, vote, np.where(rows.any(axis=1), self.labels.mean(), self.empty))
 
 
 def voters(rows: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Voters:
-    """Fit on term vectors. The decomposition is a subspace iteration from a fixed start."""
+    """Fit on term vectors. The decomposition is a subspace iteration from a fixed start.
+
+    Vectors without terms have an answer of their own: their share of label 1, where one more of label 0
+    stands for there being nothing to keep.
+    """
+    worded = rows.any(axis=1)
+    empty = float(labels[~worded].sum()) / (int((~worded).sum()) + 1)
+    rows, labels = rows[worded], labels[worded]
     if not len(rows):
-        return Voters(np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return Voters(np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), empty)
     inverse = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1
     inverse[_SHAPES:] *= _WORD_WEIGHT
     weighted = rows * inverse.astype(np.float32)
@@ -130,7 +139,7 @@ def voters(rows: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Voters:
     _, _, right = np.linalg.svd(weighted @ basis, full_matrices=False)
     axes = (basis @ right.T)[:, :rank]
     projection = (inverse[:, None] * axes).astype(np.float32)
-    return Voters(projection, _unit(rows @ projection), labels.astype(np.float64))
+    return Voters(projection, _unit(rows @ projection), labels.astype(np.float64), empty)
 
 
 def term_vectors(text: Column) -> Column:
@@ -166,7 +175,7 @@ def sampled(labelled: DataFrame, label: str, size: int) -> DataFrame:
 def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Voters:
     """Learn from ``labelled`` (``doc_id`` and the label); ids without a document count for nothing.
 
-    Of repeated ids one text is taken. Without labelled documents every score is 0.5.
+    Of repeated ids one text is taken. Without labelled documents every text with words has the score 0.5.
     """
     chosen = F.broadcast(sampled(labelled, label, sample))  # ``sample`` rows of two numbers
     texts = docs.select("doc_id", whole_text().alias("text")).join(chosen, "doc_id")
@@ -181,10 +190,11 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", sample: in
 def score(docs: DataFrame, model: Voters, column: str = "score") -> DataFrame:
     """Add the score of every whole text, 0 to 1; a column of that name is replaced.
 
-    A null text is an empty one, and empty texts get the vote of no similar document: the share of
-    label 1 in the sample. Equal texts get equal scores. An empty table stays empty.
+    A null text is an empty one. Texts without words have a score of their own, learned from the sample's
+    texts without words; where there are none it is 0. A text with words that is like no labelled one
+    gets the sample's share of label 1. Equal texts get equal scores. An empty table stays empty.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.projection, model.vectors, model.labels))
+    sent = docs.sparkSession.sparkContext.broadcast((model.projection, model.vectors, model.labels, model.empty))
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,7 +8,9 @@ spaces, are overlapping pieces that are words of their own. The network reads wi
 Training sees at most ``SAMPLE`` labelled documents of at most ``SAMPLE_CHARS`` characters, half of
 each label where there are enough. A label does not say which window is meant, so training starts
 with the window whose words are most telling by their counts, and goes on with the window that the
-network itself finds worst.
+network itself finds worst. Embeddings start at the log-odds of their rows; rows of few documents are
+not learned, and words often go without their own embedding, so that a small sample is not learned by
+heart.
 """
 
 from __future__ import annotations
@@ -32,16 +34,24 @@ SAMPLE_CHARS = 20_000
 WINDOW = 64
 STRIDE = 48
 THRESHOLD = 0.3
-WORD_ROWS, WORD_SIZE = 4_096, 8
-CHAR_ROWS, CHAR_SIZE = 16_384, 16
+WORD_ROWS, WORD_SIZE = 16_384, 4
+CHAR_ROWS, CHAR_SIZE = 32_768, 16
 GRAMS = (3, 4, 5)
 HIDDEN = 12
 # Rounds over the chosen windows, before and after the network chooses them, and the least number
 # of batches of each: a small sample is gone through more often.
-EPOCHS = (5, 3)
-LEAST_BATCHES = (240, 150)
+EPOCHS = (12, 6)
+LEAST_BATCHES = (48, 24)
 BATCH = 96
 SEED = 11
+RATE = 0.01
+# Embeddings of rows that fewer documents have are zero and stay so: they would learn documents by heart.
+LEAST_DOCS = 3
+# Documents at which a row's log-odds count half, and their scale in the embedding.
+TRUST = 8
+SCALE = 0.3
+# Share of a batch's words whose own embedding is left out in training, so that their n-grams learn.
+DROP = 0.4
 # Windows and words that a scoring task works on at a time, and words that it remembers.
 WINDOWS_AT_ONCE = 2_048
 _CACHE = 150_000
@@ -90,6 +100,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _summed(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by row."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 @dataclass
 class Network:
     """Weights by name; directions ``f`` and ``b`` have their own recurrent weights."""
@@ -162,12 +183,15 @@ class Network:
         states = np.concatenate([self._run("f", x[:, :, :g], there), self._run("b", x[:, :, g:], there)], axis=2)
         return _sigmoid(self._pool(states, there)[3])
 
-    def gradients(self, words: list[str], at: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy of windows over ``words``, and its gradients."""
+    def gradients(self, words: list[str], at: np.ndarray, y: np.ndarray, keep: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy of windows over ``words``, and its gradients. ``keep`` is 0 for words whose
+        own embedding is left out."""
         w, there = self.w, (at >= 0).T
         rows, begins = gram_rows(words)
         of_word = word_rows(words)
         x_words = self.inputs(words)
+        if keep is not None:
+            x_words[:, :WORD_SIZE] *= keep[:, None]
         x = x_words[np.maximum(at, 0).T]
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate(
@@ -205,13 +229,12 @@ class Network:
             grad["c" + d] = d_gates.sum(axis=(0, 1))
             grad["x" + d] = np.einsum("tne,tng->eg", x, d_gates)
             d_x += d_gates @ w["x" + d].T
-        d_word = np.zeros_like(x_words)
-        np.add.at(d_word, at.T[there], d_x[there])
-        grad["words"] = np.zeros_like(w["words"])
-        np.add.at(grad["words"], of_word, d_word[:, :WORD_SIZE])
+        d_word = _summed(d_x[there], at.T[there], len(words))
+        if keep is not None:
+            d_word[:, :WORD_SIZE] *= keep[:, None]
+        grad["words"] = _summed(d_word[:, :WORD_SIZE], of_word, WORD_ROWS)
         n = np.diff(begins)
-        grad["chars"] = np.zeros_like(w["chars"])
-        np.add.at(grad["chars"], rows, np.repeat(d_word[:, WORD_SIZE:] / np.maximum(n, 1)[:, None], n, axis=0))
+        grad["chars"] = _summed(np.repeat(d_word[:, WORD_SIZE:] / np.maximum(n, 1)[:, None], n, axis=0), rows, CHAR_ROWS)
         return loss, grad
 
 
@@ -258,6 +281,29 @@ def _telling(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
     return {w: max((odds.get(m, -9.0) for m in marks(w)), default=-9.0) for words in docs for w in set(words)}
 
 
+def _odds(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Log-odds of rows by the documents of either label that have them; few documents say little."""
+    odds = np.log((counts[1] + 0.5) / (total[1] + 1)) - np.log((counts[0] + 0.5) / (total[0] + 1))
+    return odds * counts.sum(axis=0) / (counts.sum(axis=0) + TRUST)
+
+
+def _informed(net: Network, docs: list[list[str]], labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Start the first entry of every embedding at its row's log-odds; returns the rows that are learned."""
+    total = np.bincount(labels.astype(int), minlength=2)
+    of_words, of_chars = np.zeros((2, WORD_ROWS)), np.zeros((2, CHAR_ROWS))
+    for words, label in zip(docs, labels.astype(int).tolist()):
+        if words:
+            distinct = list(set(words))
+            of_words[label, np.unique(word_rows(distinct))] += 1
+            of_chars[label, np.unique(gram_rows(distinct)[0])] += 1
+    known = {}
+    for name, counts in (("words", of_words), ("chars", of_chars)):
+        known[name] = (counts.sum(axis=0) >= LEAST_DOCS)[:, None]
+        net.w[name][:, 0] = SCALE * _odds(counts, total)
+        net.w[name] *= known[name]
+    return known
+
+
 def train(texts: list[str], labels: np.ndarray) -> Network:
     """Fit on documents with a label 0 or 1 each. The same documents give the same network."""
     net = Network.fresh()
@@ -267,8 +313,9 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
         return net
     docs = [words_of(t) for t in texts]
     telling = _telling(docs, labels)
+    known = _informed(net, docs, labels)
     rng = np.random.default_rng(SEED)
-    optimizer = _Adam(net.w, 0.015)
+    optimizer = _Adam(net.w, RATE)
 
     def window(words: list[str], start: int) -> list[str]:
         return words[start : start + WINDOW]
@@ -294,7 +341,10 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
                 at = _padded([[index.setdefault(w, len(index)) for w in words] for words, _ in some])
                 if not index:
                     continue
-                _, grad = net.gradients(list(index), at, np.array([y for _, y in some], dtype=np.float32))
+                keep = (rng.random(len(index)) >= DROP).astype(np.float32)
+                _, grad = net.gradients(list(index), at, np.array([y for _, y in some], dtype=np.float32), keep)
+                for name, mask in known.items():
+                    grad[name] *= mask
                 optimizer.step(grad)
         optimizer.rate /= 3
     return net

@@ -80,6 +80,42 @@ def test_quality_held_out(spark):
     assert sum(good) / len(good) > 0.97
 
 
+def test_toxicity_held_out(spark):
+    """Learned from 36 toxic documents. Of the 14 held-out ones, five have no word in common with those."""
+    rows = QUERIES["op9_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    held = rows.filter("held_out").select("toxic", "predicted").collect()
+    assert sum(r.toxic for r in held) == 14
+    assert sum(r.predicted for r in held if r.toxic == 1) >= 7
+    assert sum(r.predicted for r in held if r.toxic == 0) <= 2
+
+
+def test_rows_of_few_documents_are_not_learned():
+    docs = [["bad", "good", f"own{i}"] if i % 2 else ["good", f"own{i}"] for i in range(40)]
+    net = toxicity.train([" ".join(d) for d in docs], np.arange(40) % 2)
+    rows = toxicity.word_rows([f"own{i}" for i in range(40)])
+    several = {r for r in rows.tolist() if rows.tolist().count(r) >= toxicity.LEAST_DOCS} | set(toxicity.word_rows(["bad", "good"]).tolist())
+    assert not net.w["words"][[r for r in rows.tolist() if r not in several]].any()
+    odds = net.w["words"][toxicity.word_rows(["bad", "good"])]
+    assert odds[0].any() and odds[1].any()
+
+
+def test_texts_without_words_have_their_own_answer(spark):
+    rows = np.abs(np.random.default_rng(4).standard_normal((9, quality.DIMENSIONS))).astype(np.float32)
+    nothing = np.zeros((1, quality.DIMENSIONS), np.float32)
+    for labels, share in (([1] * 9, 0.0), ([1] * 6 + [0] * 3, 0.0)):
+        assert quality.voters(rows, np.array(labels)).score(nothing)[0] == share
+    few = rows.copy()
+    few[6:] = 0  # three labelled texts without words
+    for labels, share in (([1] * 9, 0.75), ([1] * 6 + [0] * 3, 0.0), ([1] * 7 + [0] * 2, 0.25)):
+        model = quality.voters(few, np.array(labels))
+        assert model.score(nothing)[0] == share and len(model.labels) == 6
+    sf = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n\t ")], "doc_id long, text string")
+    labelled = spark.read.parquet(f"{SF}/labels.parquet")
+    scored = quality.score(odd, quality.fit(sf, labelled)).collect()
+    assert [r.score for r in scored] == [0.0] * 3 and quality.THRESHOLD > 0
+
+
 def test_votes_do_not_depend_on_blocks():
     rng = np.random.default_rng(2)
     rows = np.abs(rng.standard_normal((80, quality.DIMENSIONS))).astype(np.float32)
