@@ -6,7 +6,9 @@ starts with a run of characters is only tried at the head of the run.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,13 +20,13 @@ from doctables.llm.common import whole_text
 # The kinds in the order in which spans with one start are listed. The first four are
 # found by pattern and check alone; the others need the least score.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 LEAST_SCORE = 0.5
 # Characters before and after a span in which context words are looked for.
 CONTEXT = 48
 
 # Score of a confirmed span, and words near it that raise or lower it by a quarter.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.6, "ssn": 0.3, "secret": 0.3}
 SUPPORT = {
     "email": "email e-mail mail contact correo courriel",
     "ip": "ip address server host client adresse",
@@ -32,6 +34,7 @@ SUPPORT = {
     "phone": "phone tel telephone call mobile fax telefon téléphone teléfono",
     "iban": "iban account bank konto compte cuenta",
     "ssn": "ssn social security insurance taxpayer",
+    "secret": "token secret password passwd key apikey api auth authorization bearer credential credentials",
 }
 AGAINST = {
     "ip": "version release section chapter kapitel",
@@ -39,13 +42,28 @@ AGAINST = {
     "phone": "isbn order serial",
     "iban": "serial part model",
     "ssn": "part model order serial isbn",
+    "secret": "commit checksum digest sha md5 hash revision",
 }
+# The length of account numbers by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
+# Least bits a sign of a secret.
+SECRET_ENTROPY = 3.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
+_IBANS = {n: re.compile(rf"(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}(?: ?[A-Z0-9]{{{(n - 4) % 4}}})?(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ANY = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -103,13 +121,24 @@ def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 9 <= len(_digits(m.group())) <= 15:
             yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        account = m.group().replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end()
+    for m in _IBAN_HEAD.finditer(text):
+        length = IBAN_LENGTHS.get(m[1])
+        rest = _IBANS[length].match(text, m.end()) if length else None
+        if rest and len(account := text[m.start() : rest.end()].replace(" ", "")) == length and mod97(account):
+            yield "iban", m.start(), rest.end()
     for m in _SSN.finditer(text):
         if m.group()[:3] not in ("000", "666") and m.group()[0] != "9" and m.group()[4:6] != "00" and m.group()[7:] != "0000":
             yield "ssn", m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        if random_signs(m.group()):
+            yield "secret", m.start(), m.end()
+
+
+def random_signs(run: str) -> bool:
+    """Letters and digits, of which none is much more frequent than the others."""
+    counts = Counter(run).values()
+    entropy = -sum(n / len(run) * math.log2(n / len(run)) for n in counts)
+    return entropy >= SECRET_ENTROPY and any(map(str.isdigit, run)) and any(map(str.isalpha, run))
 
 
 def scored_spans(text: str) -> list[tuple[str, int, int, float]]:
@@ -148,7 +177,8 @@ def spans(text: Column) -> Column:
 def find(docs: DataFrame, column: str = "spans") -> DataFrame:
     """Add the spans of every whole text; a column of that name is replaced.
 
-    A null or empty text has an empty list. Rows are neither added nor dropped; equal texts have
+    A null or empty text has an empty list. Spans of the first four kinds are always there, whatever
+    their score; the others need ``LEAST_SCORE``, so words nearby decide. Rows are neither added nor dropped; equal texts have
     equal spans; an empty table stays empty. Spans of different kinds may overlap.
     """
     return docs.withColumn(column, spans(whole_text()))

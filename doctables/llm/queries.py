@@ -50,7 +50,9 @@ def op2_pii(spark, sf):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, _sha(_span_list(pii.BASE_KINDS)).alias("base_sha256"), _span_list(pii.KINDS).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
+    lists = _sha(_span_list(pii.BASE_KINDS)).alias("base_sha256"), _span_list(pii.KINDS).alias("spans"), scores.alias("scores")
+    return found.select("doc_id", *counts, *lists)
 
 
 @query

@@ -362,6 +362,38 @@ def test_checks_and_context():
     assert pii.redacted_text("mail a@b.co, call +1 (555) 123-4567!") == "mail [EMAIL], call [PHONE]!"
 
 
+@pytest.mark.parametrize("after", ["", " THIS is", " this is", ".", " 12 more", " AB12 CD34", "\nNEXT"])
+def test_accounts_end_with_their_country_s_length(after):
+    for account in ("BE68 5390 0754 7034", "BE68539007547034", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        text = f"account {account}{after}"
+        assert [(s[0], text[s[1] : s[2]]) for s in pii.scored_spans(text) if s[0] == "iban"] == [("iban", account)]
+    for wrong in ("BE68 5390 0754 7035", "XX68 5390 0754 7034", "BE68 5390 0754 703", "BE68 5390 0754 70341", "ABE68 5390 0754 7034"):
+        assert not [s for s in pii.scored_spans(f"account {wrong}{after}") if s[0] == "iban"]
+
+
+def test_context_decides():
+    account, number, run = "BE68 5390 0754 7034", "123-45-6789", "9f3A77c0b1e84d52aa61" * 2
+    kinds = lambda text: [s[0] for s in pii.scored_spans(text) if s[0] not in pii.BASE_KINDS]
+    assert kinds(f"see {account} there") == ["iban"] and kinds(f"part model {account} in stock") == []
+    assert kinds(f"bank account, part 2: {account}") == ["iban"]
+    assert kinds(f"ssn {number}") == ["ssn"] and kinds(f"see {number}") == [] and kinds(f"ssn, order {number}") == []
+    assert kinds(f'token = "{run}"') == ["secret"] and kinds(f"see {run}") == [] and kinds(f"token commit {run}") == []
+    assert kinds("token = aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1") == [] and kinds(f"password {'x' * 40}") == []
+    # The first four kinds stay whatever their score.
+    (span,) = pii.scored_spans("version section 1.2.3.4 of it")
+    assert span[0] == "ip" and span[3] < pii.LEAST_SCORE
+    for kind, words in pii.AGAINST.items():
+        assert pii.SCORES[kind] - 0.25 < pii.LEAST_SCORE or kind in pii.BASE_KINDS, (kind, words)
+
+
+def test_scores_stand_beside_the_spans(spark):
+    from doctables.llm.queries import QUERIES
+
+    rows = QUERIES["op2_pii"](spark, "/root/testdata/sf0.001").filter("spans <> ''").collect()
+    assert rows and all(len(r.spans.split(",")) == len(r.scores.split(",")) for r in rows)
+    assert all(0 <= float(s) <= 1 for r in rows for s in r.scores.split(","))
+
+
 # ---- licenses --------------------------------------------------------------------------------
 
 
