@@ -1,17 +1,20 @@
 """Quality rules on words, and tokenizer fertility with rejection bands per language.
 
-A public vocabulary with byte fallback encodes each word once per task. Characters per token, the
-share of tokens that are single bytes, and the entropy of the tokens (against that of as many
-different tokens) describe a text. A band is set by the quartiles of all documents of one language
-and about one length that pass the word rules, so it follows the data and needs no list of languages.
-Where these are few, documents of the nearest lengths in all languages set it, so every text is judged.
+Public vocabularies encode each word once per task, in batches. For each of them, characters per token,
+the share of tokens that are single bytes or broken characters, and the entropy of the tokens (against
+that of as many different tokens) describe a text. A band is set by the quartiles of all documents of
+one language and about one length that pass the word rules, so it follows the data and needs no list of
+languages. Where these are few, documents of the nearest lengths in all languages set it, so every text is judged.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.llm.common import stored, whole_text
+from doctables.operators.lookup import lookup_join
 
 # Fixed values of the word rules.
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SYMBOL = re.compile(r"[#*$%&|<>]")
+_SPACES = " \t\n\x0b\x0c\r"
+_SYMBOLS = "#*$%&|<>"
 # A band reaches so many interquartile ranges beyond the quartiles, and at least so much of the
 # median. Only what speaks against a text is bounded: few characters per token, many bytes, and
 # little variety.
@@ -36,24 +41,33 @@ FREE_BYTE_SHARE = 0.02
 # A group with fewer documents than this is judged by the bands of its length in all languages, for
 # which a length with fewer takes in the nearest ones until there are as many, or all.
 MIN_DOCUMENTS = 50
+# Rows from which on a language and length can be hot.
+MIN_HOT = 1_000
+# Words that a task remembers, and characters of the texts that it encodes at once.
 _CACHE = 300_000
+CHUNK_CHARS = 1_000_000
 
-RULES = pa.struct(
-    [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")]
-    + [(n, pa.float64()) for n in ("chars_per_token", "byte_share", "entropy")]
-)
-_RULES_DDL = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_tokens:long,chars_per_token:double,byte_share:double,entropy:double>"
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_PER_VOCABULARY = ("chars_per_token", "byte_share", "entropy")
 
 
-def repeated_words(words: list[str]) -> int:
+def measure_names(vocabularies: int) -> list[str]:
+    """The token measures; those of the second vocabulary end in 2, and so on."""
+    return [name + (str(i + 1) if i else "") for i in range(vocabularies) for name in _PER_VOCABULARY]
+
+
+def repeated_words(words: Sequence[Hashable]) -> int:
     """Words in windows of eight that are found twice or more, the first one included."""
+    index: dict[Hashable, int] = {}
+    return repeated_numbers(np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64))
+
+
+def repeated_numbers(words: np.ndarray) -> int:
+    """The same of words given by numbers."""
     n = len(words) - WINDOW + 1
-    if n < 2:
-        return 0
-    index: dict[str, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for w in words], dtype=np.uint64)
-    if len(index) == len(words):
+    if n < 2 or len(np.unique(words)) == len(words):
         return 0
+    ids = words.astype(np.uint64)
     h = np.zeros(n, dtype=np.uint64)
     for i in range(WINDOW):
         h = (h + ids[i : i + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -76,88 +90,162 @@ def duplicate_lines(text: str) -> int:
     return sum(n - 1 for line, n in counts.items() if n > 1 and _WORD.search(line))
 
 
-class Fertility:
-    """Token measures of texts by a sentencepiece model; remembers words, up to a bound."""
+def sentence_pieces(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
+    """Encoder of words by a sentencepiece model, and which of its tokens are single bytes."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    single = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+    return lambda words: model.encode(words, num_threads=1), single
+
+
+def byte_pairs(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
+    """Encoder of words by ranks of byte pairs, and which of its tokens are no whole characters."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+    broken = np.zeros(max(ranks.values()) + 1, bool)
+    for piece, rank in ranks.items():
+        try:
+            piece.decode()
+        except UnicodeDecodeError:
+            broken[rank] = True
+    # Runs of letters, of digits, and of other signs.
+    model = tiktoken.Encoding("words", pat_str=r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+", mergeable_ranks=ranks, special_tokens={})
+    return lambda words: list(map(model.encode_ordinary, words)), broken
+
+
+class Vocabulary:
+    """Tokens of numbered words: those of word i are ``tokens[first[i] : first[i + 1]]``."""
 
     def __init__(self, path: str) -> None:
-        from sentencepiece import SentencePieceProcessor
-
-        self._model = SentencePieceProcessor(model_file=path)
-        size = self._model.get_piece_size()
-        self._is_byte = np.array([self._model.is_byte(i) for i in range(size)])
-        self._known: dict[str, np.ndarray] = {}
-
-    def of(self, words: list[str]) -> tuple[int, float, float, float]:
-        """Tokens, characters per token, byte share, relative entropy; zeros without tokens."""
-        if len(self._known) > _CACHE:
-            self._known.clear()
-        counts = Counter(words)
-        new = [w for w in counts if w not in self._known]
-        if new:
-            self._known.update(zip(new, (np.array(t, dtype=np.int64) for t in self._model.encode(new, num_threads=1))))
-        lists = [self._known[w] for w in counts]
-        tokens = np.concatenate(lists) if lists else np.empty(0, np.int64)
-        if not len(tokens):
-            return 0, 0.0, 0.0, 0.0
-        times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(t) for t in lists])
-        per_token = np.bincount(tokens, weights=times, minlength=len(self._is_byte))
-        total = int(times.sum())
-        share = per_token[per_token > 0] / total
+        self.encode, self.single = (byte_pairs if path.endswith(".tiktoken") else sentence_pieces)(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.tokens, self.first = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        lists = self.encode(words)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.tokens = np.concatenate([self.tokens, np.fromiter((t for one in lists for t in one), np.int64, int(sizes.sum()))])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+
+    def of(self, words: np.ndarray, times: np.ndarray, chars: int) -> tuple[int, tuple[float, float, float]]:
+        """Tokens; characters per token, byte share, relative entropy (zeros without tokens) of distinct
+        words that occur some times each."""
+        sizes = self.first[words + 1] - self.first[words]
+        n = int(sizes.sum())
+        if not n:
+            return 0, (0.0, 0.0, 0.0)
+        at = np.repeat(self.first[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(n)
+        tokens, weight = self.tokens[at], np.repeat(times, sizes)
+        order = np.argsort(tokens)
+        heads = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+        total = int(weight.sum())
+        share = np.add.reduceat(weight[order], heads) / total
         entropy = float(-(share * np.log2(share)).sum())
-        most = np.log2(min(total, len(per_token))) if total > 1 else 1.0
-        chars = sum(len(w) * n for w, n in counts.items())
-        return total, chars / total, float(per_token[self._is_byte].sum() / total), entropy / most
+        most = np.log2(min(total, len(self.single))) if total > 1 else 1.0
+        return total, (chars / total, float(share[self.single[tokens[order][heads]]].sum()), entropy / most)
+
+
+class Fertility:
+    """Token measures of texts by some vocabularies; remembers words, up to a bound."""
+
+    def __init__(self, *paths: str) -> None:
+        self.vocabularies = [Vocabulary(path) for path in paths]
+        self.index: dict[bytes, int] = {}
+
+    def numbers(self, docs: list[list[bytes]]) -> list[np.ndarray]:
+        """Words as numbers; new ones are encoded together."""
+        if len(self.index) > _CACHE:
+            self.index.clear()
+            for v in self.vocabularies:
+                v.forget()
+        index = self.index
+        new = list(dict.fromkeys(w for words in docs for w in words if w not in index))
+        if new:
+            index.update(zip(new, range(len(index), len(index) + len(new))))
+            texts = [w.decode() for w in new]
+            for v in self.vocabularies:
+                v.learn(texts)
+        return [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in docs]
 
+    def measured(self, numbers: np.ndarray, chars: int) -> tuple:
+        """Tokens of the first vocabulary, and the measures of all, of words with ``chars`` characters."""
+        words, times = np.unique(numbers, return_counts=True)
+        found = [v.of(words, times, chars) for v in self.vocabularies]
+        return found[0][0], *(value for _, values in found for value in values)
 
-def measures(text: Column, path: str) -> Column:
+
+def measures(text: Column, *paths: str) -> Column:
     """The rules' numbers and the token measures of a text column, as one struct."""
+    whole, real = [*_COUNTS, "n_tokens"], measure_names(len(paths))
+    schema = pa.struct([(n, pa.int64()) for n in whole] + [(n, pa.float64()) for n in real])
+    ddl = ",".join([f"{n}:long" for n in whole] + [f"{n}:double" for n in real])
 
-    @F.arrow_udf(_RULES_DDL)
+    @F.arrow_udf(f"struct<{ddl}>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        fertility = Fertility(path)
-        for texts in batches:
-            rows = []
+        fertility = Fertility(*paths)
+
+        def rows(texts: list[str]) -> Iterator[dict]:
+            # The white space of bytes is that of the rules.
+            docs = [t.encode().split() for t in texts]
+            for t, numbers in zip(texts, fertility.numbers(docs)):
+                chars = len(t) - sum(map(t.count, _SPACES))
+                rules = (len(numbers), chars, sum(map(t.count, _SYMBOLS)), duplicate_lines(t), repeated_numbers(numbers))
+                yield dict(zip(schema.names, rules + fertility.measured(numbers, chars)))
+
+        def chunks(texts: pa.Array) -> Iterator[list[str]]:
+            held, chars = [], 0
             for value in texts:
-                t = value.as_py()
-                words = _WORD.findall(t)
-                rules = (len(words), sum(map(len, words)), len(_SYMBOL.findall(t)), duplicate_lines(t), repeated_words(words))
-                rows.append(dict(zip(RULES.names, rules + fertility.of(words))))
-            yield pa.array(rows, RULES)
+                held.append(value.as_py())
+                chars += len(held[-1])
+                if chars > CHUNK_CHARS:
+                    yield held
+                    held, chars = [], 0
+            yield held
+
+        for texts in batches:
+            yield pa.array([row for chunk in chunks(texts) for row in rows(chunk)], schema)
 
     return of.asNondeterministic()(text)
 
 
-def measured(docs: DataFrame, path: str) -> DataFrame:
+def measured(docs: DataFrame, *paths: str) -> DataFrame:
     """``doc_id``, ``lang``, the measures, and ``base_failed``; ``docs`` may lack ``lang``."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", F.coalesce(lang, F.lit("")).alias("lang"), measures(whole_text(), path).alias("m"))
+    rows = docs.select("doc_id", F.coalesce(lang, F.lit("")).alias("lang"), measures(whole_text(), *paths).alias("m"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # Entropy depends on length: two classes per doubling.
     length = F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1))))
     return rows.select("doc_id", "lang", "m.*").withColumns({"length": length, "base_failed": failed})
 
 
-def _limits() -> list[Column]:
+def _limits(names: list[str]) -> list[Column]:
     def reach(name: str, sign: int) -> Column:
+        kind = name.rstrip("0123456789")
         low, mid, high = (F.col(f"{name}_q")[i] for i in range(3))
         edge = low if sign < 0 else high
-        return edge + sign * F.greatest(REACH[name] * (high - low), LEAST_REACH[name] * mid)
+        return edge + sign * F.greatest(REACH[kind] * (high - low), LEAST_REACH[kind] * mid)
 
-    return [
-        reach("chars_per_token", -1).alias("least_chars"),
-        F.greatest(reach("byte_share", 1), F.lit(FREE_BYTE_SHARE)).alias("most_bytes"),
-        reach("entropy", -1).alias("least_entropy"),
-    ]
+    def limit(name: str) -> Column:
+        return F.greatest(reach(name, 1), F.lit(FREE_BYTE_SHARE)) if name.startswith("byte_share") else reach(name, -1)
+
+    return [limit(name).alias(f"{name}_limit") for name in names]
+
+
+def _measures_of(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c.rstrip("0123456789") in _PER_VOCABULARY]
 
 
 def bands(rows: DataFrame, *keys: str, least: int = MIN_DOCUMENTS) -> DataFrame:
     """Limits per group of measured documents that pass the word rules."""
-    quartiles = [
-        F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"{name}_q")
-        for name in ("chars_per_token", "byte_share", "entropy")
-    ]
+    names = _measures_of(rows)
+    quartiles = [F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"{name}_q") for name in names]
     good = rows.filter("NOT base_failed").groupBy(*keys).agg(*quartiles, F.count(F.lit(1)).alias("n"))
-    return good.filter(F.col("n") >= least).select(*keys, *_limits())
+    return good.filter(F.col("n") >= least).select(*keys, *_limits(names))
 
 
 def neighbours(counts: dict[int, int], least: int = MIN_DOCUMENTS) -> list[tuple[int, int]]:
@@ -189,38 +277,40 @@ def bands_by_length(rows: DataFrame) -> DataFrame:
     towards longer texts it does not fall by more than if they had no more bits a token. What comes to
     the driver is one row per length: at most two per doubling of a 64-bit number.
     """
-    median = F.percentile_approx("entropy", F.lit(0.5), F.lit(1000))
-    of_length = rows.filter("NOT base_failed").groupBy("length").agg(median.alias("m"), F.count(F.lit(1)).alias("n")).collect()
-    trend = slope([(r["length"], r["m"], r["n"]) for r in of_length])
-    pairs = [(other, to, trend * (to - other), other / to if to > other else 0.0) for to, other in neighbours({r["length"]: r["n"] for r in of_length})]
-    near = rows.sparkSession.createDataFrame(pairs, "length long, to long, shift double, least double")
-    entropy = F.greatest(F.col("entropy") + F.col("shift"), F.col("entropy") * F.col("least"))
-    moved = rows.join(F.broadcast(near), "length").withColumns({"length": F.col("to"), "entropy": entropy})
-    return bands(moved, "length", least=1)
+    entropies = [n for n in _measures_of(rows) if n.startswith("entropy")]
+    medians = [F.percentile_approx(n, F.lit(0.5), F.lit(1000)).alias(n) for n in entropies]
+    of_length = rows.filter("NOT base_failed").groupBy("length").agg(*medians, F.count(F.lit(1)).alias("n")).collect()
+    trends = [slope([(r["length"], r[name], r["n"]) for r in of_length]) for name in entropies]
+    pairs = [
+        (other, to, other / to if to > other else 0.0, *(trend * (to - other) for trend in trends))
+        for to, other in neighbours({r["length"]: r["n"] for r in of_length})
+    ]
+    shifts = ", ".join(f"shift{i} double" for i in range(len(entropies)))
+    near = rows.sparkSession.createDataFrame(pairs, f"length long, to long, least double, {shifts}")
+    moved = {name: F.greatest(F.col(name) + F.col(f"shift{i}"), F.col(name) * F.col("least")) for i, name in enumerate(entropies)}
+    return bands(rows.join(F.broadcast(near), "length").withColumns({"length": F.col("to"), **moved}), "length", least=1)
 
 
-def judged(docs: DataFrame, path: str) -> DataFrame:
+def judged(docs: DataFrame, *paths: str) -> DataFrame:
     """One row per document: ``doc_id``, the measures, ``base_failed``, and ``kept``.
 
-    ``kept`` is false where the word rules fail or a measure is outside its band; every text that
-    passes the rules has a band. A null text is
-    empty and fails; a null ``lang`` is a language of its own. Repeated rows give repeated results.
-    Other columns are ignored. An empty table gives no rows.
+    ``paths`` are vocabularies; the first one's number of tokens is the length. ``kept`` is false where the
+    word rules fail or a measure of any vocabulary is outside its band; every text that passes the rules
+    has a band. A null text is empty and fails; a null ``lang`` is a language of its own. Repeated rows
+    give repeated results. Other columns are ignored. An empty table gives no rows.
     """
-    rows = stored(measured(docs, path), "measures")
-    own = bands(rows, "lang", "length")
-    names = ("least_chars", "most_bytes", "least_entropy")
-    any_language = bands_by_length(rows).select("length", *[F.col(c).alias(f"any_{c}") for c in names])
+    rows = stored(measured(docs, *paths), "measures")
+    names = _measures_of(rows)
+    # Languages are not bounded in number, and one of them may have most rows: those are salted.
+    keyed = rows.withColumn("band", F.concat(F.col("length").cast("string"), F.lit(":"), F.col("lang")))
+    own = bands(keyed, "band")
+    any_language = bands_by_length(rows).select("length", *[F.col(f"{n}_limit").alias(f"{n}_any") for n in names])
     # There are at most two lengths per doubling of a 64-bit number.
-    both = rows.join(own, ["lang", "length"], "left").join(F.broadcast(any_language), "length", "left")
+    both = lookup_join(keyed, own, "band", "left", min_rows=MIN_HOT, skew=True).join(F.broadcast(any_language), "length", "left")
 
-    def limit(name: str) -> Column:
-        return F.coalesce(F.col(name), F.col(f"any_{name}"))
-
-    inside = (
-        (F.col("chars_per_token") >= limit("least_chars"))
-        & (F.col("byte_share") <= limit("most_bytes"))
-        & (F.col("entropy") >= limit("least_entropy"))
-    )
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    def inside(name: str) -> Column:
+        limit = F.coalesce(F.col(f"{name}_limit"), F.col(f"{name}_any"))
+        return F.col(name) <= limit if name.startswith("byte_share") else F.col(name) >= limit
+
+    kept = ~F.col("base_failed") & F.coalesce(reduce(and_, map(inside, names)), F.lit(False))
     return both.withColumn("kept", kept).select(*rows.columns, "kept").drop("lang", "length")

@@ -57,9 +57,13 @@ def op2_pii(spark, sf):
 
 @query
 def op3_fertility(spark, sf):
-    found = fertility.judged(table(spark, sf, "documents"), vocabulary_file("piece_bpe_32k.model"))
+    paths = [vocabulary_file(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    found = fertility.judged(table(spark, sf, "documents"), *paths)
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return found.select(*first, "chars_per_token", "byte_share", F.col("entropy").alias("token_entropy"))
+    return found.select(
+        *first, "chars_per_token", "byte_share", F.col("entropy").alias("token_entropy"),
+        F.col("chars_per_token2").alias("byte_pair_chars"), F.col("byte_share2").alias("byte_pair_share"), F.col("entropy2").alias("byte_pair_entropy"),
+    )
 
 
 @query

@@ -44,7 +44,7 @@ def operators(spark, labelled):
         "licenses": (lambda d: licenses.scan(d), 0),
         "pii": (lambda d: pii.find(d), n),
         "redact": (lambda d: pii.redact(d), n),
-        "fertility": (lambda d: fertility.judged(d, vocabulary_file("piece_bpe_32k.model")), n),
+        "fertility": (lambda d: fertility.judged(d, vocabulary_file("piece_bpe_32k.model"), vocabulary_file("byte_bpe_multi_50k.tiktoken")), n),
         "bpe": (lambda d: bpe.encode(d, path), n),
         "leaks": (lambda d: decontaminate.leaks(d, benchmark), None),
         "without_leaks": (lambda d: decontaminate.without_leaks(d, benchmark), n - 2),
@@ -150,6 +150,53 @@ def test_every_length_is_judged(spark):
     assert fertility.neighbours({4: 30, 5: 30, 9: 1}, 50) == [(4, 4), (4, 5), (5, 4), (5, 5), (9, 4), (9, 5), (9, 9)]
 
 
+def test_measures_of_two_vocabularies(spark):
+    """Against the tokens of each whole word by the libraries themselves."""
+    import base64
+    from collections import Counter
+
+    import numpy as np
+    import sentencepiece
+    import tiktoken
+
+    paths = [vocabulary_file(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    texts = ["plain words, and more words", "\u6f22\u5b57 \u00e9t\u00e9 \U0001f600 x", "aaaa aaaa", "", "one\u00a0word 12ab"]
+    rows = fertility.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *paths).orderBy("doc_id").collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=paths[0])
+    with open(paths[1], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pairs = tiktoken.Encoding("t", pat_str=r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+", mergeable_ranks=ranks, special_tokens={})
+
+    def broken(token):
+        try:
+            return not pairs.decode_single_token_bytes(token).decode() and False
+        except UnicodeDecodeError:
+            return True
+
+    for text, row in zip(texts, rows):
+        words = [w.decode() for w in text.encode().split()]
+        for suffix, encode, single, size in (("", model.encode, model.is_byte, 32_000), ("2", pairs.encode_ordinary, broken, len(ranks))):
+            tokens = [t for w in words for t in encode(w)]
+            share = np.array(list(Counter(tokens).values())) / max(len(tokens), 1)
+            want = (0.0, 0.0, 0.0)
+            if tokens:
+                most = np.log2(min(len(tokens), size)) if len(tokens) > 1 else 1.0
+                want = (sum(map(len, words)) / len(tokens), sum(map(single, tokens)) / len(tokens), -(share * np.log2(share)).sum() / most)
+            assert np.allclose([row["chars_per_token" + suffix], row["byte_share" + suffix], row["entropy" + suffix]], want, atol=1e-9), text
+    assert rows[1].byte_share2 > 0 and rows[0].byte_share2 == 0
+
+
+def test_a_hot_language_is_split(spark):
+    """Most rows have one language and length; the join with the bands has them under several keys."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("word"), (F.col("id") + i) % 97)), " ")
+    lang = F.when(F.col("id") % 9 == 0, F.concat(F.lit("l"), F.col("id") % 40)).otherwise("en")
+    df = spark.range(6_000).select(F.col("id").alias("doc_id"), words.alias("text"), lang.alias("lang"))
+    out = fertility.judged(df, vocabulary_file("piece_bpe_32k.model"))
+    assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 6_000 and len({r.doc_id for r in rows}) == 6_000 and all(r.kept for r in rows)
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", ""), (None, None, "<p>x"), (2, "u", "<article><p>A text.</p></article>")], "page_id long, url string, html string")
     got = [r.text for r in webpages.with_main_text(pages).collect()]
