@@ -7,7 +7,8 @@
 3. The ids return to their block, in list order, and are copied to the documents' positions.
 
 What is shuffled is each block's word lists and its compressed positions, not a row per word.
-Decoding looks every id up in the table of pieces, which is as large as the vocabulary and no larger.
+Decoding joins the distinct ids of a block with the table of pieces, which is as large as the vocabulary
+and no larger; the pieces found are copied to the ids' positions.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm.common import whole_text
+from doctables.llm.common import stored, whole_text
 
 # A block ends with the document that takes it over one of these sizes.
 BLOCK_CHARS = 8_000_000
@@ -221,11 +221,25 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
     return dealt.mapInArrow(run, "block long, bucket int, ids binary")
 
 
-def _copy_to_positions(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    """Blocks with the ids of their words to one row per document; with ``path`` also its decoded ids."""
-    table = None if path is None else pieces(path)
+def _distinct_ids(ids: Column) -> Column:
+    """The distinct ids of packed lists of them."""
+
+    @F.arrow_udf("array<int>")
+    def of(lists: pa.Array) -> pa.Array:
+        flat = ([_unpacked(p)[0][1] for p in row.as_py() or []] for row in lists)
+        return pa.array([np.unique(np.concatenate([np.empty(0, np.int64), *parts])) for parts in flat], pa.list_(pa.int32()))
+
+    return of.asNondeterministic()(ids)
+
+
+def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the ids of their words to one row per document; where a block has the ``pieces`` of its
+    ids, also the text that these are."""
     for batch in batches:
         for row in range(batch.num_rows):
+            table = None
+            if "pieces" in batch.schema.names:
+                table = {p["id"]: p["piece"] for p in batch.column("pieces")[row].as_py() or []}
             doc_ids = batch.column("doc_ids")[row].values
             n_words = batch.column("n_words")[row].values.to_numpy()
             # A block of empty texts has no words and no ids.
@@ -250,8 +264,8 @@ def _copy_to_positions(batches: Iterator[pa.RecordBatch], path: str | None) -> I
 
 def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """(``doc_id``, ``ids``) of every row of ``docs``, as the tokenizers library encodes the whole
-    text without added special tokens. With ``decoded`` also the text that the ids decode to, looked
-    up in the same pass.
+    text without added special tokens. With ``decoded`` also the text that the ids decode to: the
+    distinct ids of each block are joined with the table of pieces, which has the vocabulary's size.
 
     A null or empty text has an empty list. Repeated rows and rows without ``doc_id`` keep a row
     each. Other columns are ignored. An empty table gives no rows.
@@ -268,10 +282,19 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     )
     back = coded.select("block", F.col("got.ids").alias("ids"))
     both = blocks.join(back, "block", "left")
-    return both.select("doc_ids", "n_words", "stream", "lists", "ids").mapInArrow(
-        lambda it: _copy_to_positions(it, path if decoded else None),
-        "doc_id long, ids array<int>" + (", decoded string" if decoded else ""),
-    )
+    columns, ddl = ["doc_ids", "n_words", "stream", "lists", "ids"], "doc_id long, ids array<int>"
+    if decoded:
+        # Rows of a block are where the group left them: neither the join nor the second group moves any.
+        ids = back.select("block", F.explode(_distinct_ids(F.col("ids"))).alias("id"))
+        found = ids.join(F.broadcast(piece_table(docs.sparkSession, path)), "id")
+        both = both.join(found.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces")), "block", "left")
+        columns, ddl = [*columns, "pieces"], f"{ddl}, decoded string"
+    return both.select(*columns).mapInArrow(_copy_to_positions, ddl)
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(``id``, ``piece``) of a vocabulary."""
+    return spark.createDataFrame(list(enumerate(map(bytearray, pieces(path)))), "id int, piece binary")
 
 
 def pieces(path: str) -> list[bytes]:
@@ -290,18 +313,29 @@ def pieces(path: str) -> list[bytes]:
     return table
 
 
-def _joined(ids: np.ndarray, table: list[bytes]) -> str:
+def _joined(ids: np.ndarray, table: dict[int, bytes]) -> str:
     return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
-def decode(ids: Column, path: str) -> Column:
-    """Text of a column of id lists. Bytes that are not UTF-8 become replacement characters, a null
-    list is empty."""
-
-    @F.pandas_udf("string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = pieces(path)
-        for batch in batches:
-            yield pd.Series(["" if row is None else _joined(row, table) for row in batch], dtype=object)
+def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "decoded") -> DataFrame:
+    """Add the text of a column of id lists, for callers with ids of their own.
 
-    return of.asNondeterministic()(ids)
+    Each list's distinct ids are joined with the table of pieces; a list's own are gathered again, so no
+    more than a vocabulary. Bytes that are not UTF-8 become replacement characters; ids without a piece
+    are left out; a null list is empty. Repeated rows stay.
+    """
+    numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "ids")
+    ids = numbered.select("_row", F.explode(F.array_distinct(F.col(column).cast("array<int>"))).alias("id"))
+    found = ids.join(F.broadcast(piece_table(rows.sparkSession, path)), "id")
+    pieces_of = found.groupBy("_row").agg(F.collect_list(F.struct("id", "piece")).alias("_pieces"))
+
+    @F.arrow_udf("string")
+    def text(lists: pa.Array, tables: pa.Array) -> pa.Array:
+        out = []
+        for own, table in zip(lists.to_pylist(), tables.to_pylist()):
+            of_id = {p["id"]: p["piece"] for p in table or []}
+            out.append(b"".join(of_id.get(i, b"") for i in own or []).decode("utf-8", errors="replace"))
+        return pa.array(out, pa.string())
+
+    both = numbered.join(pieces_of, "_row", "left")
+    return both.withColumn(into, text.asNondeterministic()(F.col(column), F.col("_pieces"))).drop("_row", "_pieces")

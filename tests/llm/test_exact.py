@@ -92,8 +92,10 @@ def test_bpe_equals_the_library(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet").select("text").toPandas()["text"].tolist()
     texts = ODD + documents
     encoded = bpe.encode(frame(spark, texts), path)
-    rows = encoded.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("text")).collect()
+    rows = bpe.decode(encoded, path, into="text").collect()
     assert len(rows) == len(texts)
+    joined = bpe.encode(frame(spark, texts), path, decoded=True)
+    assert {r.doc_id: (r.ids, r.decoded) for r in joined.collect()} == {r.doc_id: (r.ids, r.text) for r in rows}
     for row in rows:
         want = tok.encode(texts[row.doc_id] or "", add_special_tokens=False).ids
         assert row.ids == want
@@ -107,8 +109,21 @@ def test_decoding_broken_bytes(spark):
     tok = Tokenizer.from_file(path)
     ids = tok.encode("日本", add_special_tokens=False).ids
     df = spark.createDataFrame([(ids[:1],), (ids[1:],), (None,), ([],)], "ids array<int>")
-    got = [r[0] for r in df.select(bpe.decode(F.col("ids"), path)).collect()]
-    assert got == [tok.decode(ids[:1]), tok.decode(ids[1:]), "", ""]
+    df = df.select(F.monotonically_increasing_id().alias("n"), "ids").coalesce(1)
+    assert [r.decoded for r in bpe.decode(df, path).orderBy("n").collect()] == [tok.decode(ids[:1]), tok.decode(ids[1:]), "", ""]
+    odd = spark.createDataFrame([([-1, 10**6, *ids],), ([7],)], "ids array<int>")
+    assert sorted(r.decoded for r in bpe.decode(odd, path).collect()) == sorted([tok.decode(ids), tok.decode([7])])
+
+
+def test_pieces_are_joined_where_the_blocks_are(spark):
+    """The join of ids and pieces, and the group behind it, move no row."""
+    path = vocabulary_file()
+    texts = [f"text number {i} of some" for i in range(50)]
+    plain, joined = (bpe.encode(frame(spark, texts), path, decoded=d)._jdf.queryExecution().executedPlan().toString() for d in (False, True))
+    assert "BroadcastHashJoin" in joined and "id#" in joined
+    plans = [p.split("== Initial Plan ==")[-1] for p in (plain, joined)]
+    shuffles = [{line.strip(" +-:") .split("hashpartitioning")[-1].split("#")[0] for line in p.splitlines() if "Exchange hashpartitioning" in line} for p in plans]
+    assert shuffles[0] == shuffles[1]
 
 
 def test_packed_numbers():
