@@ -219,7 +219,7 @@ def test_odd_pages(spark):
 
 def test_queries_are_registered_under_their_numbers():
     names = [n for n in queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(names) == set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(names) == set(QUERIES)
     assert "pipeline" in queries() and len(corpus_pipeline.STAGES) == 5
 
 

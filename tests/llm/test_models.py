@@ -54,6 +54,8 @@ def test_toxic_words_are_learned_and_their_forms_recognised():
     net = toxicity.train([text(int(b)) for b in labels], labels)
     scores = toxicity.Scorer(net).of([text(int(b)) for b in labels])
     assert ((scores >= toxicity.THRESHOLD) == labels).mean() > 0.9
+    # Texts without words are not toxic.
+    assert (toxicity.Scorer(net).of(["", " \n", "..."]) < toxicity.THRESHOLD).all()
 
 
 def test_all_of_a_long_word_counts():
