@@ -1,16 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is an embedding of its hash beside the mean embedding of the hashes of its character
-n-grams, so inflected and new forms of a stem are recognised. Long words, as in scripts without
-spaces, are overlapping pieces that are words of their own. The network reads windows of
-``WINDOW`` words that overlap; a document's score is that of its worst window.
+A word comes in as a word and as its character n-grams: the log-odds of its hash among the labelled
+documents, and the mean and the largest of those of its n-grams, so inflected and new forms of a stem
+are recognised. In training, a document sees the log-odds of other parts of the sample only, as unseen
+documents will; rows of very few documents say nothing. Long words, as in scripts without spaces, are
+overlapping pieces that are words of their own. The network reads windows of ``WINDOW`` words that
+overlap; a document's score is that of its worst window.
 
 Training sees at most ``SAMPLE`` labelled documents of at most ``SAMPLE_CHARS`` characters, half of
 each label where there are enough. A label does not say which window is meant, so training starts
 with the window whose words are most telling by their counts, and goes on with the window that the
-network itself finds worst. Embeddings start at the log-odds of their rows; rows of few documents are
-not learned, and words often go without their own embedding, so that a small sample is not learned by
-heart.
+network itself finds worst.
 """
 
 from __future__ import annotations
@@ -34,24 +34,27 @@ SAMPLE_CHARS = 20_000
 WINDOW = 64
 STRIDE = 48
 THRESHOLD = 0.3
-WORD_ROWS, WORD_SIZE = 16_384, 4
-CHAR_ROWS, CHAR_SIZE = 32_768, 16
+WORD_ROWS, CHAR_ROWS = 65_536, 131_072
+# Inputs of a word: its own log-odds, the mean and the largest of its n-grams'.
+INPUTS = 3
 GRAMS = (3, 4, 5)
 HIDDEN = 12
 # Rounds over the chosen windows, before and after the network chooses them, and the least number
 # of batches of each: a small sample is gone through more often.
-EPOCHS = (12, 6)
-LEAST_BATCHES = (48, 24)
+EPOCHS = (20, 10)
+LEAST_BATCHES = (200, 100)
 BATCH = 96
 SEED = 11
 RATE = 0.01
-# Embeddings of rows that fewer documents have are zero and stay so: they would learn documents by heart.
+# Rows that fewer documents have say nothing; documents at which a row's log-odds count half; their scale.
 LEAST_DOCS = 3
-# Documents at which a row's log-odds count half, and their scale in the embedding.
 TRUST = 8
 SCALE = 0.3
-# Share of a batch's words whose own embedding is left out in training, so that their n-grams learn.
-DROP = 0.4
+# A sample document's inputs are the log-odds of the other parts of the sample, so that its own words do
+# not tell its label.
+FOLDS = 5
+# Share of the harmless windows beside which stand such that say nothing.
+HARMLESS = 0.15
 # Windows and words that a scoring task works on at a time, and words that it remembers.
 WINDOWS_AT_ONCE = 2_048
 _CACHE = 150_000
@@ -100,17 +103,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _summed(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by row."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(rows):
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.diff(ordered, prepend=-1))
-        out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
-
-
 @dataclass
 class Network:
     """Weights by name; directions ``f`` and ``b`` have their own recurrent weights."""
@@ -120,14 +112,13 @@ class Network:
     @classmethod
     def fresh(cls) -> Network:
         rng = np.random.default_rng(SEED)
-        size = WORD_SIZE + CHAR_SIZE
 
         def draw(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        w = {"words": draw(WORD_ROWS, WORD_SIZE, scale=0.1), "chars": draw(CHAR_ROWS, CHAR_SIZE, scale=0.3)}
+        w = {"words": np.zeros(WORD_ROWS, np.float32), "chars": np.zeros(CHAR_ROWS, np.float32)}
         for d in "fb":
-            w["x" + d] = draw(size, 3 * HIDDEN, scale=size**-0.5)
+            w["x" + d] = draw(INPUTS, 3 * HIDDEN, scale=INPUTS**-0.5)
             w["h" + d] = draw(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5)
             w["c" + d] = np.zeros(3 * HIDDEN, np.float32)
         w["attend"] = draw(2 * HIDDEN, HIDDEN, scale=(2 * HIDDEN) ** -0.5)
@@ -139,9 +130,11 @@ class Network:
     def inputs(self, words: list[str]) -> np.ndarray:
         """Input vectors of words."""
         rows, begins = gram_rows(words)
-        sums = np.add.reduceat(self.w["chars"][rows], begins[:-1], axis=0) if len(words) else np.zeros((0, CHAR_SIZE), np.float32)
-        mean = sums / np.maximum(np.diff(begins), 1)[:, None]
-        return np.concatenate([self.w["words"][word_rows(words)], mean], axis=1).astype(np.float32)
+        if not words:
+            return np.zeros((0, INPUTS), np.float32)
+        odds = self.w["chars"][rows]
+        mean = np.add.reduceat(odds, begins[:-1]) / np.maximum(np.diff(begins), 1)
+        return np.stack([self.w["words"][word_rows(words)], mean, np.maximum.reduceat(odds, begins[:-1])], axis=1).astype(np.float32)
 
     def _run(self, d: str, projected: np.ndarray, there: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states of one direction; ``projected`` is steps x windows x gates."""
@@ -183,15 +176,10 @@ class Network:
         states = np.concatenate([self._run("f", x[:, :, :g], there), self._run("b", x[:, :, g:], there)], axis=2)
         return _sigmoid(self._pool(states, there)[3])
 
-    def gradients(self, words: list[str], at: np.ndarray, y: np.ndarray, keep: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy of windows over ``words``, and its gradients. ``keep`` is 0 for words whose
-        own embedding is left out."""
+    def gradients(self, words: list[str], at: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy of windows over ``words``, and its gradients. The inputs are not learned here."""
         w, there = self.w, (at >= 0).T
-        rows, begins = gram_rows(words)
-        of_word = word_rows(words)
         x_words = self.inputs(words)
-        if keep is not None:
-            x_words[:, :WORD_SIZE] *= keep[:, None]
         x = x_words[np.maximum(at, 0).T]
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate(
@@ -210,7 +198,6 @@ class Network:
         d_t = d_e[:, :, None] * w["query"] * (1 - t * t)
         grad["attend"] = np.einsum("tnh,tnk->hk", states, d_t)
         d_states = d_states + d_t @ w["attend"].T
-        d_x = np.zeros_like(x)
         for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
             u, dh = w["h" + d], np.zeros((len(y), HIDDEN), np.float32)
             d_gates = np.zeros((len(at.T), len(y), 3 * HIDDEN), np.float32)
@@ -228,13 +215,6 @@ class Network:
             grad["h" + d] = d_u
             grad["c" + d] = d_gates.sum(axis=(0, 1))
             grad["x" + d] = np.einsum("tne,tng->eg", x, d_gates)
-            d_x += d_gates @ w["x" + d].T
-        d_word = _summed(d_x[there], at.T[there], len(words))
-        if keep is not None:
-            d_word[:, :WORD_SIZE] *= keep[:, None]
-        grad["words"] = _summed(d_word[:, :WORD_SIZE], of_word, WORD_ROWS)
-        n = np.diff(begins)
-        grad["chars"] = _summed(np.repeat(d_word[:, WORD_SIZE:] / np.maximum(n, 1)[:, None], n, axis=0), rows, CHAR_ROWS)
         return loss, grad
 
 
@@ -248,8 +228,8 @@ def _padded(index: list[list[int]]) -> np.ndarray:
 class _Adam:
     def __init__(self, w: dict[str, np.ndarray], rate: float) -> None:
         self.w, self.rate, self.n = w, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in w.items()}
+        self.m = {k: np.zeros_like(v) for k, v in w.items() if k not in ("words", "chars")}
+        self.v = {k: np.zeros_like(v) for k, v in self.m.items()}
 
     def step(self, grad: dict[str, np.ndarray]) -> None:
         self.n += 1
@@ -287,8 +267,8 @@ def _odds(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
     return odds * counts.sum(axis=0) / (counts.sum(axis=0) + TRUST)
 
 
-def _informed(net: Network, docs: list[list[str]], labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Start the first entry of every embedding at its row's log-odds; returns the rows that are learned."""
+def _informed(docs: list[list[str]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of the rows of words and of n-grams."""
     total = np.bincount(labels.astype(int), minlength=2)
     of_words, of_chars = np.zeros((2, WORD_ROWS)), np.zeros((2, CHAR_ROWS))
     for words, label in zip(docs, labels.astype(int).tolist()):
@@ -296,12 +276,21 @@ def _informed(net: Network, docs: list[list[str]], labels: np.ndarray) -> dict[s
             distinct = list(set(words))
             of_words[label, np.unique(word_rows(distinct))] += 1
             of_chars[label, np.unique(gram_rows(distinct)[0])] += 1
-    known = {}
-    for name, counts in (("words", of_words), ("chars", of_chars)):
-        known[name] = (counts.sum(axis=0) >= LEAST_DOCS)[:, None]
-        net.w[name][:, 0] = SCALE * _odds(counts, total)
-        net.w[name] *= known[name]
-    return known
+    tables = (np.where(counts.sum(axis=0) >= LEAST_DOCS, SCALE * _odds(counts, total), 0) for counts in (of_words, of_chars))
+    words, chars = (t.astype(np.float32) for t in tables)
+    return words, chars
+
+
+def _harmless(chosen: list[tuple[list[str], int]], rng: np.random.Generator) -> list[tuple[list[str], int]]:
+    """Windows that say nothing, as label 0: short cuts of harmless ones, and none at all. Without them a
+    text of which no word is known would get the share of toxic samples."""
+    out: list[tuple[list[str], int]] = []
+    for words, label in chosen:
+        if label or not words or rng.random() >= HARMLESS:
+            continue
+        start, size = int(rng.integers(len(words))), int(rng.integers(1, 9))
+        out += [(words[start : start + size], 0), ([], 0)]
+    return out
 
 
 def train(texts: list[str], labels: np.ndarray) -> Network:
@@ -313,7 +302,11 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
         return net
     docs = [words_of(t) for t in texts]
     telling = _telling(docs, labels)
-    known = _informed(net, docs, labels)
+    fold = np.array([zlib.crc32(t.encode()) % FOLDS for t in texts])
+    tables = []
+    for f in range(FOLDS):
+        tables.append(_informed([d for d, g in zip(docs, fold) if g != f], labels[fold != f]))
+    net.w["words"], net.w["chars"] = whole = _informed(docs, labels)
     rng = np.random.default_rng(SEED)
     optimizer = _Adam(net.w, RATE)
 
@@ -326,26 +319,33 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
 
     for rounds, epochs in enumerate(EPOCHS):
         chosen: list[tuple[list[str], int]] = []
+        folds: list[int] = []
         worst = Scorer(net).worst(docs) if rounds else None
         for i, (words, label) in enumerate(zip(docs, labels.tolist())):
             starts = {most_telling(words)} if worst is None else {worst[i]}
             if not label:
                 starts.add(int(rng.integers(0, max(1, len(words) - WINDOW + 1))))
             chosen += [(window(words, s), label) for s in sorted(starts)]
+            folds += [int(fold[i])] * len(starts)
+        extra = _harmless(chosen, rng)
+        chosen += extra
+        folds += rng.integers(0, FOLDS, len(extra)).tolist()
         batches = -(-len(chosen) // BATCH)
         for _ in range(max(epochs, -(-LEAST_BATCHES[rounds] // batches))):
             order = rng.permutation(len(chosen))
-            for lo in range(0, len(chosen), BATCH):
-                some = [chosen[i] for i in order[lo : lo + BATCH]]
+            groups = [[i for i in order.tolist() if folds[i] == f] for f in range(FOLDS)]
+            slots = [(f, lo) for f in range(FOLDS) for lo in range(0, len(groups[f]), BATCH)]
+            for k in rng.permutation(len(slots)).tolist():
+                f, lo = slots[k]
+                net.w["words"], net.w["chars"] = tables[f]
+                some = [chosen[i] for i in groups[f][lo : lo + BATCH]]
                 index: dict[str, int] = {}
                 at = _padded([[index.setdefault(w, len(index)) for w in words] for words, _ in some])
                 if not index:
                     continue
-                keep = (rng.random(len(index)) >= DROP).astype(np.float32)
-                _, grad = net.gradients(list(index), at, np.array([y for _, y in some], dtype=np.float32), keep)
-                for name, mask in known.items():
-                    grad[name] *= mask
+                _, grad = net.gradients(list(index), at, np.array([y for _, y in some], dtype=np.float32))
                 optimizer.step(grad)
+        net.w["words"], net.w["chars"] = whole
         optimizer.rate /= 3
     return net
 

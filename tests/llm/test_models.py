@@ -14,6 +14,8 @@ SF = "/root/testdata/sf0.01"
 def test_gradients():
     net = toxicity.Network.fresh()
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    for name in ("words", "chars"):
+        net.w[name] = np.random.default_rng(3).standard_normal(len(net.w[name]))
     words = ["abc", "defgh", "x", "word", "zz"]
     at = np.array([[0, 1, 2, 3], [4, 4, -1, -1], [3, -1, -1, -1]])
     y = np.array([1.0, 0, 1])
@@ -60,7 +62,7 @@ def test_toxic_words_are_learned_and_their_forms_recognised():
 
 def test_all_of_a_long_word_counts():
     net = toxicity.Network.fresh()
-    net.w["words"][:] = 0  # leaves the n-grams
+    net.w["chars"] = np.random.default_rng(3).standard_normal(toxicity.CHAR_ROWS).astype(np.float32)  # the n-grams alone
     text = "\u4e2d\u6587\u5b57" * 100
     one, two = toxicity.Scorer(net).of([text + "\u9fa0\u9fa1", text + "\u9fa2\u9fa3"])
     assert abs(one - two) > 1e-6
@@ -83,22 +85,21 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    """Learned from 36 toxic documents. Of the 14 held-out ones, five have no word in common with those."""
+    """Learned from 36 toxic documents. Of the 14 held-out ones, five have no telling word in common with those."""
     rows = QUERIES["op9_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     held = rows.filter("held_out").select("toxic", "predicted").collect()
     assert sum(r.toxic for r in held) == 14
-    assert sum(r.predicted for r in held if r.toxic == 1) >= 7
+    assert sum(r.predicted for r in held if r.toxic == 1) >= 8
     assert sum(r.predicted for r in held if r.toxic == 0) <= 2
 
 
-def test_rows_of_few_documents_are_not_learned():
+def test_rows_of_few_documents_say_nothing():
     docs = [["bad", "good", f"own{i}"] if i % 2 else ["good", f"own{i}"] for i in range(40)]
-    net = toxicity.train([" ".join(d) for d in docs], np.arange(40) % 2)
-    rows = toxicity.word_rows([f"own{i}" for i in range(40)])
-    several = {r for r in rows.tolist() if rows.tolist().count(r) >= toxicity.LEAST_DOCS} | set(toxicity.word_rows(["bad", "good"]).tolist())
-    assert not net.w["words"][[r for r in rows.tolist() if r not in several]].any()
-    odds = net.w["words"][toxicity.word_rows(["bad", "good"])]
-    assert odds[0].any() and odds[1].any()
+    words, _ = toxicity._informed(docs, np.arange(40) % 2)
+    rows = toxicity.word_rows([f"own{i}" for i in range(40)]).tolist()
+    bad, good = toxicity.word_rows(["bad", "good"]).tolist()
+    assert words[bad] > 0.5 and abs(words[good]) < 0.1
+    assert not words[[r for r in rows if rows.count(r) < toxicity.LEAST_DOCS and r not in (bad, good)]].any()
 
 
 def test_texts_without_words_have_their_own_answer(spark):
