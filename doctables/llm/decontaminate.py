@@ -57,7 +57,18 @@ class _WordHashes(dict):
 
     def __init__(self) -> None:
         super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.hashes: list[int] = []
+        self.table = np.empty(0, np.uint64)
+
+    def array(self) -> np.ndarray:
+        """All hashes; the new ones are converted once."""
+        if len(self.table) < len(self.hashes):
+            self.table = np.concatenate([self.table, np.array(self.hashes[len(self.table) :], np.uint64)])
+        return self.table
 
     def __missing__(self, raw: str) -> int:
         word = _EDGES.sub("", raw.lower())
@@ -175,14 +186,15 @@ class _Filter:
     def _set(self, bits: np.ndarray) -> np.ndarray:
         return (self.flags[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    def passing(self, hashes: np.ndarray, masks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and seeds that pass, by position."""
+    def passing(self, hashes: np.ndarray, masks: Sequence[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and seeds that pass, by position, of texts one after the other that end at ``ends``."""
         places, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for pattern in masks:
             seeds = _seeds(hashes, pattern)
             one, two = _bits(seeds)
             hit = np.flatnonzero(self._set(one))
             hit = hit[self._set(two[hit])]
+            hit = hit[hit + len(pattern) <= ends[np.searchsorted(ends, hit, side="right")]]
             places.append(hit)
             found.append(seeds[hit])
         pos = np.concatenate(places)
@@ -205,29 +217,33 @@ def scan(docs: DataFrame, bitmaps: list[tuple[int, bytes]], around: int, masks:
         known, number = _WordHashes(), TaskContext.get().partitionId() << 40
 
         def stretches(rows: list[tuple]) -> Iterator[tuple]:
-            table = np.array(known.hashes, dtype=np.uint64)
-            for doc_id, same, raw, at in rows:
-                worded = np.flatnonzero(table[at])
-                hashes = table[at[worded]]
-                pos, seeds = passes.passing(hashes, masks)
-                if not len(pos):
+            if not rows:
+                return
+            # The rows' words one after the other; signs alone are no words.
+            raw = known.array()[np.concatenate([at for *_, at in rows])]
+            hashes = raw[raw != 0]
+            ends = np.concatenate([[0], np.cumsum(raw != 0)])[np.cumsum([len(at) for *_, at in rows])]
+            pos, seeds = passes.passing(hashes, masks, ends)
+            edges = np.searchsorted(pos, ends).tolist()
+            for (doc_id, same, _), a, b, start, end in zip(rows, [0, *edges], edges, [0, *ends.tolist()], ends.tolist()):
+                if a == b:
                     continue
-                for lo, hi, a, b in _stretches(pos, around, len(hashes)):
-                    yield doc_id, same, lo, hashes[lo:hi].view(np.int64), seeds[a:b].view(np.int64), (pos[a:b] - lo).astype(np.int32)
+                own, found = pos[a:b] - start, seeds[a:b]
+                for lo, hi, c, d in _stretches(own, around, end - start):
+                    yield doc_id, same, lo, hashes[start + lo : start + hi].view(np.int64), found[c:d].view(np.int64), (own[c:d] - lo).astype(np.int32)
 
         def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             rows, chars = [], 0
             for batch in batches:
                 for doc_id, same, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    raw = text.as_py().split()
-                    rows.append((doc_id, same, raw, np.array(list(map(known.__getitem__, raw)), dtype=np.int64)))
-                    chars += len(text.as_py())
+                    text = text.as_py()
+                    rows.append((doc_id, same, np.array(list(map(known.__getitem__, text.split())), dtype=np.int64)))
+                    chars += len(text)
                     if chars > CHUNK_CHARS:
                         yield rows
                         rows, chars = [], 0
                         if len(known) > _CACHE:
-                            known.clear()
-                            known.hashes.clear()
+                            known.forget()
             yield rows
 
         for rows in chunks(batches):
@@ -258,7 +274,7 @@ def _wide_hits(stretches: DataFrame, bitmaps: list[tuple[int, bytes]], masks: Se
         passes = _Filter(sent.value)
         for batch in batches:
             for stretch, hashes in zip(batch.column(0).to_pylist(), _lists(batch.column(1))):
-                pos, seeds = passes.passing(hashes, masks)
+                pos, seeds = passes.passing(hashes, masks, np.array([len(hashes)]))
                 if len(pos):
                     columns = [np.full(len(pos), stretch), seeds.view(np.int64), pos.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["stretch", "seed", "place"])
