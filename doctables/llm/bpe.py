@@ -7,8 +7,9 @@
 3. The ids return to their block, in list order, and are copied to the documents' positions.
 
 What is shuffled is each block's word lists and its compressed positions, not a row per word.
-Decoding joins the distinct ids of a block with the table of pieces, which is as large as the vocabulary
-and no larger; the pieces found are copied to the ids' positions.
+``decode`` joins the distinct ids of each list with the table of pieces. Where texts are encoded and decoded
+in one pass, ids are looked up in that table instead, which is as large as the vocabulary and no larger: the
+join on distinct ids per block was built twice and is over the check tool's limits (figures in README).
 """
 
 from __future__ import annotations
@@ -221,25 +222,11 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
     return dealt.mapInArrow(run, "block long, bucket int, ids binary")
 
 
-def _distinct_ids(ids: Column) -> Column:
-    """The distinct ids of packed lists of them."""
-
-    @F.arrow_udf("array<int>")
-    def of(lists: pa.Array) -> pa.Array:
-        flat = ([_unpacked(p)[0][1] for p in row.as_py() or []] for row in lists)
-        return pa.array([np.unique(np.concatenate([np.empty(0, np.int64), *parts])) for parts in flat], pa.list_(pa.int32()))
-
-    return of.asNondeterministic()(ids)
-
-
-def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the ids of their words to one row per document; where a block has the ``pieces`` of its
-    ids, also the text that these are."""
+def _copy_to_positions(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    """Blocks with the ids of their words to one row per document; with ``path`` also its decoded ids."""
+    table = None if path is None else pieces(path)
     for batch in batches:
         for row in range(batch.num_rows):
-            table = None
-            if "pieces" in batch.schema.names:
-                table = {p["id"]: p["piece"] for p in batch.column("pieces")[row].as_py() or []}
             doc_ids = batch.column("doc_ids")[row].values
             n_words = batch.column("n_words")[row].values.to_numpy()
             # A block of empty texts has no words and no ids.
@@ -264,8 +251,8 @@ def _copy_to_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """(``doc_id``, ``ids``) of every row of ``docs``, as the tokenizers library encodes the whole
-    text without added special tokens. With ``decoded`` also the text that the ids decode to: the
-    distinct ids of each block are joined with the table of pieces, which has the vocabulary's size.
+    text without added special tokens. With ``decoded`` also the text that the ids decode to, looked
+    up in the same pass in a table of pieces that each task holds.
 
     A null or empty text has an empty list. Repeated rows and rows without ``doc_id`` keep a row
     each. Other columns are ignored. An empty table gives no rows.
@@ -282,14 +269,10 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     )
     back = coded.select("block", F.col("got.ids").alias("ids"))
     both = blocks.join(back, "block", "left")
-    columns, ddl = ["doc_ids", "n_words", "stream", "lists", "ids"], "doc_id long, ids array<int>"
-    if decoded:
-        # Rows of a block are where the group left them: neither the join nor the second group moves any.
-        ids = back.select("block", F.explode(_distinct_ids(F.col("ids"))).alias("id"))
-        found = ids.join(F.broadcast(piece_table(docs.sparkSession, path)), "id")
-        both = both.join(found.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces")), "block", "left")
-        columns, ddl = [*columns, "pieces"], f"{ddl}, decoded string"
-    return both.select(*columns).mapInArrow(_copy_to_positions, ddl)
+    return both.select("doc_ids", "n_words", "stream", "lists", "ids").mapInArrow(
+        lambda it: _copy_to_positions(it, path if decoded else None),
+        "doc_id long, ids array<int>" + (", decoded string" if decoded else ""),
+    )
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -313,7 +296,7 @@ def pieces(path: str) -> list[bytes]:
     return table
 
 
-def _joined(ids: np.ndarray, table: dict[int, bytes]) -> str:
+def _joined(ids: np.ndarray, table: list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
