@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doctables.llm import bpe, components, decontaminate, licenses, pii, repeats, simhash
-from doctables.llm.queries import vocabulary_file
+from doctables.llm.queries import QUERIES, vocabulary_file
 from doctables.llm.suffixes import deep_shallow
 
 SF = "/root/testdata/sf0.001"
@@ -173,6 +173,25 @@ def test_repeats_in_documents(spark):
     assert cleaned(spark, texts, repeats.LENGTH, repeats.GRAM) == without_repeats(texts, repeats.LENGTH)
 
 
+def test_repeats_planted_passages(spark, folder):
+    """Passages of over 50 words in three documents each: those of 400 bytes and more go, all of them
+    and nothing else; one of 399 bytes and documents without a passage stay whole."""
+    rng = random.Random(4)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+    sizes = [repeats.LENGTH - 1, repeats.LENGTH, repeats.LENGTH + 1, 700]
+    passages = [words(110)[:size] for size in sizes]
+    assert all(len(p.split()) > 50 for p in passages)
+    texts = [words(200) for _ in range(8)] + [f"{words(80)} {x}{p}{x} {words(80)}" for p in passages for x in "XYZ"]
+    removed = [0] * 8 + [size if size >= repeats.LENGTH else 0 for size in sizes for _ in "XYZ"]
+    frame(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    rows = QUERIES["op10_repeats"](spark, folder).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in rows] == [(len(t), n, int(n > 0)) for t, n in zip(texts, removed)]
+    assert [tuple(r)[1:] for r in rows] == without_repeats(texts, repeats.LENGTH)
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 2, (300, 40)).astype(np.uint8)
